@@ -1 +1 @@
-"""functions."""
+"""Column functions, all built from Spark's own."""

@@ -1 +1 @@
-"""sources."""
+"""Readers and sinks."""

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming over the request log."""
