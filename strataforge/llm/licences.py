@@ -13,8 +13,8 @@ from strataforge.llm.arrow_text import LOWER, WORD_BYTES, gram_hashes, rows_per_
 
 #: Clean paragraphs that teach the class of other text (about), copies of a template with changes, share of a template's grams that confirms it.
 OTHER_ROWS, VARIANTS, CONFIRM = 4000, 60, 0.6
-#: A calibrated probability under this is unknown.
-SURE = 0.5
+#: A calibrated probability of any licence under this is unknown; families of at least ``LIKELY`` are compared with their templates.
+SURE, LIKELY = 0.5, 0.05
 
 # Notices by licence family.
 TEMPLATES = {
@@ -107,7 +107,7 @@ class Classifier:
     variants that were not learned from.
     """
 
-    def __init__(self, others: list[str], rounds: int = 300) -> None:
+    def __init__(self, others: list[str], rounds: int = 500) -> None:
         rng = np.random.Generator(np.random.PCG64(11))
         self.families = sorted(TEMPLATES)
         vocabulary = list(dict.fromkeys(g for f in self.families for t in TEMPLATES[f] for g in grams(t)))
@@ -180,14 +180,15 @@ class Classifier:
         heads = np.flatnonzero(np.concatenate([[True], paragraph[1:] != paragraph[:-1]]))
         z = np.add.reduceat(self.weights[feature], heads, axis=0) + self.bias
         p = _softmax(z / self.temperature)
-        best = p.argmax(axis=1)
         row = np.searchsorted(offsets, cuts[paragraph[heads]], "right") - 1
         first_of = np.searchsorted(cuts, offsets)
-        for k in np.flatnonzero((best > 0) & (p.max(axis=1) >= SURE)):
+        for k in np.flatnonzero(1.0 - p[:, 0] >= SURE):
             held = set(feature[heads[k] : heads[k + 1] if k + 1 < len(heads) else None].tolist())
-            share = max(len(held & t) / len(t) for t in self.templates[best[k] - 1])
-            if share >= CONFIRM:
-                out[row[k]].append((int(paragraph[heads[k]] - first_of[row[k]]), int(best[k] - 1), float(p[k, best[k]]), float(share)))
+            # templates decide between families that the classifier finds likely
+            likely = [(max(len(held & t) / len(t) for t in self.templates[c - 1]), float(p[k, c]), c) for c in range(1, p.shape[1]) if p[k, c] >= LIKELY]
+            if likely and max(likely)[0] >= CONFIRM:
+                share, _, c = max(likely)
+                out[row[k]].append((int(paragraph[heads[k]] - first_of[row[k]]), c - 1, float(1.0 - p[k, 0]), share))
         return out
 
 
@@ -234,9 +235,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, family, score, n_notices, families, notices)`` for each row of ``docs``.
 
-    Every paragraph (line) of every text is classified; a licence family is
-    reported if its calibrated probability is at least ``SURE`` and the paragraph holds at least ``CONFIRM`` of the
-    grams of one of the family's templates, else it is unknown. ``family`` is that of the likeliest notice, ``unknown`` if
+    Every paragraph (line) of every text is classified. It is unknown unless
+    the calibrated probability of a licence is at least ``SURE``; of the families of probability ``LIKELY`` or more that is
+    reported of which it holds the largest share of a template's grams, if that is at least ``CONFIRM``. ``family`` is that of the likeliest notice, ``unknown`` if
     there is none, as in null and empty texts; ``notices`` has paragraph numbers from 0. Repeated rows are each
     scanned; extra columns are ignored.
     """
