@@ -152,9 +152,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     slices = max(1, -(-bench.count() // items))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
     out = None
+    # explode_outer: from a plain explode a filter on the matches is inferred, and the search would run twice
     for k in range(slices):
         own = [(r.item_id, r.text) for r in bench.where(part == k).collect()]
-        found = docs.select(F.col(id_col).alias("doc_id"), _matcher(spark, own, words, least, hashes, F.col(text_col)).alias("m")).where(F.size("m") > 0).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+        found = docs.select(F.col(id_col).alias("doc_id"), _matcher(spark, own, words, least, hashes, F.col(text_col)).alias("m")).select("doc_id", F.explode_outer("m").alias("m")).where(F.col("m").isNotNull()).select("doc_id", "m.*")
         out = found if out is None else out.unionByName(found)
     return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
