@@ -21,6 +21,8 @@ from strataforge.session import fresh_path, staged
 
 #: Captures of a compressed index block, bytes of an archive file, bytes that one range read takes at most when neighbours are read together.
 LINES, FILE_BYTES, READ_BYTES = 3000, 1 << 30, 4 << 20
+#: Records that one task reads back, about.
+RECORDS = 1 << 14
 #: Directory entries that one round of look-ups broadcasts.
 DIRECTORY = 500_000
 DATE = "2020-01-01T00:00:00Z"
@@ -237,7 +239,9 @@ def read_archive(directory: DataFrame, folder: str) -> DataFrame:
             source.close()
 
     captures = directory.select("file", "offset", "length").mapInArrow(entries, "file string, offset bigint, length bigint")
-    near = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # pointers are far smaller than what they point at: the number of tasks follows the records
+    tasks = max(1, -(-(directory.agg(F.sum("lines")).first()[0] or 0) // RECORDS))
+    near = captures.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return near.mapInArrow(records, _CAPTURE)
 
 
