@@ -13,6 +13,8 @@ from strataforge.llm.arrow_text import LOWER, WORD_BYTES, gram_hashes, rows_per_
 
 #: Clean paragraphs that teach the class of other text (about), copies of a template with changes, share of a template's grams that confirms it.
 OTHER_ROWS, VARIANTS, CONFIRM = 4000, 60, 0.6
+#: Longer paragraphs are not learned from.
+OTHER_CHARS = 2000
 #: A calibrated probability of any licence under this is unknown; families of at least ``LIKELY`` are compared with their templates.
 SURE, LIKELY = 0.5, 0.05
 
@@ -227,7 +229,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     drawn = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(1 << 30)) < limit))
     lines = F.split(F.col(text_col), "\n")
     one = F.element_at(lines, (F.pmod(F.xxhash64(F.col(id_col)), F.size(lines)) + 1).cast("int"))
-    others = sorted(r[0] for r in drawn.select(F.substring(one, 1, 600).alias("t")).collect() if r[0])
+    others = sorted(r[0] for r in drawn.select(one.alias("t")).where(F.length("t").between(1, OTHER_CHARS)).collect())
     known = [frozenset(grams(t)) for f in TEMPLATES.values() for t in f]
     return Classifier([t for t in others if (own := set(grams(t))) is not None and all(len(own & k) < 0.5 * len(k) for k in known)])
 
