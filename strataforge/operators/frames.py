@@ -22,28 +22,38 @@ ENUMS = {
 NULL_REASONS = ("not_recorded", "not_applicable", "unknown")
 
 
+def _once(parsed: Column, rules) -> Column:
+    """``rules`` of a struct that is made once for a row, whatever the number of rules that look at it."""
+    return F.transform(F.array(parsed), rules)[0]
+
+
+def _keys(body: Column, path: str) -> Column:
+    return F.coalesce(F.json_object_keys(F.get_json_object(body, f"$.{path}") if path else body), F.array().cast("array<string>"))
+
+
+SHAPES = {"": ("contract_version", "frame", "metadata"), "frame": FRAME, "metadata": METADATA, "metadata.pose": POSE, "metadata.camera": CAMERA}
+
+
 def frame_errors(body: Column) -> Column:
     """An array of sorted error paths of a frame as JSON text; empty if it keeps the contract.
 
     The text is parsed once into a variant, so that a key with null and a
     missing key stay apart. Each rule is a column; nothing leaves the JVM.
     """
-    v = F.try_parse_json(body)
+    named = {path: f"k{i}" for i, path in enumerate(SHAPES)}
+    parsed = F.struct(F.try_parse_json(body).alias("v"), *[_keys(body, path).alias(k) for path, k in named.items()])
+    return _once(parsed, lambda s: _frame_rules(s, named))
+
+
+def _frame_rules(s: Column, named: dict[str, str]) -> Column:
+    v = s["v"]
     get = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
-    keys = lambda path: F.json_object_keys(F.get_json_object(body, f"$.{path}" if path else "$"))
     rules: list[tuple[str, Column]] = []
-
-    def shape(path: str, required: tuple[str, ...], optional: tuple[str, ...] = ()) -> None:
-        have = F.coalesce(keys(path), F.array().cast("array<string>"))
+    for path, required in SHAPES.items():
+        have = s[named[path]]
         need = F.array(*[F.lit(k) for k in required])
-        may = F.array(*[F.lit(k) for k in (*required, *optional)])
-        rules.append((f"{path or '(record)'}", (F.size(F.array_except(need, have)) == 0) & (F.size(F.array_except(have, may)) == 0)))
-
-    shape("", ("contract_version", "frame", "metadata"))
-    shape("frame", FRAME)
-    shape("metadata", METADATA, ("bbch_null_reason",))
-    shape("metadata.pose", POSE)
-    shape("metadata.camera", CAMERA)
+        may = F.array(*[F.lit(k) for k in (*required, *(("bbch_null_reason",) if path == "metadata" else ()))])
+        rules.append((path or "(record)", (F.size(F.array_except(need, have)) == 0) & (F.size(F.array_except(have, may)) == 0)))
     rules.append(("contract_version", get("contract_version", "string") == "v0"))
     for path in ("frame.frame_uid", "metadata.site_id", "metadata.plot_id", "metadata.zone_id", "metadata.pose.frame_id", "metadata.sowing_batch"):
         rules.append((path, get(path, "string").rlike(IDENTIFIER)))
@@ -62,7 +72,7 @@ def frame_errors(body: Column) -> Column:
     bbch = get("metadata.bbch", "bigint")
     rules.append(("metadata.bbch", bbch.isNull() | bbch.between(0, 99)))
     why = get("metadata.bbch_null_reason", "string")
-    told = F.array_contains(F.coalesce(keys("metadata"), F.array().cast("array<string>")), "bbch_null_reason")
+    told = F.array_contains(s[named["metadata"]], "bbch_null_reason")
     rules.append(("metadata.bbch_null_reason", F.when(bbch.isNull(), told & why.isin(*NULL_REASONS)).otherwise(~told)))
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(path)) for path, ok in rules]))
     return F.when(v.isNull(), F.array(F.lit(""))).otherwise(F.array_sort(F.array_distinct(broken)))
@@ -70,25 +80,30 @@ def frame_errors(body: Column) -> Column:
 
 def envelope_errors(body: Column, coverages: list[float]) -> Column:
     """Sorted error paths of a request around a frame."""
-    have = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
+    parsed = F.struct(F.try_parse_json(body).alias("v"), _keys(body, "").alias("have"), _keys(body, "options").alias("options"))
     known = F.array(*[F.lit(k) for k in ("contract_version", "frame", "metadata", "request_id", "options")])
-    options = F.coalesce(F.json_object_keys(F.get_json_object(body, "$.options")), F.array().cast("array<string>"))
-    v = F.try_parse_json(body)
-    target = F.try_variant_get(v, "$.options.coverage_target", "double")
-    flag = F.schema_of_variant(F.try_variant_get(v, "$.options.return_patch_map", "variant"))
-    request = F.try_variant_get(v, "$.request_id", "string")
-    found = F.concat(
-        F.array_except(have, known),
-        F.transform(F.array_except(options, F.array(F.lit("coverage_target"), F.lit("return_patch_map"))), lambda k: F.concat(F.lit("options."), k)),
-        F.array_compact(
-            F.array(
-                F.when(~F.coalesce(request != "", F.lit(False)), F.lit("request_id")),
-                F.when(target.isNotNull() & ~F.format_string("%.2f", target).isin(*[f"{c:.2f}" for c in coverages]), F.lit("options.coverage_target")),
-                F.when(F.array_contains(options, "return_patch_map") & (flag != "BOOLEAN"), F.lit("options.return_patch_map")),
-            )
-        ),
-    )
-    return F.when(v.isNull(), F.array(F.lit(""))).otherwise(F.array_sort(F.array_distinct(found)))
+    allowed = F.array(F.lit("coverage_target"), F.lit("return_patch_map"))
+    fitted = [f"{c:.2f}" for c in coverages]
+
+    def rules(s: Column) -> Column:
+        target = F.try_variant_get(s["v"], "$.options.coverage_target", "double")
+        flag = F.schema_of_variant(F.try_variant_get(s["v"], "$.options.return_patch_map", "variant"))
+        request = F.try_variant_get(s["v"], "$.request_id", "string")
+        extra = F.array_except(s["options"], allowed)
+        found = F.concat(
+            F.array_except(s["have"], known),
+            F.when(F.size(extra) > 0, F.split(F.concat(F.lit("options."), F.array_join(extra, "\x00options.")), "\x00")).otherwise(F.array().cast("array<string>")),
+            F.array_compact(
+                F.array(
+                    F.when(~F.coalesce(request != "", F.lit(False)), F.lit("request_id")),
+                    F.when(target.isNotNull() & ~F.format_string("%.2f", target).isin(*fitted), F.lit("options.coverage_target")),
+                    F.when(F.array_contains(s["options"], "return_patch_map") & (flag != "BOOLEAN"), F.lit("options.return_patch_map")),
+                )
+            ),
+        )
+        return F.when(s["v"].isNull(), F.array(F.lit(""))).otherwise(F.array_sort(F.array_distinct(found)))
+
+    return _once(parsed, rules)
 
 
 def box_frame(box: Column, stored: tuple[Column, Column], upright: tuple[Column, Column], turned: Column) -> Column:
