@@ -108,10 +108,10 @@ def member_counts(spark: SparkSession, d: str) -> DataFrame:
     return manifest(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("sha256").alias("distinct_files"))
 
 
-@query(f"""with {MANIFEST} select path, sha256, case when id % 97 = 0 then sha256('changed') else sha256 end as expected from manifest where id % 3 = 0 and id % 97 = 0""")
+@query(f"""with {MANIFEST} select path, sha256, case when id % 97 = 0 then sha256('changed') else sha256 end as expected from manifest where class_raw <> 'fr' and id % 97 = 0""")
 def checksum_mismatch(spark: SparkSession, d: str) -> DataFrame:
     rows = manifest(spark, d)
-    listed = rows.where("id % 3 = 0").select("path", F.when(F.col("id") % 97 == 0, F.sha2(F.lit("changed"), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    listed = rows.where("class_raw <> 'fr'").select("path", F.when(F.col("id") % 97 == 0, F.sha2(F.lit("changed"), 256)).otherwise(F.col("sha256")).alias("sha256"))
     return dedupe.mismatched(rows, listed, "path", "sha256").select("path", "sha256", "expected")
 
 
@@ -152,23 +152,23 @@ def phash_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _block_rows(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey < 600")
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
     return o.select(
-        F.col("o_orderkey").alias("id"),
-        F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("d"), F.col("o_custkey") % 40)).alias("district"),
-        F.when(F.col("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
+        k.alias("id"),
+        F.when(k % 5 != 0, F.concat(F.lit("d"), F.expr("o_orderkey div 48"))).alias("district"),
+        F.when((k % 16 == 1) | (k % 40 == 0), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
         F.concat(F.lit("g"), F.expr("o_orderkey div 3")).alias("grp"),
     )
 
 
 @query(
-    """with recursive rows_ as (select o_orderkey as id, case when o_orderkey % 5 <> 0 then 'd' || cast(o_custkey % 40 as varchar) end as district,
- case when o_orderkey % 4 = 0 then strftime(o_orderdate, '%Y-%m-%d') end as day, 'g' || cast(o_orderkey // 3 as varchar) as grp from orders where o_orderkey < 600),
+    """with recursive rows_ as (select o_orderkey as id, case when o_orderkey % 5 <> 0 then 'd' || cast(o_orderkey // 48 as varchar) end as district,
+ case when o_orderkey % 16 = 1 or o_orderkey % 40 = 0 then strftime(o_orderdate, '%Y-%m-%d') end as day, 'g' || cast(o_orderkey // 3 as varchar) as grp from orders),
 edges as (select distinct 'g:' || grp as u, 'v:' || district as v from rows_ where district is not null
  union select distinct 'g:' || k.grp, 'v:' || s.district from rows_ k join rows_ s on k.day = s.day where k.district is null and s.district is not null),
-both_ways as (select u, v from edges union select v, u from edges union select u, u from edges union select v, v from edges),
-reach(u, v) as (select u, v from both_ways union select r.u, w.v from reach r join both_ways w on r.v = w.u),
-named as (select u, string_agg(v[3:], '+' order by v) as vals from (select distinct u, v from reach where u like 'g:%' and v like 'v:%') group by u)
+links as (select distinct a.v as u, b.v as v from edges a join edges b using (u)),
+reach(u, v) as (select u, v from links union select r.u, w.v from reach r join links w on r.v = w.u),
+named as (select e.u, string_agg(distinct r.v[3:], '+' order by r.v[3:]) as vals from edges e join reach r on r.u = e.v group by e.u)
 select id, coalesce('district:' || vals, grp) as split_group, case when vals is not null then 'blocked:district' else 'unblocked:random_by_phash_group' end as split_rule from rows_ left join named on u = 'g:' || grp"""
 )
 def blocks(spark: SparkSession, d: str) -> DataFrame:

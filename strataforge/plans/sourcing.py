@@ -48,10 +48,10 @@ def voc_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select p_partkey, case when p_partkey % 4 = 3 then null when p_partkey % 5 = 0 then p_type when p_type = 'rust' then 'rust' else least(p_type, 'rust') || ' + ' || greatest(p_type, 'rust') end as class_raw,
- case when p_partkey % 4 = 3 then 'drawn_boxes' end as excluded, case when p_partkey % 2 = 0 then '2021-05-0' || cast(p_partkey % 9 + 1 as varchar) end as day from part where p_partkey < 500""")
+ case when p_partkey % 4 = 3 then 'drawn_boxes' end as excluded, case when p_partkey % 2 = 0 then '2021-05-0' || cast(p_partkey % 9 + 1 as varchar) end as day from part""")
 def voc_labels(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    p = table(spark, d, "part").where("p_partkey < 500")
+    p = table(spark, d, "part")
     name = F.when(k % 2 == 0, F.concat(F.lit("ds-2021-05-0"), (k % 9 + 1).cast("string"), F.lit("-field-"), k.cast("string"))).otherwise(F.concat(F.lit("im"), k.cast("string")))
     folder = F.when(k % 4 == 3, "train/bbox/").otherwise("train/images/")
     files = p.select("p_partkey", F.concat(folder, name, F.lit(".jpg")).alias("path"))
@@ -60,11 +60,11 @@ def voc_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select p_partkey, case when p_partkey % 3 = 0 then p_type when p_partkey % 3 = 1 then 'healthy' end as class_raw, case when p_partkey % 3 = 0 then '2020-11-03' when p_partkey % 3 = 1 then '2021-03-15' end as day,
- case when p_partkey % 3 = 0 then cast(3 as bigint) end as plant_age, case when p_partkey % 3 = 2 then 'no_label' end as excluded from part where p_partkey < 500""")
+ case when p_partkey % 3 = 0 then cast(3 as bigint) end as plant_age, case when p_partkey % 3 = 2 then 'no_label' end as excluded from part""")
 def sidecar_labels(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    p = table(spark, d, "part").where("p_partkey < 500")
-    stem = F.when(k % 3 == 1, F.concat(F.lit("healthy_3/16157999"), F.lpad(k.cast("string"), 5, "0"))).otherwise(F.concat(F.lit("sick_1/"), k.cast("string")))
+    p = table(spark, d, "part")
+    stem = F.when(k % 3 == 1, F.concat(F.lit("healthy_"), F.expr("p_partkey div 100000"), F.lit("/16157999"), F.lpad((k % 100000).cast("string"), 5, "0"))).otherwise(F.concat(F.lit("sick_1/"), k.cast("string")))
     files = p.select("p_partkey", F.concat(stem, F.lit(".jpg")).alias("path"))
     xml = F.concat(F.lit("<annotation><class>"), F.col("p_type"), F.lit("</class><district>d</district><datetime>2020-11-03T23:30:00+03:00</datetime><variety>v</variety><age>2.6</age></annotation>"))
     notes = p.where(k % 3 == 0).select(F.concat(stem, F.lit(".xml")).alias("path"), xml.alias("xml"))
