@@ -34,18 +34,19 @@ def _keys(body: Column, path: str) -> Column:
 SHAPES = {"": ("contract_version", "frame", "metadata"), "frame": FRAME, "metadata": METADATA, "metadata.pose": POSE, "metadata.camera": CAMERA}
 
 
-def frame_errors(body: Column) -> Column:
+def frame_errors(body: Column, enveloped: bool = False) -> Column:
     """An array of sorted error paths of a frame as JSON text; empty if it keeps the contract.
 
     The text is parsed once into a variant, so that a key with null and a
     missing key stay apart. Each rule is a column; nothing leaves the JVM.
+    ``enveloped``: further keys beside the record's own are the envelope's business.
     """
     named = {path: f"k{i}" for i, path in enumerate(SHAPES)}
     parsed = F.struct(F.try_parse_json(body).alias("v"), *[_keys(body, path).alias(k) for path, k in named.items()])
-    return _once(parsed, lambda s: _frame_rules(s, named))
+    return _once(parsed, lambda s: _frame_rules(s, named, enveloped))
 
 
-def _frame_rules(s: Column, named: dict[str, str]) -> Column:
+def _frame_rules(s: Column, named: dict[str, str], enveloped: bool) -> Column:
     v = s["v"]
     get = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
     rules: list[tuple[str, Column]] = []
@@ -53,7 +54,7 @@ def _frame_rules(s: Column, named: dict[str, str]) -> Column:
         have = s[named[path]]
         need = F.array(*[F.lit(k) for k in required])
         may = F.array(*[F.lit(k) for k in (*required, *(("bbch_null_reason",) if path == "metadata" else ()))])
-        rules.append((path or "(record)", (F.size(F.array_except(need, have)) == 0) & (F.size(F.array_except(have, may)) == 0)))
+        rules.append((path or "(record)", (F.size(F.array_except(need, have)) == 0) & (F.lit(enveloped and not path) | (F.size(F.array_except(have, may)) == 0))))
     rules.append(("contract_version", get("contract_version", "string") == "v0"))
     for path in ("frame.frame_uid", "metadata.site_id", "metadata.plot_id", "metadata.zone_id", "metadata.pose.frame_id", "metadata.sowing_batch"):
         rules.append((path, get(path, "string").rlike(IDENTIFIER)))
