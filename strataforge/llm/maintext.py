@@ -42,6 +42,12 @@ DROPPED_WORDS = frozenset(
     " footer header masthead sidebar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related"
     " comment comments respond disqus login signup search searchform pagination pager skip toolbar widget widgets".split()
 )
+#: Words in the class of an article element that is not the page's article, and class names of single paragraphs and headings.
+OTHER_ARTICLES = frozenset("comment comments reply replies teaser card related ad advert sponsored promo".split())
+DROPPED_LINES = frozenset(
+    "ad ads advert advertisement sponsored promo cookie cookies consent notice share sharing newsletter subscribe related breadcrumb breadcrumbs pagination pager comment comments footer".split()
+)
+PROSE = frozenset("p pre blockquote".split())
 KEPT_CONTAINERS = frozenset("html body article main".split())
 
 
@@ -126,32 +132,59 @@ def _inside(node: Node, tags: tuple[str, ...]) -> bool:
     return False
 
 
-def _prune(order: list[Node]) -> None:
-    """Marks menus, page headers, footers, adverts and the like by element, role, class and id."""
+def _words(node: Node) -> set[str]:
+    a = _attributes(node.attrs)
+    return set(re.findall(r"[a-z]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
+
+
+def _prose(order: list[Node]) -> dict[int, int]:
+    """Characters in paragraphs below each node."""
+    chars, prose = {}, {}
+    for node in reversed(order):
+        chars[id(node)] = sum(len(x) if isinstance(x, str) else chars[id(x)] for x in node.parts)
+        prose[id(node)] = chars[id(node)] if node.tag in PROSE else sum(prose[id(x)] for x in node.parts if not isinstance(x, str))
+    return prose
+
+
+def _prune(order: list[Node], by_name: bool = True) -> None:
+    """Marks menus, page headers, footers, adverts and the like by element, role, class and id.
+
+    A node with the page's article or main element is never marked, nor a form or a node with a telling
+    class that holds the first heading and most of the paragraphs: it is the page's frame. Without
+    ``by_name`` only the elements count, and forms are kept.
+    """
     holds = set()  # nodes with an article, a main part or a heading of first rank below
     headed = set()
     for node in order:
-        if node.tag in ("article", "main", "h1"):
+        node.dropped = False
+        if node.tag == "article" and node.attrs and _words(node) & OTHER_ARTICLES and node.parent is not None:
+            node.dropped = by_name
+        if node.tag in ("article", "main", "h1") and not node.dropped:
             up = node.parent
             where = headed if node.tag == "h1" else holds
             while up is not None and id(up) not in where:
                 where.add(id(up))
                 up = up.parent
+    prose = None
     for node in order:
         if node.tag in KEPT_CONTAINERS:
             continue
-        if node.tag in DROPPED:
-            node.dropped = id(node) not in holds
-            continue
         own_title = id(node) in headed and _inside(node, ("article", "main"))
-        if node.tag == "header":
+        if node.tag in DROPPED:
+            node.dropped = id(node) not in holds and (node.tag != "form" or by_name)
+        elif node.tag == "header":
             node.dropped = id(node) not in holds and not own_title
-        elif node.attrs:
+        elif node.attrs and by_name:
             a = _attributes(node.attrs)
-            words = set(re.findall(r"[a-z]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
             style = a.get("style", "").replace(" ", "").lower()
-            bad = bool(words & DROPPED_WORDS) or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-            node.dropped = bad and id(node) not in holds and not own_title and node.tag not in ("h1", "h2", "h3", "p")
+            if node.tag in ("h1", "h2", "h3", "p"):
+                bad = node.tag != "h1" and bool(DROPPED_LINES & set(a.get("class", "").lower().split()))
+            else:
+                bad = bool(_words(node) & DROPPED_WORDS) or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+            node.dropped = bad and id(node) not in holds and not own_title
+        if node.dropped and id(node) in headed and (node.tag == "form" or node.tag not in DROPPED and node.tag != "header"):
+            prose = prose or _prose(order)
+            node.dropped = prose[id(node)] * 2 <= prose[id(order[0])]
 
 
 def _measure(root: Node, order: list[Node]) -> Node:
@@ -206,7 +239,7 @@ def _selected(body: Node) -> list[Node]:
     The node with the largest sum of child densities is chosen (the first in
     page order of equal ones); the least density on its path to the body is the threshold. If it lies in
     an article or main element, that element is the text. Else it is widened to its ancestors
-    below the body, and siblings of those whose density reaches the threshold are taken too.
+    below the body, without blocks of links beside it, and siblings of those whose density reaches the threshold are taken too.
     """
     live = []
     todo = [body]
@@ -225,6 +258,11 @@ def _selected(body: Node) -> list[Node]:
         if node.tag in ("article", "main"):
             return [next((n for n in path if n.tag == "article"), node)]
     threshold = min(n.density for n in path)
+    on_path = {id(n) for n in path}
+    for node in path[1:]:  # beside the path, blocks that are mostly links are menus
+        for x in node.parts:
+            if not isinstance(x, str) and id(x) not in on_path and not x.dropped:
+                x.dropped = x.link_chars * 2 > x.chars
     if len(path) == 1:
         return [body]
     top = path[-2]  # the child of the body that holds the chosen node
@@ -264,6 +302,9 @@ def main_text(page: str | None) -> str:
     order = list(_walk(root))
     _prune(order)
     body = _measure(root, order)
+    if not body.chars:  # all that there is goes by a name that tells of something else
+        _prune(order, by_name=False)
+        body = _measure(root, order)
     return _blocks(_selected(body)) if body.chars else ""
 
 

@@ -356,6 +356,25 @@ def test_main_text():
     assert maintext.main_text("<p title='a>b\">x</p><p>y") and "<" not in maintext.main_text("a <b <p>c</p>").replace("<b", "")
 
 
+def test_main_text_of_page_frames():
+    told = [f"Paragraph {i}. " + "Many plain words stand in this one. " * 4 for i in range(4)]
+    inner = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in told)
+    want = "\n".join(["Title", *(x.strip() for x in told)])
+    reader = "<p>" + "A reader has much to say. " * 30 + "</p>"
+    frames = (
+        "<body><div class='header'><a href=/>Home</a></div><div class='sidebar'><p>Side</p></div><div id=content>{}</div><div id=comments><ul><li>{}</li></ul></div><div class=footer><p>Imprint</p></div></body>",
+        "<body><div class='layout has-sidebar'><div id=content>{}</div><div class=sidebar><p>Side</p></div></div><div class=comments>{}</div></body>",
+        "<body><main><article class=post>{}</article><section id=comments><article class=comment>{}</article></section></main></body>",
+        "<body><form id=f><div id=menu><a href=m>m</a></div><div class=content>{}</div></form><div class=comments>{}</div></body>",
+        "<table><tr><td><a href=a>Home</a> <a href=b>News</a></td><td>{}</td></tr></table><div class=comments>{}</div>",
+    )
+    for frame in frames:
+        assert maintext.main_text(frame.format(inner, reader)) == want
+    lines = inner.replace("</h1>", "</h1><p class=ad>Buy</p>").replace("<p>Paragraph 2", "<p class='notice wide'>Closed</p><p>Paragraph 2")
+    assert maintext.main_text(f"<article>{lines}</article>") == want
+    assert maintext.main_text(f"<div class=promo>{inner}</div>") == want
+
+
 def test_main_text_of_generated_pages(spark, small):
     import html
 
