@@ -47,6 +47,8 @@ OTHER_ARTICLES = frozenset("comment comments reply replies teaser card related a
 DROPPED_LINES = frozenset(
     "ad ads advert advertisement sponsored promo cookie cookies consent notice share sharing newsletter subscribe related breadcrumb breadcrumbs pagination pager comment comments footer".split()
 )
+#: Words that tell enough where everything on a page has a dropped name.
+CERTAIN_WORDS = frozenset("comment comments respond disqus footer nav navbar navigation breadcrumb breadcrumbs cookie cookies".split())
 PROSE = frozenset("p pre blockquote".split())
 KEPT_CONTAINERS = frozenset("html body article main".split())
 
@@ -138,52 +140,57 @@ def _words(node: Node) -> set[str]:
 
 
 def _prose(order: list[Node]) -> dict[int, int]:
-    """Characters in paragraphs below each node."""
+    """Characters in paragraphs below each node, without dropped nodes."""
     chars, prose = {}, {}
     for node in reversed(order):
+        if node.dropped:
+            chars[id(node)] = prose[id(node)] = 0
+            continue
         chars[id(node)] = sum(len(x) if isinstance(x, str) else chars[id(x)] for x in node.parts)
         prose[id(node)] = chars[id(node)] if node.tag in PROSE else sum(prose[id(x)] for x in node.parts if not isinstance(x, str))
     return prose
 
 
-def _prune(order: list[Node], by_name: bool = True) -> None:
+def _prune(order: list[Node], words: frozenset[str] = DROPPED_WORDS) -> None:
     """Marks menus, page headers, footers, adverts and the like by element, role, class and id.
 
-    A node with the page's article or main element is never marked, nor a form or a node with a telling
-    class that holds the first heading and most of the paragraphs: it is the page's frame. Without
-    ``by_name`` only the elements count, and forms are kept.
+    A node with the page's article or main element is never marked. Nor is a form or a node with a telling
+    class that has the first heading and most of the paragraphs that are left: it is the page's frame.
+    With fewer ``words`` than all, forms are kept.
     """
     holds = set()  # nodes with an article, a main part or a heading of first rank below
     headed = set()
     for node in order:
-        node.dropped = False
-        if node.tag == "article" and node.attrs and _words(node) & OTHER_ARTICLES and node.parent is not None:
-            node.dropped = by_name
+        node.dropped = node.tag == "article" and bool(node.attrs) and node.parent is not None and bool(_words(node) & OTHER_ARTICLES)
         if node.tag in ("article", "main", "h1") and not node.dropped:
             up = node.parent
             where = headed if node.tag == "h1" else holds
             while up is not None and id(up) not in where:
                 where.add(id(up))
                 up = up.parent
-    prose = None
+    frames = []
     for node in order:
         if node.tag in KEPT_CONTAINERS:
             continue
         own_title = id(node) in headed and _inside(node, ("article", "main"))
         if node.tag in DROPPED:
-            node.dropped = id(node) not in holds and (node.tag != "form" or by_name)
+            node.dropped = id(node) not in holds and (node.tag != "form" or words is DROPPED_WORDS)
         elif node.tag == "header":
             node.dropped = id(node) not in holds and not own_title
-        elif node.attrs and by_name:
+        elif node.attrs:
             a = _attributes(node.attrs)
             style = a.get("style", "").replace(" ", "").lower()
             if node.tag in ("h1", "h2", "h3", "p"):
                 bad = node.tag != "h1" and bool(DROPPED_LINES & set(a.get("class", "").lower().split()))
             else:
-                bad = bool(_words(node) & DROPPED_WORDS) or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+                bad = bool(_words(node) & words) or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
             node.dropped = bad and id(node) not in holds and not own_title
         if node.dropped and id(node) in headed and (node.tag == "form" or node.tag not in DROPPED and node.tag != "header"):
-            prose = prose or _prose(order)
+            node.dropped = False
+            frames.append(node)
+    if frames:
+        prose = _prose(order)
+        for node in frames:
             node.dropped = prose[id(node)] * 2 <= prose[id(order[0])]
 
 
@@ -303,7 +310,7 @@ def main_text(page: str | None) -> str:
     _prune(order)
     body = _measure(root, order)
     if not body.chars:  # all that there is goes by a name that tells of something else
-        _prune(order, by_name=False)
+        _prune(order, CERTAIN_WORDS)
         body = _measure(root, order)
     return _blocks(_selected(body)) if body.chars else ""
 
