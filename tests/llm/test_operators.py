@@ -330,6 +330,12 @@ def test_top_k_equals_brute_force(spark, chunk):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_takes_doubles_as_they_are(spark):
+    near = 1 / 256 - 1e-12  # as a float it would be 1 / 256
+    table = spark.createDataFrame([(0, [1.0]), (1, [near]), (2, [1 / 256])], "vec_id bigint, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(table, topk.divisible(table, 50)).orderBy("rank").collect()] == [(0, 1, 2, 256), (0, 2, 1, 0)]
+
+
 def test_top_k_few_rows(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(table, topk.divisible(table, 50)).collect()] == [(0, 1, 1, 256 * 128)]
