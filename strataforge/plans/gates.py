@@ -106,7 +106,7 @@ _REQUEST = """'{"contract_version": "v0", "frame": {"frame_uid": "f' || cast(eve
 
 
 @query("""with f as (select c_custkey as user_id, c_nationkey as nation, abs(c_acctbal) / 10000 as knn, c_mktsegment as seg from customer where c_mktsegment <> 'BUILDING'),
-a as (select event_id, event_type, nation, knn, case when event_type = 'click' then 0.8 else 0.9 end as coverage, [1 + nation % 3, 1 + nation % 2, 1.0] as z, f.user_id as held from events left join f using (user_id)),
+a as (select event_id, event_type, nation, knn, cast(case when event_type = 'click' then 0.8 else 0.9 end as double) as coverage, [1 + nation % 3, 1 + nation % 2, 1.0] as z, f.user_id as held from events left join f using (user_id)),
 b as (select *, case when event_type in ('error', 'signup') then 422 when held is null then 501 else 200 end as status, list_max(z) as top, list_sum(list_transform(z, lambda v: exp(v))) as whole from a),
 c as (select *, exp(top) / whole as conf, case when coverage = 0.8 then 0.5 else 0.4 end as t1, case when coverage = 0.8 then 0.3 else 0.6 end as t2 from b),
 e as (select *, case when status = 200 then case when conf < t1 then 'low_confidence' when knn > t2 then 'far_from_training' end end as why from c)
