@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strataforge.functions.vectors import once
+
 
 def content_id(prefix: Column | str, digest: Column) -> Column:
     """<prefix>_<first 16 hex digits of the digest>."""
@@ -22,11 +24,11 @@ def hamming(a: Column, b: Column) -> Column:
 
 def median_code(v: Column) -> Column:
     """A bit for each of up to 64 values, first value highest: above the median or not."""
-    ordered = F.array_sort(v)
+    ordered = F.sort_array(v)
     n = F.size(v)
     middle = (F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, F.floor(n / 2).cast("int") + 1)) / 2
-    bits = F.transform(v, lambda x: F.when(x > middle, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    bit = lambda x, m: F.when(x > m, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    return once(middle, lambda m: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(bit(x, m))))
 
 
 def plus_set(x: Column) -> Column:

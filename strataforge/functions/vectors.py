@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once for a row, however often ``f`` and the lambdas in it look at it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
@@ -22,8 +27,7 @@ def norm(x: Column) -> Column:
 
 def unit(x: Column) -> Column:
     """``x`` at length 1; a length under 1e-12 counts as 1e-12."""
-    size = F.greatest(norm(x), F.lit(1e-12))
-    return F.transform(x, lambda v: v / size)
+    return once(F.greatest(norm(x), F.lit(1e-12)), lambda size: F.transform(x, lambda v: v / size))
 
 
 def as_double(x: Column) -> Column:
@@ -36,14 +40,12 @@ def literal(rows: Sequence[Sequence[float]]) -> Column:
 
 
 def logsumexp(z: Column) -> Column:
-    top = F.array_max(z)
-    return top + F.log(total(F.transform(z, lambda v: F.exp(v - top))))
+    return once(F.array_max(z), lambda top: top + F.log(total(F.transform(z, lambda v: F.exp(v - top)))))
 
 
 def softmax(z: Column, temperature: float = 1.0) -> Column:
     scaled = F.transform(z, lambda v: v / F.lit(temperature))
-    whole = logsumexp(scaled)
-    return F.transform(scaled, lambda v: F.exp(v - whole))
+    return once(scaled, lambda s: once(logsumexp(s), lambda whole: F.transform(s, lambda v: F.exp(v - whole))))
 
 
 def entropy(p: Column) -> Column:

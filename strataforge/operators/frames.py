@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataforge.functions.vectors import once
+
 # Keys and vocabularies of the contract.
 FRAME = ("frame_uid", "uri", "sha256", "width", "height")
 METADATA = ("site_id", "plot_id", "zone_id", "timestamp_utc", "pose", "platform", "camera", "illumination_mode", "sowing_batch", "bbch")
@@ -22,11 +24,6 @@ ENUMS = {
 NULL_REASONS = ("not_recorded", "not_applicable", "unknown")
 
 
-def _once(parsed: Column, rules) -> Column:
-    """``rules`` of a struct that is made once for a row, whatever the number of rules that look at it."""
-    return F.transform(F.array(parsed), rules)[0]
-
-
 def _keys(body: Column, path: str) -> Column:
     return F.coalesce(F.json_object_keys(F.get_json_object(body, f"$.{path}") if path else body), F.array().cast("array<string>"))
 
@@ -43,7 +40,7 @@ def frame_errors(body: Column, enveloped: bool = False) -> Column:
     """
     named = {path: f"k{i}" for i, path in enumerate(SHAPES)}
     parsed = F.struct(F.try_parse_json(body).alias("v"), *[_keys(body, path).alias(k) for path, k in named.items()])
-    return _once(parsed, lambda s: _frame_rules(s, named, enveloped))
+    return once(parsed, lambda s: _frame_rules(s, named, enveloped))
 
 
 def _frame_rules(s: Column, named: dict[str, str], enveloped: bool) -> Column:
@@ -104,7 +101,7 @@ def envelope_errors(body: Column, coverages: list[float]) -> Column:
         )
         return F.when(s["v"].isNull(), F.array(F.lit(""))).otherwise(F.array_sort(F.array_distinct(found)))
 
-    return _once(parsed, rules)
+    return once(parsed, rules)
 
 
 def box_frame(box: Column, stored: tuple[Column, Column], upright: tuple[Column, Column], turned: Column) -> Column:
