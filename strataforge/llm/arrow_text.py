@@ -43,6 +43,11 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         first = end
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """Texts in Unicode's folded case, in which capitals with accents and ß equal their small forms."""
+    return pa.array((None if x is None else x.casefold() for x in texts.to_pylist()), pa.large_string())
+
+
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
     table = np.zeros(256, bool)
     for low, high in ranges:

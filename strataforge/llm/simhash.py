@@ -13,6 +13,7 @@ from xxhash import xxh64_intdigest
 
 from strataforge.llm.arrow_text import rows_per_batch
 from strataforge.llm.joins import sized
+from strataforge.llm.shingles import set_column, shingle_classes
 from strataforge.operators.graph import connected_components
 from strataforge.session import staged
 
@@ -117,25 +118,20 @@ def fingerprint_text(fp):
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+    """``docs`` with one document of each group of near copies: the one with the smallest id.
 
-    Repeated rows with the kept id are reduced to one; a group whose ids are
-    all null keeps one of its rows.
+    Groups are those of ``shingles.shingle_classes`` (five words, similarity
+    0.8), not of operator 4's fingerprints. Survivors are chosen by id and
+    shingle set, so rows that share an id but not a text are kept apart.
+    Repeated rows with the kept id and set are reduced to one; a group whose
+    ids are all null keeps one of its rows.
     """
-    found = staged(near_duplicates(docs), "components")
-    keep = found.where("doc_id = component_id or (doc_id is null and component_id is null)")
-    tally = staged(keep.groupBy("doc_id", "component_id", "fp").count(), "kept")
-    repeats = tally.where("count > 1 or doc_id is null").limit(1).count() > 0
-    kept = tally.where("doc_id is not null").select(F.col("doc_id").alias("__keep"))
-    # the many kept ids are not broadcast; both sides move by id
-    out = docs.join(kept.distinct() if repeats else kept, docs["doc_id"] == F.col("__keep"), "left_semi")
-    if not repeats:
-        return out
-    out = out.withColumn("__row", F.lit(1)).dropDuplicates(["doc_id"]).drop("__row")
-    if tally.where("doc_id is null").limit(1).count():
-        rows = docs.where("doc_id is null")
-        nulls = tally.where("doc_id is null").select(F.col("fp").alias("__fp"))
-        rows_per_batch(docs.sparkSession)
-        mark = F.arrow_udf(lambda x: simhash(x), "bigint")
-        out = out.unionByName(rows.withColumn("__fp", mark(F.col("text"))).join(nulls.distinct(), "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
-    return out
+    marked, named = shingle_classes(docs)
+    classes = marked.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    classes = staged(classes.join(named, "cls"), "components")
+    repeats = classes.where("n > ids or nulls > 1").limit(1).count() > 0
+    first = F.min(F.struct(F.col("least").isNull().alias("no"), F.col("least").alias("id"), F.col("cls").alias("set")))
+    kept = classes.groupBy("component").agg(first.alias("k")).select(F.col("k.id").alias("__id"), F.col("k.set").alias("__kept"))
+    # the many kept ids are not broadcast; both sides move by id and set
+    out = docs.withColumn("__set", set_column(F.col("text"))).join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__set") == F.col("__kept")), "left_semi")
+    return (out.dropDuplicates(["doc_id", "__set"]) if repeats else out).drop("__set")

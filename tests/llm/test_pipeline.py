@@ -1,10 +1,13 @@
 """The pipeline against the brute-force versions of its stages."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 
-from tests.llm.test_operators import base_spans, brute_fingerprint, brute_leaks, brute_targets, components
+from strataforge.llm import shingles, simhash
+from tests.llm.test_operators import base_spans, brute_fingerprint, brute_leaks, brute_targets, components, docs
 
 
 def test_pipeline(spark, small):
@@ -33,3 +36,59 @@ def test_stages_keep_the_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns, name
+
+
+def near_copies():
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(9)}É{rng.randrange(400)}" for _ in range(150)]
+        texts += [" ".join(base), " ".join(base).lower()]
+        for edits in (1, 2, 3, 5, 9):
+            w = list(base)
+            for at in rng.sample(range(150), edits):
+                w[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    crowd = [f"c{k}" for k in range(120)]
+    for _ in range(90):
+        w = list(crowd)
+        for at in rng.sample(range(120), rng.choice([1, 2, 4, 7])):
+            w[at] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    return [*texts, "a b c d", "A b  c d", "a b c e", "", " ", None]
+
+
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_near_copies_of_five_word_shingles_go(spark, monkeypatch, bucket):
+    monkeypatch.setattr(shingles, "BUCKET", bucket)
+    monkeypatch.setattr(shingles, "HUBS", 2)
+    rows = list(enumerate(near_copies()))
+
+    def own(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets = {i: own(t) for i, t in rows}
+    alike = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
+    group = components(sorted(sets), alike)
+    assert {r.doc_id for r in simhash.keep_one_of_each(docs(spark, rows)).collect()} == set(group.values())
+
+
+def test_pipeline_drops_near_copies_by_shingles(spark, small):
+    """As test_pipeline, but with the groups of five-word similarity 0.8 for those of 2-bit fingerprints."""
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    out = corpus_pipeline.run(spark, small).collect()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, r in rows.items() if (w := r.text.lower().split())}
+    group = components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = [i for i in rows if group[i] == i]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    bad = {i for i, _ in brute_leaks([(i, rows[i].text) for i in kept], items)}
+    kept = [i for i in kept if i not in bad and not base_spans(rows[i].text)]
+    sizes = Counter()
+    for i in kept:
+        sizes[rows[i].source] += len(rows[i].text.split())
+    want, taken = brute_targets(dict(sizes)), Counter()
+    assert {r.doc_id for r in out} <= set(kept)
+    for r in out:
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - want[s]) <= max(len(rows[i].text.split()) for i in kept if rows[i].source == s) for s in sizes)
