@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.llm.arrow_text import LOWER, WORD_BYTES, gram_hashes, mix, rows_per_batch, spans, steps, word_hashes
+from strataforge.llm.arrow_text import LOWER, WORD_BYTES, folded, gram_hashes, mix, rows_per_batch, spans, steps, word_hashes
 
 #: Words of a shingle, least share of an item's shingles, permutations of its signature.
 WORDS, LEAST, HASHES = 5, 0.8, 32
@@ -20,9 +20,9 @@ _BITS = 22
 _WORD = re.compile(r"[0-9a-z_\u0080-\U0010ffff]+")
 
 
-def shingles(text: str, words: int = WORDS) -> list[str]:
+def shingles(text: str, words: int = WORDS, fold: bool = False) -> list[str]:
     """Distinct runs of words in order; a text of fewer words has its whole sequence, a wordless one none."""
-    w = _WORD.findall(lower_ascii(text))
+    w = _WORD.findall(_lower(text, fold))
     if not w:
         return []
     n = max(len(w) - words + 1, 1)
@@ -36,6 +36,10 @@ def lower_ascii(text: str) -> str:
     return text.translate(_UPPER)
 
 
+def _lower(text: str, fold: bool) -> str:
+    return text.casefold() if fold else lower_ascii(text)
+
+
 def _hash(texts: list[str]) -> np.ndarray:
     """The same hashes of shingles that the documents' bytes give, by number of words."""
     out = np.zeros(len(texts), np.uint64)
@@ -58,12 +62,13 @@ class Index:
     (1 - c) ** hashes: 4e-23 at 0.8. One hit makes a candidate.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]], words: int = WORDS, hashes: int = HASHES) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], words: int = WORDS, hashes: int = HASHES, fold: bool = False) -> None:
+        self.fold = fold
         rng = np.random.Generator(np.random.PCG64(7))
         odd, add = rng.integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
         self.ids, self.sets, entries = [], [], {}
         for key, text in items:
-            own = shingles(text or "", words)
+            own = shingles(text or "", words, fold)
             if not own:
                 continue
             at = len(self.ids)
@@ -103,7 +108,7 @@ class Index:
 
     def matches(self, text: str, candidates: set[int], words: int, least: float) -> list[tuple[int, int, int]]:
         """(item id, shingles, shingles found) of candidates that the text holds, compared as strings."""
-        w = _WORD.findall(lower_ascii(text))
+        w = _WORD.findall(_lower(text, self.fold))
         held: dict[int, set[str]] = {}
         out = []
         for at in sorted(candidates):
@@ -120,14 +125,14 @@ class Index:
 MATCH = "array<struct<item_id:bigint,n_shingles:int,n_found:int>>"
 
 
-def _matcher(spark, items: list, words: int, least: float, hashes: int, text: Column) -> Column:
-    index = spark.sparkContext.broadcast(Index(items, words, hashes))
+def _matcher(spark, items: list, words: int, least: float, hashes: int, text: Column, fold: bool = False) -> Column:
+    index = spark.sparkContext.broadcast(Index(items, words, hashes, fold))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int32()), ("n_found", pa.int32())]))
 
     @F.arrow_udf(MATCH)
     def match(x: pa.Array) -> pa.Array:
         own, out = index.value, [[] for _ in range(len(x))]
-        for first, _, data, offsets in steps(x):
+        for first, _, data, offsets in steps(folded(x) if own.fold else x):
             for k, found in enumerate(own.candidates(data, offsets)):
                 if found:
                     out[first + k] = [dict(zip(("item_id", "n_shingles", "n_found"), m, strict=True)) for m in own.matches(x[first + k].as_py(), found, words, least)]
@@ -136,11 +141,12 @@ def _matcher(spark, items: list, words: int, least: float, hashes: int, text: Co
     return match(text)
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", words: int = WORDS, least: float = LEAST, hashes: int = HASHES, items: int = ITEMS) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", words: int = WORDS, least: float = LEAST, hashes: int = HASHES, items: int = ITEMS, fold: bool = False) -> DataFrame:
     """``(doc_id, item_id, n_shingles, n_found, containment)`` for each row of ``docs`` and each item it holds.
 
     Words are runs of letters, digits, underscores and characters outside
-    ASCII, ASCII letters in lower case; an item is held if at least ``least`` of its
+    ASCII, ASCII letters in lower case (as the query's SQL has it) or, with ``fold``, all
+    letters in Unicode's folded case; an item is held if at least ``least`` of its
     distinct shingles occur in the text. Items of fewer than ``words`` words are one shingle;
     null and wordless items match nothing, null texts hold nothing. Repeated
     rows and items are each reported. Documents are not shuffled: they pass once for each
@@ -155,13 +161,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     # explode_outer: from a plain explode a filter on the matches is inferred, and the search would run twice
     for k in range(slices):
         own = [(r.item_id, r.text) for r in bench.where(part == k).collect()]
-        found = docs.select(F.col(id_col).alias("doc_id"), _matcher(spark, own, words, least, hashes, F.col(text_col)).alias("m")).select("doc_id", F.explode_outer("m").alias("m")).where(F.col("m").isNotNull()).select("doc_id", "m.*")
+        found = docs.select(F.col(id_col).alias("doc_id"), _matcher(spark, own, words, least, hashes, F.col(text_col), fold).alias("m")).select("doc_id", F.explode_outer("m").alias("m")).where(F.col("m").isNotNull()).select("doc_id", "m.*")
         out = found if out is None else out.unionByName(found)
     return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without documents that hold a benchmark item.
+    """``docs`` without documents that hold a benchmark item, in whatever case.
 
     The decision is made on the rows themselves: for one slice of items no
     shuffle is needed, and null ids or repeated ids do not matter.
@@ -172,5 +178,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
     for k in range(slices):
         own = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").where(part == k).collect()]
-        docs = docs.withColumn("__m", _matcher(spark, own, WORDS, LEAST, HASHES, docs["text"])).where(F.size("__m") == 0).drop("__m")
+        docs = docs.withColumn("__m", _matcher(spark, own, WORDS, LEAST, HASHES, docs["text"], fold=True)).where(F.size("__m") == 0).drop("__m")
     return docs

@@ -311,6 +311,14 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contained_items(table, bench.limit(0)).count() == 0
 
 
+def test_decontamination_folds_the_case_of_all_letters(spark):
+    item = "être où déjà vu straße größe ñandú οδος été à l'école"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    table = docs(spark, [(1, f"x {item.upper()} y"), (2, item), (3, "être où déjà")])
+    assert [r.doc_id for r in decontaminate.drop_contaminated(table, bench).collect()] == [3]
+    assert {r.doc_id for r in decontaminate.contained_items(table, bench, fold=True).collect()} == {1, 2}
+
+
 # --- operator 8
 
 
