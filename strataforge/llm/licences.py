@@ -15,6 +15,8 @@ from strataforge.llm.arrow_text import LOWER, WORD_BYTES, gram_hashes, rows_per_
 OTHER_ROWS, VARIANTS, CONFIRM = 4000, 60, 0.6
 #: Longer paragraphs are not learned from.
 OTHER_CHARS = 2000
+#: Neighbouring lines that are read as one, for notices that are wrapped.
+LINES = 12
 #: A calibrated probability of any licence under this is unknown; families of at least ``LIKELY`` are compared with their templates.
 SURE, LIKELY = 0.5, 0.05
 
@@ -78,6 +80,8 @@ TEMPLATES = {
     ],
     "proprietary": [
         "Copyright. All rights reserved. No part of this publication may be reproduced or distributed in any form without prior written permission.",
+        "All rights reserved.",
+        "No part of this publication may be reproduced or distributed in any form without prior written permission.",
         "This software is confidential and proprietary; unauthorized copying is strictly prohibited.",
     ],
 }
@@ -157,6 +161,11 @@ class Classifier:
         #: by family: positions in ``hashes`` of each template's grams
         back = {g: int(np.searchsorted(self.hashes, hashes[i])) for g, i in place.items()}
         self.templates = [[frozenset(back[g] for g in grams(t)) for t in TEMPLATES[f]] for f in self.families]
+        #: by gram: 1 / size of each template that has it
+        flat = [t for own in self.templates for t in own]
+        self.parts = np.zeros((len(self.hashes), len(flat)), np.float32)
+        for i, t in enumerate(flat):
+            self.parts[list(t), i] = 1.0 / len(t)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -184,13 +193,70 @@ class Classifier:
         p = _softmax(z / self.temperature)
         row = np.searchsorted(offsets, cuts[paragraph[heads]], "right") - 1
         first_of = np.searchsorted(cuts, offsets)
+        lines = dict(zip(paragraph[heads].tolist(), np.split(feature, heads[1:]), strict=True))
+        single = set()
         for k in np.flatnonzero(1.0 - p[:, 0] >= SURE):
-            held = set(feature[heads[k] : heads[k + 1] if k + 1 < len(heads) else None].tolist())
-            # templates decide between families that the classifier finds likely
-            likely = [(max(len(held & t) / len(t) for t in self.templates[c - 1]), float(p[k, c]), c) for c in range(1, p.shape[1]) if p[k, c] >= LIKELY]
-            if likely and max(likely)[0] >= CONFIRM:
-                share, _, c = max(likely)
-                out[row[k]].append((int(paragraph[heads[k]] - first_of[row[k]]), c - 1, float(1.0 - p[k, 0]), share))
+            line = int(paragraph[heads[k]])
+            if notice := self._confirm(set(lines[line].tolist()), p[k]):
+                single.add(line)
+                out[row[k]].append((line - int(first_of[row[k]]), *notice))
+        for line, notice in self._wrapped(lines, single, words, first, np.isin(cuts[:-1], offsets)):
+            at = int(np.searchsorted(offsets, cuts[line], "right")) - 1
+            out[at].append((line - int(first_of[at]), *notice))
+        return [sorted(x) for x in out]
+
+    def _confirm(self, held: set[int], p: np.ndarray) -> tuple[int, float, float] | None:
+        """(family, probability, share): templates decide between families that the classifier finds likely."""
+        likely = [(max(len(held & t) / len(t) for t in self.templates[c - 1]), float(p[c]), c) for c in range(1, len(p)) if p[c] >= LIKELY]
+        if not likely or max(likely)[0] < CONFIRM:
+            return None
+        share, _, c = max(likely)
+        return c - 1, float(1.0 - p[0]), share
+
+    def _wrapped(self, lines: dict[int, np.ndarray], single: set[int], words: np.ndarray, first: np.ndarray, heads: np.ndarray) -> list[tuple[int, tuple[int, float, float]]]:
+        """(first line, notice) of notices that run over 2 to ``LINES`` lines, none of which is one alone.
+
+        Lines are joined up to a blank line or the end of a text. Pairs of
+        words over a line's end count. The sum of the lines' shares is not less than the share
+        of their union, so only runs where it confirms a template are scored.
+        """
+        n = len(first) - 1
+        empty = np.diff(first) == 0
+        alone = empty | np.isin(np.arange(n), list(single))
+        block = np.cumsum(heads | alone | np.concatenate([[False], alone[:-1]]))
+        # pairs of words that stand on both sides of a line's end
+        ends = np.flatnonzero(~alone[:-1] & (block[:-1] == block[1:]))
+        across: dict[int, int] = {}
+        if len(ends):
+            last = first[ends + 1] - 1
+            pair = gram_hashes(np.stack([words[last], words[last + 1]], axis=1).ravel(), np.arange(0, 2 * len(ends) + 1, 2), 2)[0]
+            at = np.minimum(np.searchsorted(self.hashes, pair), len(self.hashes) - 1)
+            across = {int(e): int(a) for e, a, h in zip(ends, at, pair, strict=True) if self.hashes[a] == h}
+        total = np.zeros((n + 1, self.parts.shape[1]), np.float64)
+        for line, own in lines.items():
+            total[line + 1] = self.parts[own].sum(axis=0)
+        for line, own in across.items():
+            total[line + 1] += self.parts[own]
+        total = np.cumsum(total, axis=0)
+        found = []
+        for size in range(2, min(LINES, n) + 1):
+            bound = (total[size:] - total[:-size]).max(axis=1)
+            for i in np.flatnonzero((block[size - 1 :] == block[: n - size + 1]) & (bound >= CONFIRM - 1e-6)):
+                i = int(i)
+                if i not in lines or (i + size - 1 not in lines):
+                    continue
+                held = set(np.concatenate([lines[k] for k in range(i, i + size) if k in lines]).tolist()) | {across[k] for k in range(i, i + size - 1) if k in across}
+                if self.parts[list(held)].sum(axis=0).max() < CONFIRM - 1e-6:
+                    continue
+                z = self.weights[list(held)].sum(axis=0, keepdims=True) + self.bias
+                p = _softmax(z / self.temperature)[0]
+                if 1.0 - p[0] >= SURE and (notice := self._confirm(held, p)):
+                    found.append((-notice[2], size, i, notice))
+        taken, out = set(), []
+        for _, size, i, notice in sorted(found):  # the fullest first, of equal ones the shortest
+            if taken.isdisjoint(range(i, i + size)):
+                taken.update(range(i, i + size))
+                out.append((i, notice))
         return out
 
 
@@ -237,7 +303,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, family, score, n_notices, families, notices)`` for each row of ``docs``.
 
-    Every paragraph (line) of every text is classified. It is unknown unless
+    Every line of every text is classified, and then every run of 2 to ``LINES`` lines
+    without a blank one between them, of which the first line is reported. It is unknown unless
     the calibrated probability of a licence is at least ``SURE``; of the families of probability ``LIKELY`` or more that is
     reported of which it holds the largest share of a template's grams, if that is at least ``CONFIRM``. ``family`` is that of the likeliest notice, ``unknown`` if
     there is none, as in null and empty texts; ``notices`` has paragraph numbers from 0. Repeated rows are each

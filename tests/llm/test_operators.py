@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -85,6 +86,18 @@ def test_licences(spark):
     assert licences.scan_licences(docs(spark, [])).count() == 0
 
 
+def test_wrapped_and_short_licences(spark):
+    noise = "the and of to in a is was on for with that by this from it at as are be"
+    rows = [(i, f"{noise} {i}\n{noise}") for i in range(40)]
+    long = [(f, t) for f in ("mit", "bsd", "gpl", "isc") for t in licences.TEMPLATES[f] if len(t) > 120]
+    rows += [(100 + i, "\n".join([noise, "", *textwrap.wrap(t, 45), "", noise])) for i, (_, t) in enumerate(long)]
+    rows += [(200 + i, "\n".join([noise, *textwrap.wrap(t, 75), noise])) for i, (_, t) in enumerate(long)]
+    rows += [(300, f"{noise}\nAll rights reserved.\n{noise}"), (301, "Permission is\n\nhereby\n\ngranted")]
+    got = {r.doc_id: (r.family, r.n_notices) for r in licences.scan_licences(docs(spark, rows)).collect() if r.family != "unknown"}
+    want = {k + i: (f, 1) for i, (f, _) in enumerate(long) for k in (100, 200)}
+    assert got == want | {300: ("proprietary", 1)}
+
+
 # --- operators 3 and 6
 
 
