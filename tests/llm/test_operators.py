@@ -221,6 +221,12 @@ def test_keep_one_of_each(spark):
     assert simhash.keep_one_of_each(docs(spark, [])).count() == 0
 
 
+def test_keep_one_of_each_with_reused_ids(spark):
+    a, b = "some words stand in this first text", "quite other words are in the second one"
+    for rows, want in (([(1, a), (1, a), (1, b)], [(1, b), (1, a)]), ([(1, a), (1, b), (0, a)], [(0, a), (1, b)])):
+        assert sorted(map(tuple, simhash.keep_one_of_each(docs(spark, rows)).select("doc_id", "text").collect())) == sorted(want)
+
+
 # --- operator 5
 
 
