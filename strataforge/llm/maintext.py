@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li".split()
 )
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
+#: Elements that an inline element's end tag does not reach beyond.
+BARRIERS = ("article", "main", "body", "td", "th", "table")
 SCOPE = frozenset("table td th caption html body article section div ul ol dl button object".split())
 DROPPED = frozenset(
     "head script style noscript template svg math canvas iframe object embed video audio form input button select textarea nav aside footer menu dialog title link meta base datalist".split()
@@ -50,11 +53,16 @@ DROPPED_LINES = frozenset(
 #: Words that tell enough where everything on a page has a dropped name.
 CERTAIN_WORDS = frozenset("comment comments respond disqus footer nav navbar navigation breadcrumb breadcrumbs cookie cookies".split())
 PROSE = frozenset("p pre blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold parts of a page; the other blocks are parts of a text.
+CONTAINERS = frozenset("html body div section article main center table tbody tr td th details fieldset form header aside footer nav dialog dir hgroup".split())
+#: Share of the densities of a node's innermost blocks that its child must have to be taken for it, and that a neighbour of the chosen part must have.
+MOST, SOME = 0.6, 0.1
 KEPT_CONTAINERS = frozenset("html body article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "attrs", "parts", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "mass", "titled", "dropped")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -62,56 +70,72 @@ class Node:
         self.dropped = False
 
 
+class _Open:
+    """The open elements, with the positions of each name, so that closing one never walks the others."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Position of the innermost open element of these names; 0 if there is none."""
+        return max((own[-1] for t in tags if (own := self.at.get(t))), default=0)
+
+    def cut(self, k: int) -> None:
+        for node in self.stack[k:]:
+            self.at[node.tag].pop()
+        del self.stack[k:]
+
+    def close(self, tags: tuple[str, ...]) -> None:
+        """Ends open elements of these names up to the nearest container."""
+        while (k := self.last(tags)) and k > self.last(t for t in SCOPE if t not in tags):
+            self.cut(k)
+            if tags == ("p",) or self.stack[-1].tag not in tags:
+                return
+
+    def end(self, tag: str) -> None:
+        """An end tag: of nothing that is open, or of an inline element beyond a container, it is stray."""
+        k = self.last((tag,))
+        if k and (tag in BLOCK or k > self.last(t for t in BARRIERS if t != tag)):
+            self.cut(k)
+
+
 def parse(page: str) -> Node:
-    """A tree of elements and texts. Unclosed and stray tags are mended as browsers roughly do."""
+    """A tree of elements and texts. Unclosed and stray tags are mended as browsers roughly do, in time linear in the page."""
     root = Node("html")
-    stack, at, size = [root], 0, len(page)
+    opened, at, size = _Open(root), 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
-            stack[-1].parts.append(entities.unescape(text) if "&" in text else text)
+            opened.stack[-1].parts.append(entities.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
         if m[2]:
             tag = m[2].lower()
-            if tag in ("html", "body") and len(stack) == 1 and tag == "html":
+            if tag == "html" and len(opened.stack) == 1:
                 root.attrs = m[3]
                 continue
             if tag in CLOSES_P:
-                _close(stack, ("p",))
+                opened.close(("p",))
             if tag in SIBLINGS:
-                _close(stack, SIBLINGS[tag])
-            node = Node(tag, m[3] or "", stack[-1])
-            stack[-1].parts.append(node)
+                opened.close(SIBLINGS[tag])
+            node = Node(tag, m[3] or "", opened.stack[-1])
+            opened.stack[-1].parts.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else size
             elif tag not in VOID and not (m[3] or "").endswith("/"):
-                stack.append(node)
+                opened.push(node)
         elif m[1]:
-            tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "body", "td", "th", "table") and tag not in BLOCK:
-                    break
+            opened.end(m[1].lower())
     return root
 
 
-def _close(stack: list[Node], tags: tuple[str, ...]) -> None:
-    """Ends open elements of these names up to the nearest container."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            if tags == ("p",) or k <= 1 or stack[k - 1].tag not in tags:
-                return
-        elif stack[k].tag in SCOPE:
-            return
-
-
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
@@ -125,15 +149,6 @@ def _walk(root: Node):
         todo.extend(x for x in reversed(node.parts) if not isinstance(x, str))
 
 
-def _inside(node: Node, tags: tuple[str, ...]) -> bool:
-    node = node.parent
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def _words(node: Node) -> set[str]:
     a = _attributes(node.attrs)
     return set(re.findall(r"[a-z]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
@@ -160,7 +175,10 @@ def _prune(order: list[Node], words: frozenset[str] = DROPPED_WORDS) -> None:
     """
     holds = set()  # nodes with an article, a main part or a heading of first rank below
     headed = set()
+    inner = set()  # nodes in an article or a main part
     for node in order:
+        if node.parent is not None and (node.parent.tag in ("article", "main") or id(node.parent) in inner):
+            inner.add(id(node))
         node.dropped = node.tag == "article" and bool(node.attrs) and node.parent is not None and bool(_words(node) & OTHER_ARTICLES)
         if node.tag in ("article", "main", "h1") and not node.dropped:
             up = node.parent
@@ -172,7 +190,7 @@ def _prune(order: list[Node], words: frozenset[str] = DROPPED_WORDS) -> None:
     for node in order:
         if node.tag in KEPT_CONTAINERS:
             continue
-        own_title = id(node) in headed and _inside(node, ("article", "main"))
+        own_title = id(node) in headed and id(node) in inner
         if node.tag in DROPPED:
             node.dropped = id(node) not in holds and (node.tag != "form" or words is DROPPED_WORDS)
         elif node.tag == "header":
@@ -218,8 +236,12 @@ def _measure(root: Node, order: list[Node]) -> Node:
     share = body.link_chars / body.chars if body.chars else 0.0
     for node in live:
         node.density = _density(node, share)
-    for node in live:
-        node.total = sum(x.density for x in node.parts if not isinstance(x, str) and not x.dropped)
+    for node in reversed(live):
+        below = [x for x in node.parts if not isinstance(x, str) and not x.dropped]
+        node.total = sum(x.density for x in below)
+        blocks = [x for x in below if x.tag in BLOCK] if node.tag not in PROSE and node.tag not in HEADINGS else []
+        node.mass = sum(x.mass for x in blocks) if blocks else node.density
+        node.titled = node.tag == "h1" or any(x.titled for x in below)
     return body
 
 
@@ -240,20 +262,19 @@ def _density(node: Node, share: float) -> float:
     return plain * math.log(max(weight, 1.0)) / math.log(base)
 
 
-def _selected(body: Node) -> list[Node]:
+def _selected(body: Node) -> list[Node | str]:
     """The nodes that make the main text.
 
-    The node with the largest sum of child densities is chosen (the first in
-    page order of equal ones); the least density on its path to the body is the threshold. If it lies in
-    an article or main element, that element is the text. Else it is widened to its ancestors
-    below the body, without blocks of links beside it, and siblings of those whose density reaches the threshold are taken too.
+    The node with the largest sum of child densities is sought (the first in
+    page order of equal ones), and the path to it is followed from the body. An
+    element on it is left for its child while that child has ``MOST`` of
+    the densities of its innermost blocks and the page's first heading is not left behind; an article on the path is
+    followed into in any case, and never left. Where the path is left, that
+    element is the main part. The least density on the whole path is the threshold: beside the path, containers
+    stay only if their density reaches it and they have ``SOME`` of the densities. Within the
+    part, blocks of links under the threshold are menus.
     """
-    live = []
-    todo = [body]
-    while todo:
-        node = todo.pop()
-        live.append(node)
-        todo.extend(x for x in reversed(node.parts) if not isinstance(x, str) and not x.dropped)
+    live = _live(body)
     best = max(live, key=lambda n: n.total)
     if best.total == 0.0:
         best = max(live, key=lambda n: n.density)
@@ -261,19 +282,46 @@ def _selected(body: Node) -> list[Node]:
     while node is not body and node.parent is not None:
         node = node.parent
         path.append(node)
-    for node in path:
-        if node.tag in ("article", "main"):
-            return [next((n for n in path if n.tag == "article"), node)]
+    path.reverse()
     threshold = min(n.density for n in path)
-    on_path = {id(n) for n in path}
-    for node in path[1:]:  # beside the path, blocks that are mostly links are menus
-        for x in node.parts:
-            if not isinstance(x, str) and id(x) not in on_path and not x.dropped:
-                x.dropped = x.link_chars * 2 > x.chars
-    if len(path) == 1:
-        return [body]
-    top = path[-2]  # the child of the body that holds the chosen node
-    return [n for n in body.parts if isinstance(n, str) or not n.dropped and (n is top or n.density >= threshold)]
+    last = max((k for k, n in enumerate(path) if n.tag == "article"), default=-1)
+    if last < 0:
+        main = max((k for k, n in enumerate(path) if n.tag == "main"), default=0)
+        last = main
+        while last + 1 < len(path):
+            here, child = path[last], path[last + 1]
+            if child.tag not in CONTAINERS or here.titled and not child.titled or child.mass < MOST * here.mass:
+                break
+            last += 1
+    part = path[last]
+    on_path = path[last + 1] if last + 1 < len(path) else None
+    _drop_menus(part, threshold)
+    if part.tag == "article":
+        return [part]
+    return [x for x in part.parts if isinstance(x, str) or x is on_path or not x.dropped and _belongs(x, part, threshold)]
+
+
+def _live(root: Node) -> list[Node]:
+    """Nodes that are not dropped, in page order."""
+    live, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        live.append(node)
+        todo.extend(x for x in reversed(node.parts) if not isinstance(x, str) and not x.dropped)
+    return live
+
+
+def _belongs(x: Node, part: Node, threshold: float) -> bool:
+    if x.tag in CONTAINERS:
+        return x.tag != "article" and x.density >= threshold and x.mass >= SOME * part.mass and x.link_chars * 2 <= x.chars
+    return x.tag in PROSE or x.tag in HEADINGS or x.link_chars * 2 <= x.chars
+
+
+def _drop_menus(part: Node, threshold: float) -> None:
+    """Marks lists and containers below ``part`` that are links almost alone and less dense than the threshold."""
+    for node in _live(part):
+        if node is not part and node.tag in BLOCK and node.tag not in PROSE and node.tag not in HEADINGS and node.tag != "li":
+            node.dropped = node.link_tags >= 3 and node.link_chars * 5 > node.chars * 4 and node.density < threshold
 
 
 def _blocks(chosen: list[Node | str]) -> str:
@@ -328,8 +376,9 @@ def extract(spark, page: Column) -> Column:
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages``, in one pass without a shuffle.
 
-    Null and empty pages give an empty text; repeated rows are each
-    extracted; extra columns are ignored.
+    Null and empty pages give an empty text and n_chars 0, as do empty tables no rows; repeated rows and
+    ids, nulls in the id and the url are kept as they are; a page is taken whole, however long;
+    extra columns, whatever their names, are ignored.
     """
     told = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), extract(pages.sparkSession, F.col(html_col)).alias("text"))
     return told.withColumn("n_chars", F.char_length("text").cast("bigint"))
