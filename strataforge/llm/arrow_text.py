@@ -103,14 +103,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, equal for equal bytes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = 1 << max(int(len(data)).bit_length(), 21)
-    power, inverse = _powers(size) if size <= 1 << 22 else _powers.__wrapped__(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of words, equal for equal bytes wherever they stand.
+
+    A word is hashed as a polynomial of its bytes; words are taken in pieces of about
+    ``STEP_BYTES``, a longer word by itself in pieces too, so temporaries stay small.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(int(np.searchsorted(ends, low + STEP_BYTES, "right")), at + 1)
+        if int(ends[stop - 1]) - low <= STEP_BYTES:
+            power, inverse = _powers(1 << STEP_BYTES.bit_length())
+            part = data[low : int(ends[stop - 1])]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+            s, e = starts[at:stop] - low, ends[at:stop] - low
+            out[at:stop] = (sums[e] - sums[s]) * inverse[s]
+        else:
+            total, shift = 0, 1
+            power, _ = _powers(1 << STEP_BYTES.bit_length())
+            for k in range(low, int(ends[at]), STEP_BYTES):
+                part = data[k : min(k + STEP_BYTES, int(ends[at]))]
+                total = (total + shift * int(((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)]).sum(dtype=np.uint64))) % (1 << 64)
+                shift = shift * pow(int(_ODD), STEP_BYTES, 1 << 64) % (1 << 64)
+            out[at] = np.uint64(total)
+        at = stop
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,12 +1,16 @@
-"""Joins of a small-or-large side, by its measured size."""
+"""Joins of a small-or-large side by its measured size, and joins on keys that a third of all rows may share."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataforge.session import staged
+
 #: Rows of a staged side (a key of up to 100 bytes each) that may be broadcast.
 BROADCAST_ROWS = 100_000
+#: A key is hot if more than one in ``HOT`` rows has it, so there are fewer than ``HOT`` hot keys; parts that its rows are dealt to.
+HOT, SALTS = 500, 64
 
 
 def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -17,3 +21,21 @@ def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def without(docs: DataFrame, bad: DataFrame, on: Column) -> DataFrame:
     """Rows of ``docs`` that match no row of the staged ``bad``."""
     return docs.join(sized(bad), on, "left_anti")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, deal: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each ``key``, with the rows of hot keys dealt to ``SALTS`` parts.
+
+    ``counts`` has ``(key, n)``, the number of rows by key. The hot keys are fewer than ``HOT`` whatever
+    the size of the table, so they are broadcast; only their rows of ``table`` are repeated. Rows are dealt by ``deal``.
+    """
+    counts = staged(counts.select(key, "n"), "key-counts")
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * HOT > F.lit(whole)).select(F.col(key).alias("__hot"))
+    if not hot.limit(1).count():
+        return rows.join(table, key, how)
+    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    salted = salted.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*deal), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("__hot")
+    each = table.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    each = each.withColumn("__salt", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return salted.join(each, [key, "__salt"], how).drop("__salt")

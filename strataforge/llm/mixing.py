@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from strataforge.operators.ranks import numbered
 from strataforge.session import staged
 
 #: Documents that one leaf of the reduction tree takes in order, and leaves that one inner node combines.
@@ -31,13 +31,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     ``most`` times its source's size, and the excess is shared anew among the
     others until none is above. Sources without words have target 0.
 
-    The table of sources is small beside the documents; ranking it is the
-    only step in one task. The rounds are sums over it.
+    Sources are numbered by ranges; the rounds are sums over their table.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (turn + 1).cast("int")).cast("bigint")
-    now = staged(sizes.withColumn("weight", weight).withColumn("capped", F.lit(False)), "weights")
+    turn = F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int")
+    now = numbered(sizes, [F.col("source").asc_nulls_last()], "place").withColumn("turn", turn).drop("place")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("turn") + 1).cast("bigint")
+    now = staged(now.withColumn("weight", weight).withColumn("capped", F.lit(False)), "weights")
     total = now.agg(F.sum("source_size")).first()[0] or 0
     while True:
         free, fixed = now.agg(
@@ -45,7 +44,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
             F.coalesce(F.sum(F.when(F.col("capped"), F.col("source_size"))), F.lit(0)),
         ).first()
         rest = share[0] * total - share[1] * most * fixed  # in units of 1 / share[1]
-        above = F.lit(rest) * F.col("weight") > F.lit(share[1] * most * free) * F.col("source_size")
+        # whole numbers of any size, compared in Python: rest * weight > share * most * free * size
+        each = share[1] * most * free
+        bounds = [min((rest * w - 1) // each, (1 << 63) - 1) if each else -1 for w in weights]
+        above = F.col("source_size") <= F.element_at(F.array(*[F.lit(b).cast("bigint") for b in bounds]), F.col("turn") + 1)
         if free == 0 or now.where(~F.col("capped") & above).limit(1).count() == 0:
             break
         now = staged(now.withColumn("capped", F.col("capped") | above), "weights")
@@ -115,7 +117,7 @@ def _round(pdf: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
 
 
 def round_copies(shares: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
-    """Whole numbers of copies for ``(source, doc, tie, size, ratio)``; one row each, in columns ``(source, doc, tie, size, copies)``.
+    """Whole numbers of copies for ``(source, doc, tie, size, rows, ratio)``; one row each, with ``copies`` for ``ratio``. ``rows`` may lack, and is 1 then.
 
     The whole part of ``ratio`` is taken as it is; the fractions are rounded in a
     tree. A leaf takes about ``leaf`` documents of one source, drawn by hash, and
@@ -125,7 +127,10 @@ def round_copies(shares: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFra
     Nodes are named by source, level and a hash of the document, so a rerun draws the same.
     """
     base = F.floor("ratio")
-    table = shares.select("source", "doc", "tie", "size", base.alias("base"), (F.col("ratio") - base).alias("p"), F.expr("xxhash64(doc, size, tie)").alias("draw"))
+    shares = shares if "rows" in shares.columns else shares.withColumn("rows", F.lit(1).cast("bigint"))
+    own = ("source", "doc", "none", "tie", "size", "rows", "base", "p")
+    # a null id would make the others of its batch floating-point numbers
+    table = shares.select("source", F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("none"), "tie", "size", "rows", base.alias("base"), (F.col("ratio") - base).alias("p"), F.expr("xxhash64(doc, size, tie)").alias("draw"))
     open_rows = (F.col("p") > 0) & (F.col("size") > 0)
     counts = table.where(open_rows).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     leaves = counts.select("source", F.greatest(F.ceil(F.col("n") / leaf), F.lit(1)).cast("bigint").alias("leaves"))
@@ -135,14 +140,14 @@ def round_copies(shares: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFra
     s = small.select(F.col("source").alias("__s"), "leaves")
     todo = table.where(open_rows).join(s, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("node", F.expr("pmod(shiftright(draw, 16), leaves)"))
     todo = todo.drop("leaves")
-    closed = [table.where(~open_rows).select("source", "doc", "tie", "size", "base", F.lit(0.0).alias("p"))]
-    schema = "source string, doc bigint, tie bigint, size bigint, base bigint, p double, draw bigint, node bigint, open boolean"
+    closed = [table.where(~open_rows).withColumn("p", F.lit(0.0)).select(*own)]
+    schema = "source string, doc bigint, none boolean, tie bigint, size bigint, rows bigint, base bigint, p double, draw bigint, node bigint, open boolean"
     level = 0
     while True:
         last = most <= 1
         done = todo.groupBy("source", "node").applyInPandas(_rounder(level, last), schema)
         done = staged(done, f"rounded{level}")
-        closed.append(done.where("not open").select("source", "doc", "tie", "size", "base", "p"))
+        closed.append(done.where("not open").select(*own))
         if last:
             break
         todo = done.where("open").drop("open").withColumn("node", F.expr(f"node div {fan}"))
@@ -151,7 +156,28 @@ def round_copies(shares: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFra
     whole = closed[0]
     for part in closed[1:]:
         whole = whole.unionByName(part)
-    return whole.select("source", "doc", "tie", "size", (F.col("base") + F.round("p").cast("bigint")).alias("copies"))
+    return whole.select("source", F.when(~F.col("none"), F.col("doc")).alias("doc"), "tie", "size", "rows", (F.col("base") + F.round("p").cast("bigint")).alias("copies"))
+
+
+#: Rows of a group of alike rows that one task writes out at once.
+ALIKE = 10_000
+
+
+def mix_groups(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``(doc, source, tie, size, rows, source_size, target, copies)``: one row for each group of alike rows.
+
+    Rows with one id, source and text are alike: they count as one document of ``rows``
+    times the expectation, so that they neither meet in one leaf nor are drawn one by one.
+    """
+    units = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))
+    units = staged(units.groupBy("doc", "source", "size", "tie").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    targets = staged(source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, share, most), "targets")
+    small = F.broadcast(targets) if targets.count() <= SOURCES else targets
+    small = small.select(F.col("source").alias("__s"), "source_size", "target")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    of = F.col("source").eqNullSafe(F.col("__s"))
+    shares = units.join(small, of).withColumn("ratio", F.when(F.col("size") > 0, ratio * F.col("rows")).otherwise(F.lit(0.0)))
+    return round_copies(shares).join(small, of).select("doc", "source", "tie", "size", "rows", "source_size", "target", "copies")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -160,29 +186,32 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tu
     A document's probability is its source's target over its source's size,
     so at most ``most`` copies of it are taken. Size is the number of words,
     0 for null and empty texts, of which no copy is taken. Null is a source
-    of its own. ``tie`` is a hash of the text: repeated rows with the same id, source and text are each
-    drawn, and are alike. An empty table gives an empty result; extra columns are ignored.
+    of its own, and a null id is an id like others. ``tie`` is a hash of the text: the copies of alike rows (one
+    id, source and text) are drawn together and dealt out evenly, the first ones getting one more. An
+    empty table gives an empty result; extra columns, whatever their names, are ignored; a text counts whole, however long.
     """
-    sized = staged(
-        docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie")),
-        "sizes",
-    )
-    targets = staged(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    small = F.broadcast(targets) if targets.count() <= SOURCES else targets
-    small = small.select(F.col("source").alias("__s"), "source_size", "target")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    shares = sized.join(small, F.col("source").eqNullSafe(F.col("__s"))).select("source", "doc", "tie", "size", F.when(F.col("size") > 0, ratio).otherwise(F.lit(0.0)).alias("ratio"))
-    copies = round_copies(shares)
-    return copies.join(small, F.col("source").eqNullSafe(F.col("__s"))).select(F.col("doc").alias("doc_id"), "source", "tie", "size", "source_size", "target", "copies")
+    groups = mix_groups(docs, weights, share, most, id_col, text_col, source_col)
+    # a group may be a third of all rows: it is written out in pieces that any task may take
+    pieces = groups.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(rows - 1) div {ALIKE}"))))
+    some = groups.where(F.col("rows") > ALIKE).limit(1).count() > 0
+    pieces = pieces.repartition("doc", "tie", "piece") if some else pieces
+    first, last = F.col("piece") * ALIKE, F.least((F.col("piece") + 1) * ALIKE, F.col("rows")) - 1
+    each = pieces.withColumn("no", F.explode(F.sequence(first, last)))
+    own = F.expr("copies div rows") + (F.col("no") < F.expr("copies % rows")).cast("bigint")
+    return each.select(F.col("doc").alias("doc_id"), "source", "tie", "size", "source_size", "target", own.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with each document as often as the mix takes it, numbered by ``copy_no`` from 0."""
-    mix = staged(mix_sources(docs), "mix")
-    taken = mix.where("copies > 0").groupBy("doc_id", "source", "tie").agg(F.sort_array(F.collect_list("copies")).alias("each"))
-    taken = taken.select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), "each")
+    """``docs`` with each document as often as the mix takes it, numbered from 0.
+
+    The number is in ``copy_no`` or, where ``docs`` has such a column, in ``mix_copy_no``. Alike
+    rows (one id, source and text) stand for each other: one of them is taken as often as all together. Null,
+    empty and wordless texts are not taken; an empty table gives an empty result; extra columns are kept.
+    """
+    mix = staged(mix_groups(docs), "mix")
+    number = "mix_copy_no" if "copy_no" in [c.lower() for c in docs.columns] else "copy_no"
+    taken = mix.where("copies > 0").select(F.col("doc").alias("__doc"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), F.col("copies").alias("__n"))
     same = docs["doc_id"].eqNullSafe(F.col("__doc")) & docs["source"].eqNullSafe(F.col("__source")) & (F.xxhash64(docs["text"]) == F.col("__tie"))
-    # repeated rows are alike: one row stands for all, with the sum of their copies
-    picked = docs.dropDuplicates(["doc_id", "source", "text"]) if mix.groupBy("doc_id", "source", "tie").count().where("count > 1").limit(1).count() else docs
-    out = picked.join(taken.withColumn("__n", F.aggregate("each", F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("each").hint("shuffle_hash"), same)
-    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1))).drop("__doc", "__source", "__tie", "__n")
+    picked = docs.dropDuplicates(["doc_id", "source", "text"]) if mix.where("rows > 1").limit(1).count() else docs
+    out = picked.join(taken, same)
+    return out.withColumn(number, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1))).drop("__doc", "__source", "__tie", "__n")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.llm.arrow_text import NOT_SPACE, byte_table, gram_hashes, rows_per_batch, spans, steps, word_hashes
+from strataforge.llm.arrow_text import NOT_SPACE, STEP_BYTES, byte_table, gram_hashes, rows_per_batch, spans, steps, word_hashes
 
 #: Buckets of byte trigrams, latent dimensions, labelled rows that are learned from at most (about), neighbours that vote.
 TERMS, LATENT, TRAIN_ROWS, NEIGHBOURS = 2048, 64, 4096, 25
@@ -37,21 +37,11 @@ def term_vectors(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         rows = end - first
         out = np.zeros((rows, WIDTH), np.float32)
         size = np.diff(offsets)
-        if len(data) >= 3:
-            row = np.repeat(np.arange(rows), size)
-            wide = data.astype(np.uint32)
-            code = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
-            whole = row[:-2] == row[2:]
-            bucket = (code * np.uint32(2654435761)) >> np.uint32(32 - TERMS.bit_length() + 1)
-            at = row[:-2][whole] * TERMS + bucket[whole]
-            counts = np.bincount(at, minlength=rows * TERMS).reshape(rows, TERMS)
-            out[:, :TERMS] = np.log1p(counts)
         if len(data):
             n = np.maximum(size, 1)
-            cum = np.zeros(len(data) + 1, np.int64)
-            for k, table in enumerate(_KINDS):
-                np.cumsum(table[data], out=cum[1:])
-                out[:, TERMS + k] = (cum[offsets[1:]] - cum[offsets[:-1]]) / n
+            counts, kinds = _tallies(data, offsets)
+            out[:, :TERMS] = np.log1p(counts)
+            out[:, TERMS : TERMS + len(_KINDS)] = kinds / n[:, None]
             start, stop, heads = spans(data, offsets, NOT_SPACE)
             words = np.diff(heads)
             hashes = word_hashes(data, start, stop)
@@ -65,6 +55,25 @@ def term_vectors(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         yield first, end, out
 
 
+def _tallies(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By row: how often each bucket of byte trigrams and each kind of byte occurs, counted in pieces of bounded size."""
+    rows = len(offsets) - 1
+    grams, kinds = np.zeros(rows * TERMS, np.int64), np.zeros((rows, len(_KINDS)), np.int64)
+    for low in range(0, len(data), STEP_BYTES):
+        high = min(low + STEP_BYTES, len(data))
+        wide = data[low : high + 2]  # trigrams that begin in this piece
+        row = np.searchsorted(offsets, np.arange(low, low + len(wide)), "right") - 1
+        for k, table in enumerate(_KINDS):
+            kinds[:, k] += np.bincount(row[: high - low][table[data[low:high]]], minlength=rows)
+        if len(wide) >= 3:
+            x = wide.astype(np.uint32)
+            code = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
+            whole = row[:-2] == row[2:]
+            bucket = (code * np.uint32(2654435761)) >> np.uint32(32 - TERMS.bit_length() + 1)
+            grams += np.bincount(row[:-2][whole] * TERMS + bucket[whole], minlength=rows * TERMS)
+    return grams.reshape(rows, TERMS), kinds
+
+
 def _distinct(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """Share of distinct values in each row; 1 for rows without any."""
     out = np.ones(len(heads) - 1)
@@ -102,13 +111,23 @@ class Model:
             return np.full(len(x), self.prior)
         cosine = _unit(self._weighted(x) @ self.axes) @ self.vectors.T
         k = min(k, len(self.label))
-        at = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        at = _nearest(cosine, k)
         weight = np.maximum(np.take_along_axis(cosine, at, axis=1), 0).astype(np.float64) ** 4
         total = weight.sum(axis=1)
         score = (weight * self.label[at]).sum(axis=1) / np.maximum(total, 1e-12)
         return np.clip(np.where((total > 1e-9) & x.any(axis=1), score, self.prior), 0.0, 1.0)
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """By row the k places of the highest values, of equal ones the first; places are in the order of ids."""
+    part = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+    above = cosine > part[:, None]
+    level = cosine == part[:, None]
+    room = k - above.sum(axis=1)
+    take = above | (level & (np.cumsum(level, axis=1) <= room[:, None]))
+    return np.nonzero(take)[1].reshape(len(cosine), k)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -127,16 +146,18 @@ def quality_part(id_col: str = "doc_id", parts: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learns from about ``rows`` labelled documents at most, drawn by a hash of the id.
+    """Learns from about ``rows`` labelled ids at most, drawn by a hash of the id.
 
-    Their term vectors are made on the cluster; the driver gets a table of
-    fixed width and bounded length. Of several labels of a document the largest counts.
+    Their term vectors are made on the cluster; the driver gets a table of fixed width and a row for
+    each drawn id. Of several labels of an id the largest counts; of several texts of an id one, chosen by
+    its hash, is learned.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     n = known.count()
     limit = int(min(1.0, rows / max(n, 1)) * (1 << 30))
     drawn = known.where(F.pmod(F.xxhash64("__id", F.lit(3)), F.lit(1 << 30)) < limit)
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("__doc") == F.col("__id")).select("__id", "__label", "text")
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("__doc") == F.col("__id"))
+    texts = texts.groupBy("__id").agg(F.max("__label").alias("__label"), F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
     rows_per_batch(docs.sparkSession)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +191,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs``.
 
     Labels of ids whose crc32 mod ``parts`` is ``held`` are never learned
-    from. Null, empty and blank texts have the learned labels' mean as score;
-    without labels that is 0.5. Extra columns are ignored; repeated rows are each scored.
+    from; null ids have no label and are scored. Null, empty and blank texts have the learned labels' mean as score;
+    without labels that is 0.5. Texts count whole, however long. Of labelled vectors that are equally near
+    at the last place, those of smaller ids vote. Extra columns, whatever their names, are
+    ignored; repeated rows are each scored; an empty table gives an empty result.
     """
     model = train(docs, labels.where(quality_part(id_col, parts) != held))
     out = F.coalesce(quality_part(id_col, parts) == held, F.lit(False))

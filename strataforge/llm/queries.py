@@ -106,9 +106,9 @@ _OP8 = """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 p as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+  , q.n from (select *, row_number() over () as n from (select distinct vec_id, e from v where vec_id % 50 = 0)) q join v c on q.vec_id <> c.vec_id)
 select query_id, cast(rank as integer) as rank, vec_id, score from (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 5"""
+  select *, row_number() over (partition by n order by score desc, vec_id) as rank from p) where rank <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from strataforge.llm.arrow_text import rows_per_batch
-from strataforge.llm.joins import sized
+from strataforge.llm.joins import sized, spread_join
 from strataforge.llm.shingles import set_column, shingle_classes
 from strataforge.operators.graph import connected_components
 from strataforge.session import staged
@@ -64,34 +64,40 @@ def hamming_links(codes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     with the 33 values of the ball of radius 1 and the table of lower
     segments with its own value, and complete distances are verified.
 
-    A table bucket with more than ``bucket`` codes is not joined. Both ends
-    of any link that this loses lie in such buckets; these codes are linked
+    A table bucket with more than ``bucket`` codes is not joined, and its codes look
+    nothing up. Both ends of any link that this loses lie in such a bucket or look at one; all such codes are linked
     exactly in another way: two codes are within 2 bits if and only if some
     64-bit value is within 1 bit of both, so every such code names its 65
     values and the members of a value (65 at most) are linked to its least.
     """
     low = F.lit((1 << 32) - 1)
     parts = codes.select("fp", F.shiftrightunsigned("fp", 32).alias("s1"), F.col("fp").bitwiseAND(low).alias("s2"))
-    occupied = parts.select(F.explode(F.array(F.struct(F.lit(1).alias("seg"), F.col("s1").alias("key")), F.struct(F.lit(2).alias("seg"), F.col("s2").alias("key")))).alias("b")).select("b.*")
-    full = staged(occupied.groupBy("seg", "key").count().where(F.col("count") > bucket).select("seg", "key"), "full-buckets")
-    full1 = sized(full.where("seg = 1").select(F.col("key").alias("s1"), F.lit(True).alias("x1")))
-    full2 = sized(full.where("seg = 2").select(F.col("key").alias("s2"), F.lit(True).alias("x2")))
-    parts = parts.join(full1, "s1", "left").join(full2, "s2", "left").select("fp", "s1", "s2", F.coalesce("x1", F.lit(False)).alias("x1"), F.coalesce("x2", F.lit(False)).alias("x2"))
-    parts = staged(parts, "codes")
-
     struct = lambda seg, key: F.struct(F.lit(seg).alias("seg"), key.alias("key"))
-    table = parts.select("fp", F.explode(F.filter(F.array(F.struct(F.lit(1).alias("seg"), F.col("s1").alias("key"), F.col("x1").alias("x")), F.struct(F.lit(2).alias("seg"), F.col("s2").alias("key"), F.col("x2").alias("x"))), lambda b: ~b["x"])).alias("b"))
-    table = table.select(F.col("fp").alias("v"), F.col("b.seg").alias("seg"), F.col("b.key").alias("key"))
-    ball = F.concat(F.array(struct(1, F.col("s1")), struct(2, F.col("s2"))), *[F.array(struct(1, F.col("s1").bitwiseXOR(F.lit(1 << i)))) for i in range(32)])
+    own = F.array(struct(1, F.col("s1")), struct(2, F.col("s2")))
+    ball = F.concat(own, *[F.array(struct(1, F.col("s1").bitwiseXOR(F.lit(1 << i)))) for i in range(32)])
+    occupied = parts.select(F.explode(own).alias("b")).select("b.*")
+    full = staged(occupied.groupBy("seg", "key").count().where(F.col("count") > bucket).select("seg", "key"), "full-buckets")
     probes = parts.select(F.col("fp").alias("u"), F.explode(ball).alias("b")).select("u", "b.seg", "b.key")
+    table = parts.select("fp", F.explode(own).alias("b")).select(F.col("fp").alias("v"), F.col("b.seg").alias("seg"), F.col("b.key").alias("key"))
+    by_middle = None
+    if full.limit(1).count():
+        # codes that look at a full bucket go by midpoints; those that lie in one do not look up the others' buckets
+        small = sized(full)
+        by_middle = staged(probes.join(small, ["seg", "key"], "left_semi").select(F.col("u").alias("fp")).distinct(), "middle")
+        inside = table.join(small, ["seg", "key"], "left_semi").select(F.col("v").alias("u")).distinct()
+        probes = probes.join(sized(staged(inside, "inside")), "u", "left_anti")
+        table = table.join(small, ["seg", "key"], "left_anti")
     near = probes.join(table, ["seg", "key"]).where("u <> v and bit_count(u ^ v) <= 2").select("u", "v")
+    ordered = lambda links: links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    if by_middle is None:
+        return ordered(near)
 
     signed = lambda i: (1 << i) - (1 << 64) * (i == 63)
     values = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(i)).cast("bigint")) for i in range(64)])
-    middle = parts.where("x1 or x2").select("fp", F.explode(values).alias("mid"))
+    middle = by_middle.select("fp", F.explode(values).alias("mid"))
     least = middle.groupBy("mid").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mid", "v")
     starred = middle.join(least, "mid").where("fp <> v").select(F.col("fp").alias("u"), "v")
-    return near.union(starred).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return ordered(near.union(starred))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -100,17 +106,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest non-null id reachable over links of 2 or
     fewer bits, null where all of them are null. Copies collapse into one code before
     any link is made. Null, empty and wordless texts share fingerprint 0,
-    which links like any other. Extra columns are ignored; an empty table
+    which links like any other. Texts count whole, however long. Extra columns, whatever their names, are ignored; an empty table
     gives an empty result.
     """
     marked = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    codes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    codes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     labels = connected_components(hamming_links(codes.select("fp")))
     named = codes.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = staged(named, "labelled")
-    groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.join(groups, "component").select("fp", "component_id")
-    return marked.join(final, "fp").select("doc_id", "fp", "component_id")
+    groups = staged(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
+    # one component, or the copies of one text, may be a third of all rows
+    final = spread_join(named, groups.select("component", "component_id"), "component", groups, ["fp"]).select("fp", "component_id")
+    return spread_join(marked, final, "fp", codes, ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_text(fp):
@@ -124,7 +131,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     0.8), not of operator 4's fingerprints. Survivors are chosen by id and
     shingle set, so rows that share an id but not a text are kept apart.
     Repeated rows with the kept id and set are reduced to one; a group whose
-    ids are all null keeps one of its rows.
+    ids are all null keeps one of its rows. Null, empty and wordless texts are one group. An empty table
+    gives an empty result; extra columns are kept.
     """
     marked, named = shingle_classes(docs)
     classes = marked.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))

@@ -12,8 +12,10 @@ from pyspark.sql.window import Window
 
 from strataforge.session import staged
 
-#: Queries of one round (their vectors, about 512 bytes each at 64 components, are broadcast), rows of a block, segments of a vector.
+#: Queries of one round (their vectors, about 512 bytes each at 64 components, are broadcast), rows of a block at most, segments of a vector.
 QUERIES, BLOCK, SEGMENTS = 8192, 2048, 2
+#: Numbers of one array of scores (queries times rows of a block), 8 bytes each.
+CELLS = 1 << 21
 
 
 def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,11 +37,12 @@ def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, np.int64), np.array(out).reshape(-1, width)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and integer components of usable rows, in blocks."""
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, queries: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and integer components of usable rows, in blocks that are smaller the more queries there are."""
+    size = max(16, min(BLOCK, CELLS // max(queries, 1)))
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
             ok, x = _matrix(part.column(1), width)
             ids = part.column(0).to_numpy(zero_copy_only=False)
             if len(ok):
@@ -68,9 +71,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     Components are floor(256 x); scores are whole numbers. Ties go to the
     smaller id; a row with the query's own id is no candidate. Vectors that are null,
-    or hold a null or a value that is not finite, take no part; a shorter vector counts as
-    padded with zeros. Queries are taken in chunks of bounded size, so
-    that only one chunk is broadcast at a time; for each chunk:
+    or hold a null or a value that is not finite, and rows with a null id take no part; a shorter vector counts as
+    padded with zeros. Query rows with one id and one whole-number vector are one query, with one list; of one id with
+    other vectors each has a list. Candidate rows that repeat an id are each a candidate. Extra
+    columns are ignored; an empty table gives an empty result. Queries are taken in chunks of
+    bounded size, so that only one chunk is broadcast at a time; for each chunk:
 
     1. The score of a row is the sum of its scores in ``segments`` parts of the
        vector. Each shard (a task's rows) lists the k highest rows by each part, resolves these few in
@@ -90,16 +95,21 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     # floats stay floats on their way to Python; anything else is taken as doubles
     kind = "array<float>" if dict(rows.dtypes)[vector_col] == "array<float>" else "array<double>"
     table = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(kind).alias("v")).where("vec_id is not null")
-    asked = queries.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(kind).alias("v")).where("vec_id is not null")
+    asked = queries.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = asked.where(usable).select("vec_id", integer_vector(F.col("v")).cast("array<double>").alias("v")).distinct()
+    asked = staged(asked, "queries")
     n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     width = max(int(width), 1)
     parts = max(1, -(-n // chunk))
     out = None
     for c in range(parts):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == c).toArrow()
-        ok, q = _matrix(own.column("v").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.float32())), width)
-        qid = own.column("vec_id").to_numpy()[ok] if own.num_rows else np.zeros(0, np.int64)
-        one = _chunk(table, qid.astype(np.int64), q, width, k, segments)
+        own = asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)) == c).toArrow()
+        found = sorted(zip(own["vec_id"].to_pylist(), own["v"].to_pylist(), strict=True))
+        q = np.zeros((len(found), width))
+        for i, (_, v) in enumerate(found):
+            q[i, : len(v)] = v
+        one = _chunk(table, np.array([i for i, _ in found], np.int64), q, width, k, segments)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -108,12 +118,12 @@ def _chunk(table: DataFrame, qid: np.ndarray, q: np.ndarray, width: int, k: int,
     sc = table.sparkSession.sparkContext
     cuts = _cuts(width, segments)
     asked = sc.broadcast((qid, q))
-    names = ["part", "query_id", "vec_id", "score"]
+    names = ["part", "query", "vec_id", "score"]
 
     def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = asked.value
         held, least = [None] * len(qid), np.full((len(qid), len(cuts)), np.inf)
-        for ids, x in _blocks(batches, width):
+        for ids, x in _blocks(batches, width, len(qid)):
             picked = []
             for s, (a, b) in enumerate(cuts):
                 part = q[:, a:b] @ x[:, a:b].T
@@ -125,25 +135,25 @@ def _chunk(table: DataFrame, qid: np.ndarray, q: np.ndarray, width: int, k: int,
                 at = np.unique(picked[i])
                 at = at[ids[at] != qid[i]]
                 _merge(held, i, ids[at], x[at] @ q[i], k)
-        yield from _send(qid, held, names)
+        yield from _send(held, names)
         if len(qid) and np.isfinite(least).any():
             row, s = np.nonzero(np.isfinite(least))
-            yield pa.RecordBatch.from_arrays([pa.array(s + 1, pa.int32()), pa.array(qid[row]), pa.array(np.zeros(len(row), np.int64)), pa.array(least[row, s].astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(s + 1, pa.int32()), pa.array(row), pa.array(np.zeros(len(row), np.int64)), pa.array(least[row, s].astype(np.int64))], names=names)
 
-    schema = "part int, query_id bigint, vec_id bigint, score bigint"
+    schema = "part int, query bigint, vec_id bigint, score bigint"
     lists = staged(table.mapInArrow(local_lists, schema), "lists")
-    ranked = lists.where("part = 0").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    kth = {r[0]: r[1] for r in ranked.where(F.col("r") == k).select("query_id", "score").collect()}  # one number for each query of the chunk
-    low = {(r[0], r[1]): r[2] for r in lists.where("part > 0").groupBy("query_id", "part").agg(F.min("score")).collect()}
-    cutoff = np.array([kth.get(int(i), -np.inf) for i in qid], np.float64)
-    base = np.array([[low.get((int(i), s + 1), 0) for s in range(len(cuts))] for i in qid], np.float64).reshape(len(qid), len(cuts))
+    ranked = lists.where("part = 0").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+    kth = {r[0]: r[1] for r in ranked.where(F.col("r") == k).select("query", "score").collect()}  # one number for each query of the chunk
+    low = {(r[0], r[1]): r[2] for r in lists.where("part > 0").groupBy("query", "part").agg(F.min("score")).collect()}
+    cutoff = np.array([kth.get(i, -np.inf) for i in range(len(qid))], np.float64)
+    base = np.array([[low.get((i, s + 1), 0) for s in range(len(cuts))] for i in range(len(qid))], np.float64).reshape(len(qid), len(cuts))
     even = sc.broadcast((cutoff, base + ((cutoff - base.sum(axis=1)) / len(cuts))[:, None]))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = asked.value
         cutoff, share = even.value
         held = [None] * len(qid)
-        for ids, x in _blocks(batches, width):
+        for ids, x in _blocks(batches, width, len(qid)):
             enough = np.zeros((len(qid), len(ids)), bool)
             for s, (a, b) in enumerate(cuts):
                 enough |= q[:, a:b] @ x[:, a:b].T >= share[:, s : s + 1]
@@ -153,19 +163,20 @@ def _chunk(table: DataFrame, qid: np.ndarray, q: np.ndarray, width: int, k: int,
                 keep = scores >= cutoff[i]
                 if keep.any():
                     _merge(held, i, ids[at[keep]], scores[keep], k)
-        yield from _send(qid, held, names)
+        yield from _send(held, names)
 
     best = table.mapInArrow(resolve, schema)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+    names_of = table.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(qid)], "query bigint, query_id bigint")
+    return ranked.where(F.col("rank") <= k).join(F.broadcast(names_of), "query").select("query_id", "rank", "vec_id", "score")
 
 
-def _send(qid: np.ndarray, held: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _send(held: list, names: list[str]) -> Iterator[pa.RecordBatch]:
     some = [i for i, h in enumerate(held) if h is not None and len(h[0])]
     if some:
         n = [len(held[i][0]) for i in some]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(sum(n), np.int32)), pa.array(np.repeat(qid[some], n)), pa.array(np.concatenate([held[i][0] for i in some])), pa.array(np.concatenate([held[i][1] for i in some]).astype(np.int64))],
+            [pa.array(np.zeros(sum(n), np.int32)), pa.array(np.repeat(np.array(some, np.int64), n)), pa.array(np.concatenate([held[i][0] for i in some])), pa.array(np.concatenate([held[i][1] for i in some]).astype(np.int64))],
             names=names,
         )
 
