@@ -28,13 +28,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    It is what the session names in ``spark.checkpoint.dir``; only where that
-    is unset (tests on one machine) a temporary folder is chosen.
+    It is what the session names in ``spark.checkpoint.dir``. Where that is unset, a temporary
+    folder is chosen for a local master; on a cluster it is an error, since
+    a folder of one machine would be unseen by the others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
         folder = tempfile.mkdtemp(prefix="strataforge-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -53,9 +57,3 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a staged folder through Hadoop's file system interface."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
