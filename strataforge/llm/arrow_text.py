@@ -48,6 +48,13 @@ def folded(texts: pa.Array) -> pa.Array:
     return pa.array((None if x is None else x.casefold() for x in texts.to_pylist()), pa.large_string())
 
 
+def folded_steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Steps of the folded texts; only one step's texts are held as Python strings."""
+    for first, end, _, _ in steps(texts):
+        for a, b, data, offsets in steps(folded(texts.slice(first, end - first))):
+            yield first + a, first + b, data, offsets
+
+
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
     table = np.zeros(256, bool)
     for low, high in ranges:
