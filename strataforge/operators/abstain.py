@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.functions.vectors import logsumexp
+from strataforge.operators.ranks import order_statistics
 
 #: A score whose range is not above this has no threshold to give.
 FLAT = 1e-9
@@ -20,21 +21,18 @@ def coverage_key(coverage: float) -> str:
 def thresholds(rows: DataFrame, coverages: list[float], tpr: float = 0.95, scores: tuple[str, str] = ("conf", "knn")) -> DataFrame:
     """``(coverage, tau_conf, tau_knn, coverage_achieved)`` from a validation slice.
 
-    Quantiles are exact, with linear interpolation. One aggregation gives all
-    of them; a second counts the rows that the joint rule keeps.
+    Quantiles are exact, with linear interpolation, from counts by value in ranges; an
+    aggregation counts the rows that the joint rule keeps.
     """
     conf, knn = scores
-    q = rows.agg(
-        F.percentile(conf, F.array(*[F.lit(1 - c) for c in coverages])).alias("conf"),
-        F.percentile(knn, F.lit(tpr)).alias("knn"),
-        (F.max(conf) - F.min(conf)).alias("range_conf"),
-        (F.max(knn) - F.min(knn)).alias("range_knn"),
-    ).first()
-    if q["conf"] is None:
+    ends = rows.agg(F.count(conf).alias("n"), (F.max(conf) - F.min(conf)).alias("range_conf"), (F.max(knn) - F.min(knn)).alias("range_knn")).first()
+    if not ends["n"]:
         raise ValueError("no validation rows")
-    flat = q["range_conf"] <= FLAT or q["range_knn"] <= FLAT
-    kept = [F.avg(((F.col(conf) >= tau) & (F.col(knn) <= q["knn"])).cast("double")) for tau in q["conf"]]
-    table = [F.struct(F.lit(c).alias("coverage"), F.round(F.lit(tau), 6).alias("tau_conf"), F.round(F.lit(q["knn"]), 6).alias("tau_knn"), F.round(k, 6).alias("coverage_achieved"), F.lit(flat).alias("degenerate")) for c, tau, k in zip(coverages, q["conf"], kept, strict=True)]
+    q = order_statistics(rows, conf, {f"c{i}": 1 - c for i, c in enumerate(coverages)}).first()
+    taus, far = [q[f"c{i}"] for i in range(len(coverages))], order_statistics(rows, knn, {"knn": tpr}).first()["knn"]
+    flat = ends["range_conf"] <= FLAT or ends["range_knn"] <= FLAT
+    kept = [F.avg(((F.col(conf) >= tau) & (F.col(knn) <= far)).cast("double")) for tau in taus]
+    table = [F.struct(F.lit(c).alias("coverage"), F.round(F.lit(tau), 6).alias("tau_conf"), F.round(F.lit(far), 6).alias("tau_knn"), F.round(k, 6).alias("coverage_achieved"), F.lit(flat).alias("degenerate")) for c, tau, k in zip(coverages, taus, kept, strict=True)]
     return rows.agg(F.array(*table).alias("t")).select(F.explode("t").alias("t")).select("t.*")
 
 

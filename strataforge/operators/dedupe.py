@@ -7,23 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Paths of one digest that may be gathered in an array; more are rows only.
+PATHS = 10_000
+#: Rows of a class map that may be broadcast.
+MAP_ROWS = 100_000
+
+
 def dedupe(rows: DataFrame, digest: str, order: list[str], path: str, label: str) -> DataFrame:
     """One row for each digest: the first by ``order``, the other paths sorted, and whether all labels agree.
 
     An aggregation that combines before its shuffle: the whole row is not moved, only what is asked for.
+    ``dup_paths`` is null for digests of more than ``PATHS`` rows, of which ``duplicate_paths`` has a row each.
     """
     first = F.min(F.struct(*order, path)).alias("first")
-    return (
-        rows.groupBy(digest)
-        .agg(first, F.collect_list(path).alias("paths"), F.count_distinct(label).alias("n_labels"), F.min(label).alias("label"))
-        .select(digest, F.col(f"first.{path}").alias(path), F.array_sort(F.array_remove(F.col("paths"), F.col(f"first.{path}"))).alias("dup_paths"), "label", (F.col("n_labels") > 1).alias("conflict"))
-    )
+    heads = rows.groupBy(digest).agg(first, F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("n_labels"), F.min(label).alias("label"))
+    heads = heads.select(digest, F.col(f"first.{path}").alias(path), "n", "label", (F.col("n_labels") > 1).alias("conflict"))
+    some = heads.where((F.col("n") > 1) & (F.col("n") <= PATHS)).select(digest, F.col(path).alias("__first"))
+    others = rows.select(digest, path).join(some, digest).where(F.col(path) != F.col("__first"))
+    gathered = others.groupBy(digest).agg(F.array_sort(F.collect_list(path)).alias("dup_paths"))
+    none = F.when(F.col("n") <= PATHS, F.array().cast("array<string>"))
+    return heads.join(gathered, digest, "left").select(digest, path, F.coalesce("dup_paths", none).alias("dup_paths"), "label", "conflict")
+
+
+def duplicate_paths(rows: DataFrame, digest: str, order: list[str], path: str) -> DataFrame:
+    """``(digest, path)`` of all rows but the first of each digest, as rows: no group is gathered."""
+    first = rows.groupBy(digest).agg(F.min(F.struct(*order, path))[path].alias("__first"))
+    return rows.select(digest, path).join(first, digest).where(F.col(path) != F.col("__first")).select(digest, path)
 
 
 def map_classes(rows: DataFrame, class_map: DataFrame, raw: str, to: str) -> DataFrame:
     """Left look-up in a class map; null where a label is unmapped."""
     small = class_map.select(F.col(raw).alias("__raw"), to)
-    return rows.join(F.broadcast(small), F.col(raw) == F.col("__raw"), "left").drop("__raw")
+    small = F.broadcast(small) if small.limit(MAP_ROWS + 1).count() <= MAP_ROWS else small
+    return rows.join(small, F.col(raw) == F.col("__raw"), "left").drop("__raw")
 
 
 def unmatched(rows: DataFrame, other: DataFrame, key: str | list[str]) -> DataFrame:

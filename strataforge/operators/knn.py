@@ -7,11 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bank rows of one pass; a bank slice is broadcast (at 1,024 components about 80 MB), and a larger bank takes more passes.
-BANK_ROWS = 20_000
+from strataforge.session import fresh_path
+
+#: Bank rows that a worker compares with at once (at 1,024 components about 80 MB).
+BANK_ROWS = 10_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -22,39 +26,43 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _bank_blocks(folder: str, rows: int) -> Iterator[np.ndarray]:
+    """Unit vectors of a bank in the shared folder, a block at a time."""
+    place, root = fs.FileSystem.from_uri(folder)
+    for info in sorted(place.get_file_info(fs.FileSelector(root)), key=lambda f: f.path):
+        if info.path.endswith(".parquet"):
+            with place.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(batch_size=rows, columns=["v"]):
+                    if batch.num_rows:
+                        yield unit_rows(_matrix(batch.column(0)))
+
+
 def kth_distance(rows: DataFrame, bank: DataFrame, k: int, id_col: str, vector: str, bank_rows: int = BANK_ROWS) -> DataFrame:
     """``(id, knn)``: the Euclidean distance of each row to its k-th nearest bank row, both at unit length.
 
-    The bank is broadcast in slices of bounded size; each pass keeps k
-    distances of a row, and the k-th smallest over all passes is exact. A bank of under k rows is refused.
+    The bank is written to the shared folder and never passes the driver: each task reads it in blocks, and of a row
+    keeps k distances. One answer for each row, repeated ids included. A bank of under k rows is refused.
     """
     spark = rows.sparkSession
-    n = bank.count()
+    folder = fresh_path(spark, "bank")
+    bank.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).write.parquet(folder)
+    n = spark.read.parquet(folder).count()
     if n < k:
         raise ValueError(f"k = {k} needs a bank of at least k rows ({n})")
-    slices = -(-n // bank_rows)
-    part = F.pmod(F.xxhash64(id_col), F.lit(slices))
-    out = None
-    for s in range(slices):
-        table = bank.where(part == s).select(F.col(vector).alias("v")).toArrow()
-        shared = spark.sparkContext.broadcast(unit_rows(_matrix(table.column("v").combine_chunks())) if table.num_rows else np.zeros((0, 0)))
-
-        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = unit_rows(_matrix(batch.column(1)))
-                d = np.sqrt(np.maximum(2.0 - 2.0 * (x @ b.T), 0.0)) if len(b) else np.zeros((len(x), 0))
-                near = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1) if d.shape[1] else d
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(near), pa.list_(pa.float64()))], names=["id", "d"])
-
-        kind = dict(rows.dtypes)[id_col]
-        one = rows.select(F.col(id_col).alias("id"), F.col(vector)).mapInArrow(nearest, f"id {kind}, d array<double>")
-        out = one if out is None else out.unionByName(one)
-    if slices > 1:
-        out = out.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
-    return out.select("id", F.element_at("d", k).alias("knn"))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, near = unit_rows(_matrix(batch.column(1))), None
+            for b in _bank_blocks(folder, bank_rows):
+                d = np.maximum(2.0 - 2.0 * (x @ b.T), 0.0)
+                d = d if near is None else np.concatenate([near, d], axis=1)
+                near = np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.sqrt(near.max(axis=1)))], names=["id", "knn"])
+
+    kind = dict(rows.dtypes)[id_col]
+    return rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(nearest, f"id {kind}, knn double")
 
 
 @dataclass

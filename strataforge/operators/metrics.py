@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataforge.operators.ranks import order_statistics, running
+
 
 def confusion(rows: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     return rows.groupBy(y, pred).agg(F.count(F.lit(1)).alias("n"))
@@ -53,13 +55,11 @@ def auroc(rows: DataFrame, positive: Column, value: Column, by: list[str] | None
     """Mann-Whitney with average ranks for ties.
 
     Counts by value are made first; ranks are then running sums over distinct
-    values, so many equal scores cost one row.
+    values in ranges, so many equal scores cost one row and no task has all of a group's.
     """
     by = by or []
     counts = rows.groupBy(*by, value.alias("__v")).agg(F.sum(positive.cast("bigint")).alias("p"), F.sum((~positive).cast("bigint")).alias("q"))
-    w = Window.partitionBy(*by).orderBy("__v") if by else Window.orderBy("__v")
-    below = F.coalesce(F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("u", F.col("p") * (below + F.col("q") / F.lit(2.0)))
+    won = running(counts, [F.col("__v")], {"below": F.col("q")}, by).withColumn("u", F.col("p") * (F.col("below") + F.col("q") / F.lit(2.0)))
     sums = won.groupBy(*by).agg(F.sum("u").alias("u"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     return sums.select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auroc"), "n_pos", "n_neg")
 
@@ -88,8 +88,17 @@ def class_averaged_loss(rows: DataFrame, y: str, loss: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(value, F.lit(p)).alias(k) for k, p in points.items()])
+    """Exact percentiles with linear interpolation (A23, A24), from counts by value in ranges."""
+    return order_statistics(rows, value, points, by)
+
+
+def reported(rows: DataFrame, by: list[str], value: str, coverage: str, reason: str) -> DataFrame:
+    """Rows of metrics with ``skipped``: why one has no value below coverage 1 (A11). At coverage 1 such a row is an error."""
+    none = F.col(value).isNull()
+    bad = rows.where(none & (F.col(coverage) >= 1)).select(*by).limit(1).collect()
+    if bad:
+        raise ValueError(f"{reason}: {bad[0].asDict()}")
+    return rows.withColumn("skipped", F.when(none, F.lit(reason)))
 
 
 def bootstrap(cells: list[tuple[int, int, int]], seed: int, draws: int = 1000) -> tuple[float, float, float]:

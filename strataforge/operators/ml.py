@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strataforge.functions.vectors import dot, literal, unit
 from strataforge.operators.knn import unit_rows
+from strataforge.operators.ranks import numbered
 from strataforge.session import staged
 
 #: Rows that a head trained in one task may have.
@@ -90,19 +91,24 @@ def prototype_logits(vector: Column, centres: np.ndarray, temperature: float) ->
 
 
 def balanced_draw(rows: DataFrame, label: str, n: int, seed: int, id_col: str) -> DataFrame:
-    """``(id, times)``: about ``n`` draws with replacement, every class as often as another.
+    """``(id, times)``: ``n`` draws with replacement, every class as often as another.
 
-    Each row draws its own Poisson number of times from a hash of its id, so
-    no order and no driver are needed.
+    Of k classes in order the first n mod k get one draw more than the others. The rows of a class are
+    numbered by id; a draw's number is a hash of seed, class and draw, so reruns agree, and the draws are dealt out
+    by a join on (class, number).
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    classes = counts.count()
-    rate = F.lit(n / max(classes, 1)) / F.col("__n")
-    u = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    chance = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.exp(-F.col("rate")) * F.pow("rate", k) / F.factorial(F.least(k, F.lit(20)).cast("int")))
-    sums = F.aggregate(chance, F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("k")), lambda s, p: F.struct((s["c"] + p).alias("c"), (s["k"] + (F.col("u") > s["c"] + p).cast("int")).alias("k")))
-    joined = rows.select(F.col(id_col).alias("id"), label).join(F.broadcast(counts), label).withColumn("rate", rate).withColumn("u", u)
-    return joined.withColumn("times", sums["k"]).where("times > 0").select("id", "times")
+    base = rows.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("__label")).where("__label is not null")
+    counts = base.groupBy("__label").agg(F.count(F.lit(1)).alias("__n"))
+    classes = numbered(counts, [F.col("__label")], "__k")
+    k = counts.count()
+    if not k:
+        return base.select("id", F.lit(0).cast("bigint").alias("times")).limit(0)
+    each = classes.withColumn("__draws", F.lit(n // k) + (F.col("__k") <= n % k).cast("int")).where("__draws > 0")
+    draws = each.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.col("__draws"))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "__label", F.col("__draw").cast("string"))), 1, 15)
+    place = F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.col("__n")) + 1
+    times = draws.groupBy("__label", place.alias("__place")).agg(F.count(F.lit(1)).alias("times"))
+    return numbered(base, [F.col("id")], "__place", ["__label"]).join(times, ["__label", "__place"]).select("id", "times")
 
 
 def focal_loss(p_true: Column, gamma: float) -> Column:
@@ -112,11 +118,13 @@ def focal_loss(p_true: Column, gamma: float) -> Column:
 def train_heads(rows: DataFrame, label: str, vector: str, configs: list[dict]) -> DataFrame:
     """Linear heads by AdamW with focal loss and label smoothing, one task for each (config, seed).
 
-    ``rows`` is a training slice of at most ``TRAIN_ROWS``; the grid of configs is what is distributed. Returns ``(config, weights)``.
+    The grid of configs is what is distributed. Of more than ``TRAIN_ROWS`` rows, a sample of about as many is learned
+    from, drawn by a hash of label and vector. Returns ``(config, weights)``.
     """
-    table = rows.select(F.col(label).cast("int").alias("y"), F.col(vector).alias("v")).limit(TRAIN_ROWS + 1).toArrow()
-    if table.num_rows > TRAIN_ROWS:
-        raise ValueError(f"more than {TRAIN_ROWS} rows: use logistic()")
+    n = rows.count()
+    drawn = F.pmod(F.xxhash64(label, vector), F.lit(1 << 30)) < int(min(1.0, TRAIN_ROWS / max(n, 1)) * (1 << 30))
+    slice_ = rows.select(F.col(label).cast("int").alias("y"), F.col(vector).alias("v")).where(F.lit(True) if n <= TRAIN_ROWS else drawn)
+    table = slice_.limit(TRAIN_ROWS + TRAIN_ROWS // 10).toArrow()
     y = table["y"].to_numpy()
     x = np.array(table["v"].to_pylist(), float)
     shared = rows.sparkSession.sparkContext.broadcast((x, y))

@@ -2,49 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.functions.scalars import hamming
 
 #: Bits that a band must have for the banded plan: shorter bands match by chance too often.
 BAND_BITS = 8
+#: Codes of one side of a grid cell.
+CELL = 4096
 
 
-def near_pairs(codes: DataFrame, most: int, id_col: str = "id", code_col: str = "code", width: int = 64, grid: int = 8) -> DataFrame:
-    """Pairs ``(a, b, distance)`` with a < b at Hamming distance ``most`` or less.
+def code_classes(codes: DataFrame, id_col: str = "id", code_col: str = "code") -> DataFrame:
+    """``(code, id, n)``: each code once, with its smallest id and its rows. Copies never meet in a join."""
+    return codes.groupBy(F.col(code_col).cast("bigint").alias("code")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
 
-    Of ``most + 1`` disjoint bands of bits two such codes share one, so an
-    equi-join on (band, value) finds all pairs; distances are verified. Where bands would be
-    shorter than ``BAND_BITS``, blocks of a grid are compared instead: each row meets each other row once,
-    in ``grid`` x ``grid`` equi-joined cells, never in one task.
-    """
-    rows = codes.select(F.col(id_col).alias("id"), F.col(code_col).cast("bigint").alias("code"))
+
+def _keys(most: int, width: int) -> Column | None:
+    """Of ``most + 1`` disjoint bands of bits two codes within ``most`` bits share one; None where bands would be too short."""
     bands = most + 1
-    if width // bands >= BAND_BITS:
-        edges = [width * i // bands for i in range(bands + 1)]
-        keys = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("code", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("key")) for i in range(bands)])
-        keyed = rows.select("id", "code", F.explode(keys).alias("k")).select("id", "code", "k.band", "k.key")
-        left, right, on = keyed, keyed, ["band", "key"]
+    if width // bands < BAND_BITS:
+        return None
+    edges = [width * i // bands for i in range(bands + 1)]
+    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("code", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("key")) for i in range(bands)])
+
+
+def _joined(left: DataFrame, right: DataFrame, most: int, width: int, same: bool) -> DataFrame:
+    """Pairs ``(a, b, distance)`` of two tables of distinct codes ``(id, code)``; distances are verified within the join."""
+    keys = _keys(most, width)
+    if keys is not None:
+        parts = [rows.select("id", "code", F.explode(keys).alias("k")).select("id", "code", "k.*") for rows in (left, right)]
     else:
-        cell = F.pmod(F.xxhash64("id"), F.lit(grid)).cast("int")
-        keyed = rows.withColumn("cell", cell)
-        spread = F.sequence(F.lit(0), F.lit(grid - 1))
-        left = keyed.withColumn("other", F.explode(spread)).select("id", "code", F.col("cell").alias("band"), F.col("other").alias("key"))
-        right = keyed.withColumn("other", F.explode(spread)).select("id", "code", F.col("other").alias("band"), F.col("cell").alias("key"))
-        on = ["band", "key"]
-    a = left.select(*on, F.col("id").alias("a"), F.col("code").alias("code_a"))
-    b = right.select(*on, F.col("id").alias("b"), F.col("code").alias("code_b"))
-    found = a.join(b, on).where(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("code_a"), F.col("code_b"))).where(F.col("distance") <= most)
-    found = found.select("a", "b", "distance")
-    return found.distinct() if width // bands >= BAND_BITS else found
-
-
-def near_between(left: DataFrame, right: DataFrame, most: int, grid: int = 8) -> DataFrame:
-    """Pairs of two code tables ``(id, code)`` at distance ``most`` or less, in grid cells or bands as above."""
-    both = left.select(F.col("id"), F.col("code"), F.lit(0).alias("side")).union(right.select("id", "code", F.lit(1)))
-    cell = F.pmod(F.xxhash64("id", "side"), F.lit(grid)).cast("int")
-    spread = F.sequence(F.lit(0), F.lit(grid - 1))
-    a = both.where("side = 0").select(F.col("id").alias("a"), F.col("code").alias("code_a"), cell.alias("i"), F.explode(spread).alias("j"))
-    b = both.where("side = 1").select(F.col("id").alias("b"), F.col("code").alias("code_b"), cell.alias("j"), F.explode(spread).alias("i"))
-    return a.join(b, ["i", "j"]).withColumn("distance", hamming(F.col("code_a"), F.col("code_b"))).where(F.col("distance") <= most).select("a", "b", "distance")
+        # a grid of cells whose sides have about ``CELL`` codes: their number grows, not their size
+        sides = [max(1, -(-rows.count() // CELL)) for rows in (left, right)]
+        cells = [F.pmod(F.xxhash64("code"), F.lit(n)) for n in sides]
+        spread = [F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))) for n in sides]
+        parts = [left.select("id", "code", cells[0].alias("band"), spread[1].alias("key")), right.select("id", "code", spread[0].alias("band"), cells[1].alias("key"))]
+    a = parts[0].select("band", "key", F.col("id").alias("a"), F.col("code").alias("code_a"))
+    b = parts[1].select("band", "key", F.col("id").alias("b"), F.col("code").alias("code_b"))
+    near = hamming(F.col("code_a"), F.col("code_b"))
+    found = a.join(b, ["band", "key"]).where((near <= most) & ((F.col("a") < F.col("b")) if same else F.lit(True))).select("a", "b", near.alias("distance"))
+    return found.distinct() if keys is not None else found
+
+
+def near_pairs(codes: DataFrame, most: int, id_col: str = "id", code_col: str = "code", width: int = 64) -> DataFrame:
+    """Pairs ``(a, b, distance)`` of distinct codes at Hamming distance ``most`` or less, by their smallest ids, a < b.
+
+    Rows of one code are its class (``code_classes``), not pairs. Codes are joined by bands of their bits; for a radius
+    with too short bands, cells of a grid are compared.
+    """
+    rows = code_classes(codes, id_col, code_col).select("id", "code")
+    return _joined(rows, rows, most, width, same=True)
+
+
+def near_between(left: DataFrame, right: DataFrame, most: int, width: int = 64) -> DataFrame:
+    """Pairs of the distinct codes of two tables ``(id, code)`` at distance ``most`` or less, by bands or cells as above."""
+    a, b = code_classes(left).select("id", "code"), code_classes(right).select("id", "code")
+    return _joined(a, b, most, width, same=False)

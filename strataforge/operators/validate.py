@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strataforge.functions.scalars import metric_name
@@ -21,8 +22,44 @@ def violations(rows: DataFrame, rules: list[tuple[str, str, Column]], row_no: st
     return rows.select(row_no, F.explode(found).alias("v")).select("v.reason", row_no, "v.message")
 
 
-def manifest_rules() -> list[tuple[str, str, Column]]:
-    """Rules of a single manifest row."""
+def missing_fields(rows: DataFrame, body: str, schema: T.StructType, nested: dict[str, T.StructType] | None = None, row_no: str = "row_no") -> DataFrame:
+    """``(reason, row_no, message)`` of JSON rows that lack fields, with their names in the fields' order.
+
+    A field that is there as null does not lack. Fields of a nested object are looked for where it is one.
+    """
+    have = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
+    lacks = F.array_except(F.array(*[F.lit(f.name) for f in schema.fields]), have)
+    for name, inner in (nested or {}).items():
+        own = F.json_object_keys(F.get_json_object(body, f"$.{name}"))
+        named = F.transform(F.array_except(F.array(*[F.lit(f.name) for f in inner.fields]), own), lambda k: F.concat(F.lit(f"{name}."), k))  # noqa: B023
+        lacks = F.concat(lacks, F.coalesce(F.when(F.get_json_object(body, f"$.{name}").startswith("{"), named), F.array().cast("array<string>")))
+    told = rows.select(row_no, lacks.alias("lacks")).where(F.size("lacks") > 0)
+    return told.select(F.lit("missing_field").alias("reason"), row_no, F.array_join("lacks", ", ").alias("message"))
+
+
+def wrong_fields(rows: DataFrame, body: str, schema: T.StructType, row_no: str = "row_no") -> DataFrame:
+    """``bad_fields`` of JSON rows whose keys are not just the schema's, in its order."""
+    want = F.array(*[F.lit(f.name) for f in schema.fields])
+    have = F.json_object_keys(body)
+    return rows.where(not_true(have == want)).select(F.lit("bad_fields").alias("reason"), row_no, F.coalesce(F.array_join(have, ","), F.lit("")).alias("message"))
+
+
+def in_order(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The schema's fields alone, in its order; one that lacks is null of its kind."""
+    have = {c.lower(): c for c in rows.columns}
+    return rows.select(*[(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def file_violations(rows: DataFrame, files: DataFrame, path: str = "path", digest: str = "sha256", row_no: str = "row_no") -> DataFrame:
+    """``missing_file`` and ``sha256_mismatch`` of rows against a scan of storage."""
+    held = files.select(F.col(path).alias("__path"), F.col(digest).alias("__digest"))
+    both = rows.select(row_no, path, digest).join(held, F.col(path) == F.col("__path"), "left")
+    why = F.when(F.col("__path").isNull(), "missing_file").when(not_true(F.col("__digest") == F.col(digest)), "sha256_mismatch")
+    return both.select(why.alias("reason"), row_no, F.col(path).alias("message")).where("reason is not null")
+
+
+def manifest_rules(licences_allowed: bool = False) -> list[tuple[str, str, Column]]:
+    """Rules of a single manifest row (V02, V03, V07); unknown licences may be allowed."""
     c = F.col
     split, klass = c("split"), c("class_km2")
     return [
@@ -41,7 +78,7 @@ def manifest_rules() -> list[tuple[str, str, Column]]:
         ("bad_split_rule", "split_rule", c("split_rule").rlike(RULE)),
         ("unknown_in_train", "class", ~(klass.isin(*UNKNOWN) & split.isin("train", "val"))),
         ("unlabelled_in_train", "class", ~((klass == UNLABELLED) & split.isin("train", "val"))),
-        ("licence_unknown", "licence", c("licence") != "unknown"),
+        *([] if licences_allowed else [("licence_unknown", "licence", c("licence") != "unknown")]),
     ]
 
 

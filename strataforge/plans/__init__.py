@@ -19,4 +19,4 @@ def query(sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from strataforge.plans import evaluation, gates, manifests, models, results, sourcing, streams, validation  # noqa: F401
+    from strataforge.plans import caches, evaluation, gates, manifests, models, results, sourcing, streams, validation  # noqa: F401

@@ -9,10 +9,10 @@ from pyspark.sql.window import Window
 from strataforge.operators import dedupe, neardup, splits
 from strataforge.operators.graph import connected_components
 from strataforge.plans import query
-from strataforge.plans.tables import CODES, MANIFEST, codes, manifest, table
+from strataforge.plans.tables import CODES, MANIFEST, NEAR, codes, manifest, near_codes, table
 
-#: Bits by which the demo codes of near duplicates may differ.
-BITS = 18
+#: Bits by which the codes of near duplicates may differ, and by which codes of a wide search may.
+BITS, WIDE = 2, 18
 
 
 @query(f"""with {MANIFEST}
@@ -115,40 +115,46 @@ def checksum_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.mismatched(rows, listed, "path", "sha256").select("path", "sha256", "expected")
 
 
-_PAIRS = f"""pairs as (select a.id as a, b.id as b, cast(bit_count(xor(a.code, b.code)) as integer) as distance from codes a join codes b on a.id < b.id where bit_count(xor(a.code, b.code)) <= {BITS})"""
+_CLASSES = f"""{NEAR}, classes as (select code, min(id) as id from near group by code)"""
+_PAIRS = f"""{_CLASSES}, pairs as (select a.id as a, b.id as b, cast(bit_count(xor(a.code, b.code)) as integer) as distance from classes a join classes b on a.id < b.id where bit_count(xor(a.code, b.code)) <= {BITS})"""
 
 
-@query(f"with {CODES}, {_PAIRS} select * from pairs")
+@query(f"with {_PAIRS} select * from pairs")
 def phash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_pairs(codes(spark, d), BITS)
+    return neardup.near_pairs(near_codes(spark, d), BITS)
 
 
-@query(f"""with {CODES}, s as (select id, code & 16777215 as code from codes) select a.id as a, b.id as b, cast(bit_count(xor(a.code, b.code)) as integer) as distance from s a join s b on a.id < b.id where bit_count(xor(a.code, b.code)) <= 2""")
+@query(f"""with {CODES}, classes as (select code, min(id) as id from codes group by code) select a.id as a, b.id as b, cast(bit_count(xor(a.code, b.code)) as integer) as distance from classes a join classes b on a.id < b.id where bit_count(xor(a.code, b.code)) <= {WIDE}""")
+def phash_pairs_wide(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(codes(spark, d), WIDE)
+
+
+@query(f"""with {CODES}, s as (select code & 16777215 as code, min(id) as id from codes group by 1) select a.id as a, b.id as b, cast(bit_count(xor(a.code, b.code)) as integer) as distance from s a join s b on a.id < b.id where bit_count(xor(a.code, b.code)) <= 2""")
 def phash_pairs_banded(spark: SparkSession, d: str) -> DataFrame:
     short = codes(spark, d).select("id", F.col("code").bitwiseAND(F.lit((1 << 24) - 1)).alias("code"))
     return neardup.near_pairs(short, 2, width=24)
 
 
-@query(f"""with {CODES}, x as (select id, code from codes where id % 2 = 0), y as (select id, code from codes where id % 2 = 1)
+@query(f"""with {NEAR}, x as (select code, min(id) as id from near where id % 2 = 0 group by 1), y as (select code, min(id) as id from near where id % 2 = 1 group by 1)
 select x.id as a, y.id as b, cast(bit_count(xor(x.code, y.code)) as integer) as distance from x join y on bit_count(xor(x.code, y.code)) <= {BITS}""")
 def overlap_near(spark: SparkSession, d: str) -> DataFrame:
-    rows = codes(spark, d).select("id", "code")
+    rows = near_codes(spark, d).select("id", "code")
     return neardup.near_between(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), BITS)
 
 
-@query(f"""with recursive {CODES}, {_PAIRS}, both_ways as (select a as u, b as v from pairs union select b, a from pairs union select id, id from codes),
-reach(u, v) as (select u, v from both_ways union select r.u, w.v from reach r join both_ways w on r.v = w.u)
-select c.id, c.component, m.n, m.mixed from (select u as id, min(v) as component from reach group by u) c
-join (select component, count(*) as n, count(distinct label) > 1 as mixed from (select u as id, min(v) as component from reach group by u) join codes using (id) group by component) m using (component)""")
+@query(f"""with recursive {_PAIRS}, both_ways as (select a as u, b as v from pairs union select b, a from pairs union select id, id from classes),
+reach(u, v) as (select u, v from both_ways union select r.u, w.v from reach r join both_ways w on r.v = w.u),
+tops as (select u as id, min(v) as component from reach group by u), named as (select n.id, n.label, t.component from near n join classes c using (code) join tops t on t.id = c.id)
+select id, component, n, mixed from named join (select component, count(*) as n, count(distinct label) > 1 as mixed from named group by component) using (component)""")
 def phash_components(spark: SparkSession, d: str) -> DataFrame:
-    rows = codes(spark, d)
-    pairs = neardup.near_pairs(rows, BITS).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    every = pairs.union(rows.select("id", F.col("id").alias("v")))
-    labels = connected_components(every).select(F.col("node").alias("id"), "component")
-    sizes = labels.join(rows.select("id", "label"), "id").groupBy("component").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("label") > 1).alias("mixed"))
-    return labels.join(sizes, "component").select("id", "component", "n", "mixed")
-
-
+    """Components over classes of equal codes; rows take their class's."""
+    rows = near_codes(spark, d)
+    classes = neardup.code_classes(rows).select("code", F.col("id").alias("class"))
+    links = neardup.near_pairs(rows, BITS).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = connected_components(links).select(F.col("node").alias("class"), "component")
+    named = rows.join(classes.join(labels, "class", "left").select("code", F.coalesce("component", "class").alias("component")), "code")
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("label") > 1).alias("mixed"))
+    return named.join(sizes, "component").select("id", "component", "n", "mixed")
 
 
 def _block_rows(spark: SparkSession, d: str) -> DataFrame:

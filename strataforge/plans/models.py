@@ -66,6 +66,9 @@ def site_probe(spark: SparkSession, d: str) -> DataFrame:
     return metrics.balanced_accuracy(out, "site", "label", F.col("pred") == F.col("site"))
 
 
-@query()
+@query("""with b as (select doc_id as id, lang as l from documents where lang is not null), c as (select l, count(*) as n, row_number() over (order by l) as k from b group by l), m as (select count(*) as kk from c),
+d as (select l, n, unnest(range(1, 1 + 1000 // kk + case when k <= 1000 % kk then 1 else 0 end)) as j from c, m),
+p as (select l, cast('0x' || substring(md5('3:' || l || ':' || cast(j as varchar)), 1, 15) as bigint) % n + 1 as place, count(*) as times from d group by 1, 2),
+r as (select *, row_number() over (partition by l order by id) as place from b) select id, times from r join p using (l, place)""")
 def balanced_draw(spark: SparkSession, d: str) -> DataFrame:
     return ml.balanced_draw(table(spark, d, "documents").select("doc_id", "lang"), "lang", 1000, 3, "doc_id")

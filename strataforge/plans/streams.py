@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.plans import query
+from strataforge.plans.tables import table
 from strataforge.session import fresh_path
 from strataforge.streaming import requests as rq
 
@@ -14,28 +15,32 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return rq.stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _closed(spark: SparkSession, d: str) -> DataFrame:
+    return rq.with_close(_events(spark, d), "ts")
+
+
 def _plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
 @query("""select date_trunc('day', ts) as w_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2""")
 def tumbling(spark: SparkSession, d: str) -> DataFrame:
-    rows = rq.windowed(_events(spark, d), "ts", "2 hours", "1 day", None, ["event_type"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")])
-    return _plain(rq.drain(rows, "complete", "tumbling"), "w_start").withColumn("total", F.round("total", 6))
+    rows = rq.windowed(_closed(spark, d), "ts", "2 hours", "1 day", None, ["event_type"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")])
+    return _plain(rq.drain(rows, "append", "tumbling"), "w_start").withColumn("total", F.round("total", 6))
 
 
 @query("""select w_start, event_type, count(*) as n from (select event_type, unnest([date_trunc('hour', ts) - interval 1 hour, date_trunc('hour', ts)]) as w_start from events) group by 1, 2""")
 def sliding(spark: SparkSession, d: str) -> DataFrame:
-    rows = rq.windowed(_events(spark, d), "ts", "2 hours", "2 hours", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")])
-    return _plain(rq.drain(rows, "complete", "sliding"), "w_start")
+    rows = rq.windowed(_closed(spark, d), "ts", "2 hours", "2 hours", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")])
+    return _plain(rq.drain(rows, "append", "sliding"), "w_start")
 
 
 @query("""with s as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events),
 g as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from s)
 select min(ts) as s_start, max(ts) + interval 30 minute as s_end, user_id, count(*) as n from g group by user_id, k""")
 def session(spark: SparkSession, d: str) -> DataFrame:
-    rows = rq.visits(_events(spark, d), "ts", "2 hours", "30 minutes", ["user_id"])
-    return _plain(rq.drain(rows, "complete", "session"), "s_start", "s_end")
+    rows = rq.visits(_closed(spark, d), "ts", "2 hours", "30 minutes", ["user_id"])
+    return _plain(rq.drain(rows, "append", "session"), "s_start", "s_end")
 
 
 @query("""select count(*) as n from (select distinct user_id, event_type, cast(floor(value) as bigint) from events)""")
@@ -60,7 +65,22 @@ def stream_static_join(spark: SparkSession, d: str) -> DataFrame:
     return rq.drain(_events(spark, d).select("event_id", "user_id").join(static, "user_id").select("event_id", "segment"), "append", "static")
 
 
-@query()
+@query("""with s as (select cast(user_id as varchar) as plot, case event_type when 'error' then 'absent' when 'view' then 'watch' else 'OK' end as state, row_number() over (partition by user_id order by ts, event_id) as r from events),
+o as (select plot, coalesce(max(r) filter (state = 'OK'), 0) as last, count(*) as n from s group by plot), w as (select plot, any_value(n) as n, count(*) filter (state = 'watch' and r > last) as run from s join o using (plot) group by plot)
+select plot, n, case when run = 0 then 'OK' when run >= 3 then 'verify' else 'watch' end as state from w""")
 def plot_states(spark: SparkSession, d: str) -> DataFrame:
     state = F.when(F.col("event_type") == "error", "absent").when(F.col("event_type") == "view", "watch").otherwise("OK")
-    return rq.drain(rq.plot_states(_events(spark, d).select(F.col("user_id"), state.alias("state")), "user_id", "state"), "append", "states")
+    rows = _events(spark, d).select("user_id", "ts", "event_id", state.alias("state"))
+    return rq.drain(rq.plot_states(rows, "user_id", "state", "ts", "event_id"), "append", "states")
+
+
+@query("""with cut as (select max(ts) filter (event_id % 2 = 0) - interval 2 hour as w from events) select event_type, count(*) as n from events, cut where event_id % 2 = 1 and ts < w group by 1""")
+def late_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events in two batches: those of the second that come more than two hours late are set aside."""
+    folder, late, marks = (fresh_path(spark, f"late-{k}") for k in ("in", "rows", "marks"))
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(folder)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rq.late_rows(rows, "ts", 7200, late, marks)
+    return spark.read.parquet(late).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -50,6 +50,20 @@ CODES = """codes as (select vec_id as id, label, cast(case when u >= 92233720368
   from (select *, (s[32] + s[33]) / 2 as m from (select *, list_sort(list_transform(embedding, lambda x: cast(x as double))) as s from embeddings))))"""
 
 
+def near_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of which every third has a near copy of one and of two bits, and every ninth an exact one."""
+    rows = codes(spark, d)
+    one = lambda k: F.expr(f"shiftleft(1L, cast((id + {k}) % 61 as int))")
+    flips = F.when(F.col("id") % 3 == 1, one(0)).when((F.col("id") % 3 == 2) & (F.col("id") % 9 != 2), one(0).bitwiseOR(one(7))).otherwise(F.lit(0).cast("bigint"))
+    base = rows.select(F.col("id").alias("base"), F.col("code").alias("base_code"))
+    near = rows.join(base, F.col("id") - F.col("id") % 3 == F.col("base"), "left")
+    return staged(near.select("id", "label", F.coalesce("base_code", "code").bitwiseXOR(flips).alias("code")), "near-codes")
+
+
+NEAR = f"""{CODES}, near as (select c.id, c.label, xor(coalesce(b.code, c.code), case when c.id % 3 = 1 then cast(1 as bigint) << (c.id % 61) when c.id % 3 = 2 and c.id % 9 <> 2 then (cast(1 as bigint) << (c.id % 61)) | (cast(1 as bigint) << ((c.id + 7) % 61)) else 0 end) as code
+  from codes c left join codes b on b.id = c.id - c.id % 3)"""
+
+
 def split_part(id_col: Column) -> Column:
     return F.when(id_col % 10 < 7, "train").when(id_col % 10 == 7, "val").otherwise("test")
 

@@ -25,6 +25,9 @@ SCORES = ("conf", "knn", "maha", "energy")
 BATCHES = ("b1", "b32", "cached_b1", "cached_b32")
 STEPS = ("env", "extract", "train_head", "fit_abstain", "eval", "probe", "bench")
 SEEDS = (0, 1, 2, 3, 4)
+KEY_FIELDS = ("backbone_id", "weights_sha256", "resolution", "preprocess_string", "compute_dtype")
+RUN_KEYS = ("backbone_id", "res", "tokens", "head", "seed", "head_config_sha256")
+TOKEN_TYPES, STORAGE_TYPE = ("cls", "meanpatch"), "float16"
 T_975_4 = 2.776445
 IDENTITY = ("run_id", "number", "metric", "test_manifest_sha256", "test_split", "coverage")
 PER_SEED = ("ts", "value", "ci_low", "ci_high", "seed", "run_id", "quotable", "notes")
@@ -39,6 +42,7 @@ def _fields(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
+# The fields of the tables, in order.
 BOX = _fields(x=_l, y=_l, w=_l, h=_l, class_raw=_s)
 GROUP_KEYS = _fields(district=_s, subcounty=_s, date=_s, region=_s, session=_s, variety=_s, plant_age=_l, phash_group=_s)
 MANIFEST = _fields(

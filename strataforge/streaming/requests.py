@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strataforge.session import fresh_path
@@ -63,22 +64,56 @@ def quarantine(rows: DataFrame, errors: Column, good: str, bad: str, marks: str)
     marked.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
 
 
-def plot_states(rows: DataFrame, plot: str, state: str, watch: int = 3) -> DataFrame:
+def with_close(rows: DataFrame, ts: str, at: str = "2999-01-01 00:00:00") -> DataFrame:
+    """A stream with one more row of its own, whose far time closes all windows before it; its own window is never given.
+
+    Without it the last windows of a stream that ends would wait for a watermark that never comes.
+    """
+    spark = rows.sparkSession
+    folder = fresh_path(spark, "close")
+    empty = spark.createDataFrame([tuple(None for _ in rows.columns)], T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]))
+    empty.withColumn(ts, F.lit(at).cast(rows.schema[ts].dataType)).write.parquet(folder)
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(folder))
+
+
+def late_rows(rows: DataFrame, ts: str, seconds: int, late: str, marks: str) -> None:
+    """Writes the rows that come more than ``seconds`` behind the latest time of earlier batches to ``late``.
+
+    The latest time by batch is kept in a small table, so a batch that runs again takes the same one.
+    """
+    spark = rows.sparkSession
+    seen = f"{marks}-seen"
+    kind = rows.schema[ts].dataType.simpleString()
+    spark.createDataFrame([], f"batch bigint, latest {kind}").write.parquet(seen)
+
+    def write(batch: DataFrame, n: int) -> None:
+        known = batch.sparkSession.read.schema(f"batch bigint, latest {kind}").parquet(seen).where(F.col("batch") < n).agg(F.max("latest").alias("l")).first()["l"]
+        if known is not None:
+            behind = batch.where(F.col(ts) < F.lit(known) - F.expr(f"interval {seconds} seconds"))
+            behind.withColumn("batch", F.lit(n).cast("bigint")).write.mode("append").parquet(late)
+        batch.agg(F.max(ts).alias("latest")).select(F.lit(n).cast("bigint").alias("batch"), "latest").write.mode("append").parquet(seen)
+
+    spark.createDataFrame([], T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).write.parquet(late)
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
+def plot_states(rows: DataFrame, plot: str, state: str, ts: str, order: str, watch: int = 3) -> DataFrame:
     """The state of each plot after each batch: OK, watch after a row that abstains, verify after ``watch`` in a row.
 
-    Only a count per plot is kept between batches.
+    Rows of a plot are taken by time and then by ``order``, however they arrive within a batch; a row that is not after
+    the last one taken in an earlier batch counts, but no longer changes the state. Two counts and the last place are kept for each plot.
     """
 
     def step(key: tuple, frames, held: GroupState):
-        run, n = held.get if held.exists else (0, 0)
-        for pdf in frames:
-            for s in pdf["state"]:
+        run, n, last, place = held.get if held.exists else (0, 0, -(1 << 62), -(1 << 62))
+        pdf = pd.concat(list(frames), ignore_index=True).sort_values(["us", "place"], kind="mergesort")
+        n += len(pdf)
+        for us, p, s in zip(pdf["us"].tolist(), pdf["place"].tolist(), pdf["state"].tolist(), strict=True):
+            if (us, p) > (last, place):
                 run = 0 if s == "OK" else run + 1 if s == "watch" else run
-                n += 1
-        held.update((run, n))
+                last, place = us, p
+        held.update((run, n, last, place))
         yield pd.DataFrame({"plot": [key[0]], "n": [n], "state": ["OK" if run == 0 else "verify" if run >= watch else "watch"]})
 
-    kept = rows.select(F.col(plot).cast("string").alias("plot"), F.col(state).alias("state"))
-    return kept.groupBy("plot").applyInPandasWithState(step, "plot string, n bigint, state string", "run bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
-
-
+    kept = rows.select(F.col(plot).cast("string").alias("plot"), F.col(state).alias("state"), F.unix_micros(F.col(ts)).alias("us"), F.col(order).cast("bigint").alias("place")).where("us is not null")
+    return kept.groupBy("plot").applyInPandasWithState(step, "plot string, n bigint, state string", "run bigint, n bigint, last bigint, place bigint", "append", GroupStateTimeout.NoTimeout)
