@@ -45,7 +45,7 @@ def _joined(left: DataFrame, right: DataFrame, most: int, width: int, same: bool
     return found.distinct() if keys is not None else found
 
 
-def near_pairs(codes: DataFrame, most: int, id_col: str = "id", code_col: str = "code", width: int = 64) -> DataFrame:
+def near_class_pairs(codes: DataFrame, most: int, id_col: str = "id", code_col: str = "code", width: int = 64) -> DataFrame:
     """Pairs ``(a, b, distance)`` of distinct codes at Hamming distance ``most`` or less, by their smallest ids, a < b.
 
     Rows of one code are its class (``code_classes``), not pairs. Codes are joined by bands of their bits; for a radius
@@ -55,7 +55,21 @@ def near_pairs(codes: DataFrame, most: int, id_col: str = "id", code_col: str =
     return _joined(rows, rows, most, width, same=True)
 
 
+def near_pairs(codes: DataFrame, most: int, id_col: str = "id", code_col: str = "code", width: int = 64) -> DataFrame:
+    """Pairs ``(a, b, distance)`` of rows, a < b, at Hamming distance ``most`` or less, copies among them.
+
+    The pairs of classes written out by row: as many as the copies of a code squared. Where copies are many, take
+    ``near_class_pairs`` and ``code_classes``, which hold the same.
+    """
+    rows = codes.select(F.col(id_col).alias("id"), F.col(code_col).cast("bigint").alias("code"))
+    first = rows.join(code_classes(rows).select("code", F.col("id").alias("class")), "code").select("id", "class")
+    one, two = first.select(F.col("id").alias("x"), F.col("class").alias("a")), first.select(F.col("id").alias("y"), F.col("class").alias("b"))
+    across = near_class_pairs(rows, most, width=width).join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    within = one.join(two.withColumnRenamed("b", "a"), "a").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("distance"))
+    return across.unionByName(within)
+
+
 def near_between(left: DataFrame, right: DataFrame, most: int, width: int = 64) -> DataFrame:
-    """Pairs of the distinct codes of two tables ``(id, code)`` at distance ``most`` or less, by bands or cells as above."""
+    """Pairs of the distinct codes (by their smallest ids) of two tables ``(id, code)`` at distance ``most`` or less, by bands or cells as above."""
     a, b = code_classes(left).select("id", "code"), code_classes(right).select("id", "code")
     return _joined(a, b, most, width, same=False)

@@ -121,18 +121,18 @@ _PAIRS = f"""{_CLASSES}, pairs as (select a.id as a, b.id as b, cast(bit_count(x
 
 @query(f"with {_PAIRS} select * from pairs")
 def phash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_pairs(near_codes(spark, d), BITS)
+    return neardup.near_class_pairs(near_codes(spark, d), BITS)
 
 
 @query(f"""with {CODES}, classes as (select code, min(id) as id from codes group by code) select a.id as a, b.id as b, cast(bit_count(xor(a.code, b.code)) as integer) as distance from classes a join classes b on a.id < b.id where bit_count(xor(a.code, b.code)) <= {WIDE}""")
 def phash_pairs_wide(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_pairs(codes(spark, d), WIDE)
+    return neardup.near_class_pairs(codes(spark, d), WIDE)
 
 
 @query(f"""with {CODES}, s as (select code & 16777215 as code, min(id) as id from codes group by 1) select a.id as a, b.id as b, cast(bit_count(xor(a.code, b.code)) as integer) as distance from s a join s b on a.id < b.id where bit_count(xor(a.code, b.code)) <= 2""")
 def phash_pairs_banded(spark: SparkSession, d: str) -> DataFrame:
     short = codes(spark, d).select("id", F.col("code").bitwiseAND(F.lit((1 << 24) - 1)).alias("code"))
-    return neardup.near_pairs(short, 2, width=24)
+    return neardup.near_class_pairs(short, 2, width=24)
 
 
 @query(f"""with {NEAR}, x as (select code, min(id) as id from near where id % 2 = 0 group by 1), y as (select code, min(id) as id from near where id % 2 = 1 group by 1)
@@ -150,7 +150,7 @@ def phash_components(spark: SparkSession, d: str) -> DataFrame:
     """Components over classes of equal codes; rows take their class's."""
     rows = near_codes(spark, d)
     classes = neardup.code_classes(rows).select("code", F.col("id").alias("class"))
-    links = neardup.near_pairs(rows, BITS).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = neardup.near_class_pairs(rows, BITS).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = connected_components(links).select(F.col("node").alias("class"), "component")
     named = rows.join(classes.join(labels, "class", "left").select("code", F.coalesce("component", "class").alias("component")), "code")
     sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("label") > 1).alias("mixed"))

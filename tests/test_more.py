@@ -62,7 +62,7 @@ def test_near_copies_by_class(spark):
         first.setdefault(c, i)
     for most in (2, 20):
         want = {(min(a, b), max(a, b)) for x, a in first.items() for y, b in first.items() if a != b and (x ^ y).bit_count() <= most}
-        got = [(r.a, r.b) for r in neardup.near_pairs(spark.createDataFrame(rows, "id bigint, code bigint"), most).collect()]
+        got = [(r.a, r.b) for r in neardup.near_class_pairs(spark.createDataFrame(rows, "id bigint, code bigint"), most).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
