@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from strataforge.llm.arrow_text import LOWER, WORD_BYTES, gram_hashes, rows_per_batch, spans, steps, word_hashes
 
-#: Clean paragraphs that teach the class of other text (about), copies of a template with changes, share of a template's grams that confirms it.
-OTHER_ROWS, VARIANTS, CONFIRM = 4000, 60, 0.6
-#: Longer paragraphs are not learned from.
-OTHER_CHARS = 2000
+#: Clean paragraphs that teach the class of other text (about), copies of a template with changes, share of a template's grams that confirms it,
+#: parts of the templates that are held out in turn to calibrate.
+OTHER_ROWS, VARIANTS, CONFIRM, FOLDS = 4000, 40, 0.6, 3
+#: Words of a paragraph, drawn by its hash, that variants are mixed with.
+FILLERS = 16
+# Names of licences and words before a notice's verb that make it none.
+OTHER_NAMES = "EUPL Artistic Zlib OpenSSL CeCILL Ruby PHP Sleepycat Unilever Driving Fishing Broadcast Trade Hunting Premium Acme Standard Commercial Marriage Liquor".split()
+DENIALS = ("not", "never", "no longer", "not yet")
 #: Neighbouring lines that are read as one, for notices that are wrapped.
 LINES = 12
 #: A calibrated probability of any licence under this is unknown; families of at least ``LIKELY`` are compared with their templates.
@@ -105,62 +109,102 @@ def _hashes(own: list[str]) -> np.ndarray:
     return out
 
 
+def _vocabulary() -> list[str]:
+    """All grams of the templates, and the pairs of a denial and what it denies."""
+    own = dict.fromkeys(g for f in sorted(TEMPLATES) for t in TEMPLATES[f] for g in grams(t))
+    return [*own, *(g for d in DENIALS for v in VERBS if (g := f"{d.split()[-1]} {v}") not in own), *(w for d in DENIALS for w in d.split() if w not in own)]
+
+
+VERBS = ("licensed", "released", "distributed", "covered", "available")
+
+
+def denied(text: str, denial: str) -> str | None:
+    """A notice with a denial before its first verb; None if it has none."""
+    m = re.search(rf"(?i)\b({'|'.join(VERBS)})\b", text)
+    return None if m is None else f"{text[: m.start()]}{denial} {text[m.start() :]}"
+
+
 class Classifier:
     """Multinomial logistic regression over the word n-grams of the templates; class 0 is other text.
 
     A gram that no template has weighs nothing, so a paragraph without any
-    is other text and needs no work. Probabilities are calibrated by a temperature fitted on
-    variants that were not learned from.
+    is other text and needs no work. Probabilities are calibrated by a temperature. It is fitted on
+    predictions for templates that were not learned from, each part of the templates held out in turn with all its
+    variants; a family that has no other template counts as other text there. Notices of unknown licences and
+    notices that are denied are other text too.
+
+    ``others`` has, for each paragraph of other text, the places of its grams in ``_vocabulary()``.
     """
 
-    def __init__(self, others: list[str], rounds: int = 500) -> None:
+    def __init__(self, others: list[list[int]], filler: list[str], rounds: int = 300) -> None:
         rng = np.random.Generator(np.random.PCG64(11))
         self.families = sorted(TEMPLATES)
-        vocabulary = list(dict.fromkeys(g for f in self.families for t in TEMPLATES[f] for g in grams(t)))
+        vocabulary = _vocabulary()
         place = {g: i for i, g in enumerate(vocabulary)}
         hashes = _hashes(vocabulary)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        filler = [w for t in others[:2000] for w in t.split()] or ["text"]
-        rows, label = [], []
-        for c, f in enumerate(self.families, 1):
-            for t in TEMPLATES[f]:
-                for v in range(VARIANTS):
-                    w = t.split()
-                    if v:
-                        w = [x for x in w if rng.random() > 0.08]
-                        w = [filler[rng.integers(len(filler))] if rng.random() < 0.05 else x for x in w]
-                        for side in (0, 1):
-                            extra = [filler[i] for i in rng.integers(len(filler), size=rng.integers(0, 12))]
-                            w = w + extra if side else extra + w
-                    rows.append(" ".join(w))
-                    label.append(c)
-        for t in others:
-            rows.append(t)
-            label.append(0)
-        words = [w for f in self.families for t in TEMPLATES[f] for w in t.split()]
-        for _ in range(2000):  # other text also holds single words of notices
-            n = rng.integers(5, 60)
-            w = [filler[i] for i in rng.integers(len(filler), size=n)]
-            for i in rng.integers(n, size=rng.integers(1, 4)):
-                w[i] = words[rng.integers(len(words))]
-            rows.append(" ".join(w))
-            label.append(0)
+        filler = filler or ["text"]
+        draw = lambda n: [filler[i] for i in rng.integers(len(filler), size=n)]
+        rows: list[list[int]] = list(others)
+        label, fold = [0] * len(others), [i % FOLDS for i in range(len(others))]
+
+        def add(text: str, c: int, part: int) -> None:
+            rows.append([place[g] for g in grams(text) if g in place])
+            label.append(c)
+            fold.append(part)
+
+        every = [(c, k, t) for c, f in enumerate(self.families, 1) for k, t in enumerate(TEMPLATES[f])]
+        for c, k, t in every:
+            for v in range(VARIANTS):
+                w = t.split()
+                if v:
+                    w = [x for x in w if rng.random() > 0.08]
+                    w = [filler[rng.integers(len(filler))] if rng.random() < 0.05 else x for x in w]
+                    w = [*draw(rng.integers(0, 12)), *w, *draw(rng.integers(0, 12))]
+                add(" ".join(w), c, k % FOLDS)
+            for d in DENIALS:
+                if text := denied(t, d):
+                    for _ in range(4):
+                        add(" ".join([*draw(rng.integers(0, 6)), text, *draw(rng.integers(0, 6))]), 0, k % FOLDS)
+        short = [(k, t) for _, k, t in every if len(t.split()) <= 14]
+        names = {w for f in self.families for t in TEMPLATES[f] for w in t.split() if w[:1].isupper() and w not in ("License", "Licence", "The", "This", "Version", "Public")}
+        for k, t in short:  # notices of licences that are none of these
+            for _ in range(12):
+                other = OTHER_NAMES[rng.integers(len(OTHER_NAMES))]
+                text = re.sub(r"\S+", lambda m, other=other: other if m[0].strip(".,()") in names else m[0], t)
+                if text != t:
+                    add(" ".join([*draw(rng.integers(0, 4)), text, *draw(rng.integers(0, 4))]), 0, k % FOLDS)
+        words = [w for _, _, t in every for w in t.split()]
+        for i in range(2000):  # other text also holds single words of notices
+            w = draw(rng.integers(5, 60))
+            for at in rng.integers(len(w), size=rng.integers(1, 4)):
+                w[at] = words[rng.integers(len(words))]
+            add(" ".join(w), 0, i % FOLDS)
         x = np.zeros((len(rows), len(vocabulary)), np.float32)
-        for i, t in enumerate(rows):
-            x[i, [place[g] for g in grams(t) if g in place]] = 1
+        for i, own in enumerate(rows):
+            x[i, own] = 1
+        label, fold = np.array(label), np.array(fold)
         y = np.eye(len(self.families) + 1, dtype=np.float32)[label]
-        test = rng.random(len(rows)) < 0.2
-        w, b = _fit(x[~test], y[~test], rounds)
-        z = x[test] @ w + b
-        truth = np.array(label)[test]
+        z, truth = [], []
+        for part in range(FOLDS):
+            learn = fold != part
+            w, b = _fit(x[learn], y[learn], rounds // 2)
+            z.append(x[~learn] @ w + b)
+            truth.append(np.where(np.isin(label[~learn], label[learn]), label[~learn], 0))
+        z, truth = np.concatenate(z), np.concatenate(truth)
         loss = lambda t: -float(np.mean(_softmax(z / t, log=True)[np.arange(len(z)), truth]))
-        self.temperature = min((0.05 * 1.2**k for k in range(25)), key=loss) if len(z) else 1.0
-        self.accuracy = float((z.argmax(axis=1) == truth).mean()) if len(z) else 0.0
+        self.temperature = min((0.05 * 1.2**k for k in range(35)), key=loss)
+        self.accuracy = float((z.argmax(axis=1) == truth).mean())
+        w, b = _fit(x, y, rounds)
         self.weights, self.bias = w[order], b
-        #: by family: positions in ``hashes`` of each template's grams
+        #: by family: positions in ``hashes`` of each template's grams, and of those that no other family's template has
         back = {g: int(np.searchsorted(self.hashes, hashes[i])) for g, i in place.items()}
         self.templates = [[frozenset(back[g] for g in grams(t)) for t in TEMPLATES[f]] for f in self.families]
+        held = [frozenset().union(*own) for own in self.templates]
+        self.telling = [own - frozenset().union(*(o for o in held if o is not own)) for own in held]
+        pairs = {f"{d.split()[-1]} {v}" for d in DENIALS for v in VERBS} - {g for f in self.families for t in TEMPLATES[f] for g in grams(t)}
+        self.denials = frozenset(back[g] for g in pairs)
         #: by gram: 1 / size of each template that has it
         flat = [t for own in self.templates for t in own]
         self.parts = np.zeros((len(self.hashes), len(flat)), np.float32)
@@ -206,9 +250,13 @@ class Classifier:
         return [sorted(x) for x in out]
 
     def _confirm(self, held: set[int], p: np.ndarray) -> tuple[int, float, float] | None:
-        """(family, probability, share): templates decide between families that the classifier finds likely."""
-        likely = [(max(len(held & t) / len(t) for t in self.templates[c - 1]), float(p[c]), c) for c in range(1, len(p)) if p[c] >= LIKELY]
-        if not likely or max(likely)[0] < CONFIRM:
+        """(family, probability, share): templates decide between families that the classifier finds likely.
+
+        A denial of what a notice says confirms nothing. A template counts if what is held has one of its grams that tell of its family, or nine tenths of all its grams.
+        """
+        share = lambda c: max((r for t in self.templates[c - 1] if (r := len(held & t) / len(t)) >= 0.9 or held & t & self.telling[c - 1]), default=0.0)
+        likely = [(share(c), float(p[c]), c) for c in range(1, len(p)) if p[c] >= LIKELY]
+        if held & self.denials or not likely or max(likely)[0] < CONFIRM:
             return None
         share, _, c = max(likely)
         return c - 1, float(1.0 - p[0]), share
@@ -288,6 +336,7 @@ FOUND = "array<struct<paragraph:int,family:string,probability:double,share:doubl
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = OTHER_ROWS) -> Classifier:
     """Learns from the templates and from about ``rows`` paragraphs of other text, one from each of as many documents drawn by hash.
 
+    Of each paragraph, taken whole, the driver gets its grams that templates have, and ``FILLERS`` words.
     Paragraphs with half of a template's grams are not taken for other text.
     """
     n = docs.select(id_col).count()
@@ -295,9 +344,34 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     drawn = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(1 << 30)) < limit))
     lines = F.split(F.col(text_col), "\n")
     one = F.element_at(lines, (F.pmod(F.xxhash64(F.col(id_col)), F.size(lines)) + 1).cast("int"))
-    others = sorted(r[0] for r in drawn.select(one.alias("t")).where(F.length("t").between(1, OTHER_CHARS)).collect())
-    known = [frozenset(grams(t)) for f in TEMPLATES.values() for t in f]
-    return Classifier([t for t in others if (own := set(grams(t))) is not None and all(len(own & k) < 0.5 * len(k) for k in known)])
+    vocabulary = _vocabulary()
+    hashes = _hashes(vocabulary)
+    order = np.argsort(hashes)
+    found, kind = hashes[order], pa.struct([("own", pa.list_(pa.int32())), ("words", pa.list_(pa.string()))])
+
+    @F.arrow_udf("struct<own:array<int>,words:array<string>>")
+    def features(x: pa.Array) -> pa.Array:
+        out = []
+        for first, _, data, offsets in steps(x):
+            low = LOWER[data]
+            start, end, heads = spans(low, offsets, WORD_BYTES)
+            words = word_hashes(low, start, end)
+            runs = [gram_hashes(words, heads, n) for n in (1, 2)]
+            for row in range(len(offsets) - 1):
+                h = np.unique(np.concatenate([g[r[row] : r[row + 1]] for g, _, r in runs]))
+                at = np.minimum(np.searchsorted(found, h), len(found) - 1)
+                split = (x[first + row].as_py() or "").split()
+                rng = np.random.Generator(np.random.PCG64(len(split)))
+                some = [split[i] for i in rng.integers(len(split), size=min(FILLERS, len(split)))] if split else []
+                out.append({"own": order[at[found[at] == h]].tolist(), "words": some})
+        return pa.array(out, kind)
+
+    table = drawn.select(features(one).alias("f")).select("f.own", "f.words").collect()
+    place = {g: i for i, g in enumerate(vocabulary)}
+    known = [frozenset(place[g] for g in grams(t)) for f in TEMPLATES.values() for t in f]
+    rows = sorted((sorted(r.own), r.words) for r in table if r.words)
+    clean = [(own, words) for own, words in rows if all(len(k.intersection(own)) < 0.5 * len(k) for k in known)]
+    return Classifier([own for own, _ in clean], [w for _, words in clean for w in words])
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,8 +381,9 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without a blank one between them, of which the first line is reported. It is unknown unless
     the calibrated probability of a licence is at least ``SURE``; of the families of probability ``LIKELY`` or more that is
     reported of which it holds the largest share of a template's grams, if that is at least ``CONFIRM``. ``family`` is that of the likeliest notice, ``unknown`` if
-    there is none, as in null and empty texts; ``notices`` has paragraph numbers from 0. Repeated rows are each
-    scanned; extra columns are ignored.
+    there is none, as in null and empty texts; ``notices`` has paragraph numbers from 0. Of equally likely notices that
+    with the larger share, then the last family by name, is told. Repeated rows and null ids are each
+    scanned; texts count whole, however long; extra columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows_per_batch(spark)

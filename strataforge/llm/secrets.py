@@ -102,7 +102,8 @@ def scan_secrets(
     None scans into a new ledger in the shared folder. Returns
     ``(id, blob_id, findings)``, one row for each row of ``docs``; findings are ordered
     by start, then by the order of the rules. Rows with a null id are kept; extra
-    columns are ignored; repeated rows are each returned.
+    columns, whatever their names, are ignored; repeated rows are each returned; texts are scanned whole, however
+    long; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ledger = ledger or fresh_path(spark, "ledger")
@@ -122,9 +123,9 @@ def scan_secrets(
         chosen = chosen.withColumn("todo", every)
 
     body = docs.select(F.col(id_col).alias("__doc"), text.alias("__text"))
-    pick = chosen.select(F.col("__id"), F.col("blob_id").alias("__blob"), "todo").hint("shuffle_hash")
-    # ids may repeat with other texts: the address settles which row is meant
-    blobs = body.join(pick, F.col("__doc").eqNullSafe(F.col("__id"))).where(F.unhex(F.sha2(F.col("__text"), 256)) == F.col("__blob"))
+    pick = chosen.select(F.col("__id"), F.col("blob_id").alias("__blob"), "todo")
+    # ids may repeat with other texts, null ones too: the address is part of the key
+    blobs = body.join(pick, F.col("__doc").eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(F.col("__text"), 256)) == F.col("__blob")))
     wanted = [F.when(F.array_contains("todo", r.tag), rule_spans(F.col("__text"), r, k)).otherwise(F.array().cast(FINDINGS)) for k, r in enumerate(rules)]
     found = blobs.select(F.col("__blob").alias("blob_id"), F.col("todo").alias("rules"), F.array_sort(F.concat(*wanted)).alias("findings"))
     found.write.mode("append").parquet(ledger)
@@ -171,6 +172,9 @@ def secret_digest(found: DataFrame) -> DataFrame:
 
 
 def drop_secret_documents(docs: DataFrame) -> DataFrame:
-    """Documents without a finding; ``docs`` keeps its columns. Copies of a text share its fate."""
+    """Documents without a finding; ``docs`` keeps its columns. Copies of a text share its fate.
+
+    Null and empty texts hold none and stay, whatever their ids; an empty table gives an empty result.
+    """
     bad = scan_secrets(docs).where(F.size("findings") > 0).select(F.col("blob_id").alias("__bad")).distinct()
     return without(docs, staged(bad, "secret-blobs"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("__bad"))

@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.arrow_text import rows_per_batch
+from strataforge.llm.joins import spread_join
 from strataforge.session import fresh_path, staged
 
 #: Captures of a compressed index block, bytes of an archive file, bytes that one range read takes at most when neighbours are read together.
 LINES, FILE_BYTES, READ_BYTES = 3000, 1 << 30, 4 << 20
 #: Records that one task reads back, about.
 RECORDS = 1 << 14
-#: Directory entries that one round of look-ups broadcasts.
-DIRECTORY = 500_000
+#: Directory entries (about 300 bytes each) that one round of look-ups broadcasts.
+DIRECTORY = 200_000
 DATE = "2020-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -102,10 +103,13 @@ def roles(pages: DataFrame, least: int) -> DataFrame:
     """``(__page, __digest, refers)``: for each page and payload the page that it repeats, null for responses."""
     body = F.coalesce("html", F.lit(""))
     named = pages.select(F.col("page_id").alias("__page"), F.sha1(F.encode(body, "UTF-8")).alias("__digest"), F.octet_length(body).alias("__n")).distinct()
+    named = staged(named, "payloads")
     first = named.where(F.col("__n") >= least).groupBy("__digest").agg(F.min("__page").alias("__first"))
     # an id that is null cannot be referred to and does not repeat another
     refers = F.when(F.col("__page") != F.col("__first"), F.col("__first"))
-    return named.join(first, "__digest", "left").select("__page", "__digest", refers.alias("refers"))
+    # one payload may be that of a third of all pages
+    counts = named.groupBy("__digest").agg(F.count(F.lit(1)).alias("n"))
+    return spread_join(named, first, "__digest", counts, ["__page"], "left").select("__page", "__digest", refers.alias("refers"))
 
 
 def write_archive(pages: DataFrame, folder: str, least: int = 0, lines: int = LINES) -> DataFrame:
@@ -115,7 +119,8 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, lines: int = LI
     smallest id is a response record and the others revisit it. Null html is an empty payload; a null id is always
     a response. Each record is a gzip member of its own. Index lines,
     sorted by reversed-host key and page, are cut into gzip blocks of ``lines`` lines; the directory
-    has a row for each block: first and last key, file, offset, length.
+    has a row for each block: first and last key and page, file, offset, length. Repeated rows have a record each; extra columns,
+    whatever their names, are ignored; an empty table gives an empty directory.
     """
     spark = pages.sparkSession
     rows_per_batch(spark, 500)
@@ -127,7 +132,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, lines: int = LI
     body = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html"))
     digest = F.sha1(F.encode("html", "UTF-8"))
-    marked = rows.withColumn("digest", digest).join(said.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")))
+    marked = rows.withColumn("digest", digest).join(said, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")))
     ready = marked.select("page_id", "url", F.when(F.col("refers").isNull(), F.col("html")).alias("html"), F.octet_length("html").cast("bigint").alias("size"), "digest", "refers")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +170,15 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, lines: int = LI
             nonlocal stream, offset
             if stream is None:
                 stream = where.open_output_stream(f"{root}/index/{name}", compression=None)
-            data = _gzip("".join(f"{json.dumps(k, ensure_ascii=False)} {x}\n" for k, x in held).encode())
+            data = _gzip("".join(f"{json.dumps(k, ensure_ascii=False)} {x}\n" for k, x, _ in held).encode())
             stream.write(data)
-            out.append((held[0][0], held[-1][0], name, offset, len(data), len(held)))
+            out.append((held[0][0], held[-1][0], name, offset, len(data), len(held), held[0][2], held[-1][2]))
             offset += len(data)
             held.clear()
 
         for batch in batches:
-            for key, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held.append((key, line))
+            for key, page, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((key, line, page))
                 if len(held) >= lines:
                     flush()
         if held:
@@ -181,9 +186,10 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, lines: int = LI
         if stream is not None:
             stream.close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["first_key", "last_key", "file", "offset", "length", "lines"])
+            kinds = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["first_key", "last_key", "file", "offset", "length", "lines", "first_page", "last_page"])
 
-    return staged(ordered.mapInArrow(index, "first_key string, last_key string, file string, offset bigint, length bigint, lines bigint"), "directory")
+    return staged(ordered.mapInArrow(index, "first_key string, last_key string, file string, offset bigint, length bigint, lines bigint, first_page bigint, last_page bigint"), "directory")
 
 
 def block_lines(where: fs.FileSystem, root: str, file: str, offset: int, length: int) -> list[tuple[str, dict]]:
@@ -201,12 +207,73 @@ _CAPTURE = "page_id bigint, payload_bytes bigint, payload_digest string, record_
 _FIELDS = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
 
 
-def read_archive(directory: DataFrame, folder: str) -> DataFrame:
-    """Every record of an archive, by the index: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
+def _place(key: str, page: int | None) -> tuple:
+    """The order of index lines: by key, then by page, null first."""
+    return key, page is not None, page or 0
 
-    Blocks are read by their directory rows; their captures are dealt by file
-    and offset, so that each task reads neighbouring records with few large range reads.
+
+def _slices(directory: DataFrame) -> Iterator[list]:
+    """The directory's rows, sorted, in slices of bounded size."""
+    n = directory.count()
+    parts = max(1, -(-n // DIRECTORY))
+    for k in range(parts):
+        part = directory if parts == 1 else directory.where(F.pmod(F.xxhash64("file", "offset"), F.lit(parts)) == k)
+        yield sorted((_place(r.first_key, r.first_page), _place(r.last_key, r.last_page), r.file, r.offset, r.length) for r in part.collect())
+
+
+def captures_of(directory: DataFrame, folder: str, pages: DataFrame) -> DataFrame:
+    """``(file, offset, length)`` of the records of ``pages(url, page_id)``, by two bisections.
+
+    Each distinct key, reversed host and page, is sought in the directory, which is broadcast in slices. The
+    keys are then dealt by the block that may hold them and sorted, so that a task reads a block once, by range, and
+    searches it for the keys of its batch. A block has a bounded number of lines, so that a key that many pages share is
+    spread over its blocks.
     """
+    spark = directory.sparkSession
+    wanted = pages.select("url", "page_id").distinct()
+    tasks = max(1, -(-(directory.agg(F.sum("lines")).first()[0] or 0) // RECORDS))
+    located = None
+    for rows in _slices(directory):
+        shared = spark.sparkContext.broadcast(rows)
+
+        def locate(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            blocks = shared.value
+            firsts = [b[0] for b in blocks]
+            for batch in batches:
+                out = []
+                for url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    key = reversed_host_key(url)
+                    own = _place(key, page)
+                    k = bisect.bisect_right(firsts, own) - 1
+                    while k >= 0 and blocks[k][1] >= own:  # equal lines may lie in more than one block
+                        out.append((*blocks[k][2:], key, page))
+                        k -= 1
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["file", "offset", "length", "key", "page"])
+
+        found = wanted.mapInArrow(locate, "file string, offset bigint, length bigint, key string, page bigint")
+        located = found if located is None else located.unionByName(found)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = fs.FileSystem.from_uri(folder)
+        block, lines, places = None, [], []
+        for batch in batches:
+            out = []
+            for file, offset, length, key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, offset) != block:
+                    block, lines = (file, offset), [x for x in block_lines(where, root, file, offset, length)]
+                    places = [_place(k, x["page"]) for k, x in lines]
+                own = _place(key, page)
+                for _, x in lines[bisect.bisect_left(places, own) : bisect.bisect_right(places, own)]:
+                    out.append((x["file"], x["offset"], x["length"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "offset", "length"])
+
+    dealt = located.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset", "key", "page")
+    return dealt.mapInArrow(search, "file string, offset bigint, length bigint")
+
+
+def every_capture(directory: DataFrame, folder: str) -> DataFrame:
+    """``(file, offset, length)`` of all records, block by block."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = fs.FileSystem.from_uri(folder)
@@ -215,6 +282,15 @@ def read_archive(directory: DataFrame, folder: str) -> DataFrame:
                 rows = [x for _, x in block_lines(where, root, file, offset, length)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows]) for k in ("file", "offset", "length")], names=["file", "offset", "length"])
 
+    return directory.select("file", "offset", "length").mapInArrow(entries, "file string, offset bigint, length bigint")
+
+
+def read_archive(directory: DataFrame, folder: str, captures: DataFrame | None = None) -> DataFrame:
+    """The records of ``captures`` (None: of all): ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
+
+    Captures are dealt by file and offset, so that each task reads neighbouring records with few large range reads.
+    """
+
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = fs.FileSystem.from_uri(folder)
         name, source, data, start = None, None, b"", 0
@@ -238,9 +314,9 @@ def read_archive(directory: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    captures = directory.select("file", "offset", "length").mapInArrow(entries, "file string, offset bigint, length bigint")
     # pointers are far smaller than what they point at: the number of tasks follows the records
     tasks = max(1, -(-(directory.agg(F.sum("lines")).first()[0] or 0) // RECORDS))
+    captures = every_capture(directory, folder) if captures is None else captures
     near = captures.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return near.mapInArrow(records, _CAPTURE)
 
@@ -286,5 +362,7 @@ def look_up(directory: DataFrame, folder: str, urls: DataFrame, url_col: str = "
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
+    """Writes ``pages`` as an archive and reads each page's record back, found by its key through the index."""
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    return read_archive(write_archive(pages, folder, least), folder)
+    directory = write_archive(pages, folder, least)
+    return read_archive(directory, folder, captures_of(directory, folder, pages))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataforge.llm import arrow_text, decontaminate, joins, language, maintext, mixing, quality, shingles, simhash, topk
+from strataforge.llm import arrow_text, decontaminate, joins, language, maintext, mixing, quality, shingles, simhash, topk, warc
 from tests.llm.test_operators import brute_fingerprint, components, docs, near_texts
 
 # --- shared byte work
@@ -287,3 +287,86 @@ def test_main_texts_edges(spark):
     got = Counter((r.page_id, r.url, r.n_chars) for r in maintext.main_texts(pages).collect())
     assert got == Counter({(1, "u", 1): 2, (None, None, 1): 1, (3, "v", 0): 1, (4, "w", 0): 1, (5, "x", 2_199_999): 1})
     assert maintext.main_texts(pages.limit(0)).count() == 0
+
+
+# --- operator 10
+
+
+def test_captures_are_found_by_key(spark):
+    rows = [(i, f"http://h{i % 3}.example/p{i % 4}", f"<p>{i % 5}</p>") for i in range(60)] + [(100 + i, "http://one.example/", "x") for i in range(40)] + [(7, None, "n"), (7, None, "n"), (None, "http://one.example/", "x"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    folder = warc.fresh_path(spark, "warc")
+    directory = warc.write_archive(pages, folder, lines=4)
+    every = Counter(map(tuple, warc.every_capture(directory, folder).collect()))
+    assert len(every) == len(rows) and Counter(map(tuple, warc.captures_of(directory, folder, pages).collect())) == every
+    some = pages.where("page_id % 7 = 0 or url is null")
+    got = warc.read_archive(directory, folder, warc.captures_of(directory, folder, some))
+    assert Counter(r.page_id for r in got.collect()) == Counter(i for i, u, _ in rows if u is None or (i is not None and i % 7 == 0))
+
+
+# --- operators 1 and 2
+
+
+def test_secrets_of_many_null_ids(spark):
+    from strataforge.llm import secrets
+
+    rows = [(None, f"text {i} token=abcdefgh{i}") for i in range(50)] + [(None, None), (4, None)]
+    got = secrets.scan_secrets(docs(spark, rows)).collect()
+    assert Counter(len(r.findings) for r in got) == Counter({1: 50, 0: 2})
+    assert secrets.scan_secrets(docs(spark, [])).count() == 0
+    kept = secrets.drop_secret_documents(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, None), (4, None)])
+
+
+@pytest.fixture(scope="module")
+def licence_model():
+    from strataforge.llm import licences
+
+    noise = "the and of to in a is was on for with that by this from it at as are be you may not use under".split()
+    rng = random.Random(6)
+    vocabulary = licences._vocabulary()
+    place = {g: i for i, g in enumerate(vocabulary)}
+    texts = [" ".join(rng.choice(noise) for _ in range(rng.randrange(5, 60))) for _ in range(400)]
+    return licences.Classifier([[place[g] for g in licences.grams(t) if g in place] for t in texts], noise)
+
+
+def scan_line(model, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return [model.families[f] for _, f, _, _ in model.paragraphs(data, np.array([0, len(data)]))[0]]
+
+
+def test_unknown_and_denied_licences(licence_model):
+    for text in ("Licensed under the EUPL License.", "This file is not licensed under the MIT License.", "He was licensed to drive the bus.", "It was never released under the Apache License, Version 2.0."):
+        assert scan_line(licence_model, text) == [], text
+    assert scan_line(licence_model, "Released under the MIT License.") == ["mit"]
+
+
+def test_recall_and_precision_of_perturbed_notices(licence_model):
+    from strataforge.llm import licences
+
+    rng = random.Random(7)
+    right = found = total = 0
+    for family, own in licences.TEMPLATES.items():
+        for t in own:
+            for _ in range(6):
+                w = [x for x in t.split() if rng.random() > 0.04]
+                got = scan_line(licence_model, " ".join(["zzq", *w, "qqz"]))
+                total, found, right = total + 1, found + len(got), right + (got == [family])
+    assert right >= 0.9 * total and right >= 0.9 * found
+
+
+def test_classifier_equals_dense_one(licence_model):
+    from strataforge.llm import licences
+
+    m = licence_model
+    place = {int(h): i for i, h in enumerate(m.hashes)}
+    rng = random.Random(8)
+    every = [t for own in licences.TEMPLATES.values() for t in own]
+    for _ in range(60):
+        text = " ".join(rng.sample((rng.choice(every) + " " + rng.choice(every)).split(), 8)) if rng.random() < 0.5 else rng.choice(every)
+        held = {place[int(h)] for h in licences._hashes(licences.grams(text)) if int(h) in place}
+        z = (m.weights[sorted(held)].sum(axis=0) + m.bias) / m.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        want = m._confirm(held, p) if 1 - p[0] >= licences.SURE else None
+        assert scan_line(m, text) == ([m.families[want[0]]] if want else [])
