@@ -24,11 +24,16 @@ ENUMS = {
 NULL_REASONS = ("not_recorded", "not_applicable", "unknown")
 
 
-def _keys(body: Column, path: str) -> Column:
-    return F.coalesce(F.json_object_keys(F.get_json_object(body, f"$.{path}") if path else body), F.array().cast("array<string>"))
+SHAPES = {"": ("contract_version", "frame", "metadata"), "frame": FRAME, "metadata": METADATA, "metadata.pose": POSE, "metadata.camera": CAMERA}
 
 
-SHAPES = {"": ("contract_version", "frame", "metadata"), "frame": FRAME, "metadata": METADATA, "metadata.pose": POSE, "metadata.camera": CAMERA}
+def _keys(v: Column, path: str) -> Column:
+    """Keys of an object within a variant; none of anything else."""
+    return F.coalesce(F.map_keys(F.try_variant_get(v, f"$.{path}" if path else "$", "map<string,variant>")), F.array().cast("array<string>"))
+
+
+def _named(enveloped: bool) -> dict[str, str]:
+    return {path: f"k{i}" for i, path in enumerate([*SHAPES, *(("options",) if enveloped else ())])}
 
 
 def frame_errors(body: Column, enveloped: bool = False) -> Column:
@@ -36,14 +41,40 @@ def frame_errors(body: Column, enveloped: bool = False) -> Column:
 
     The text is parsed once into a variant, so that a key with null and a
     missing key stay apart. Each rule is a column; nothing leaves the JVM.
-    ``enveloped``: further keys beside the record's own are the envelope's business.
+    ``enveloped``: further keys beside the record's own are the envelope's business. Of a table's
+    column ``with_frame_errors`` and ``with_request_errors`` make the same in generated code.
     """
-    named = {path: f"k{i}" for i, path in enumerate(SHAPES)}
-    parsed = F.struct(F.try_parse_json(body).alias("v"), *[_keys(body, path).alias(k) for path, k in named.items()])
-    return once(parsed, lambda s: _frame_rules(s, named, enveloped))
+    named = _named(False)
+    return once(F.try_parse_json(body), lambda v: once(F.struct(v.alias("v"), *[_keys(v, path).alias(k) for path, k in named.items()]), lambda s: _frame_rules(s, named, enveloped)))
+
+
+def _parsed(rows: DataFrame, body: str, named: dict[str, str]) -> tuple[DataFrame, dict[str, Column]]:
+    """``rows`` with the variant and its keys as columns of their own, so that each is made once and rules are compiled."""
+    out = rows.withColumn("__v", F.try_parse_json(F.col(body)))
+    out = out.withColumns({f"__{k}": _keys(F.col("__v"), path) for path, k in named.items()})
+    return out, {"v": F.col("__v"), **{k: F.col(f"__{k}") for k in named.values()}}
+
+
+def _dropped(rows: DataFrame, named: dict[str, str]) -> DataFrame:
+    return rows.drop("__v", *[f"__{k}" for k in named.values()])
 
 
-def _frame_rules(s: Column, named: dict[str, str], enveloped: bool) -> Column:
+def with_frame_errors(rows: DataFrame, body: str = "body", name: str = "errors") -> DataFrame:
+    """``rows`` with ``frame_errors`` of a column."""
+    named = _named(False)
+    out, s = _parsed(rows, body, named)
+    return _dropped(out.withColumn(name, _frame_rules(s, named, False)), named)
+
+
+def with_request_errors(rows: DataFrame, coverages: list[float], body: str = "body", name: str = "errors") -> DataFrame:
+    """``rows`` with the error paths of a request, of its envelope and of the frame in it, sorted, from one parse."""
+    named = _named(True)
+    out, s = _parsed(rows, body, named)
+    out = out.withColumns({"__e": _envelope_rules(s["v"], s[named[""]], s[named["options"]], coverages), "__f": _frame_rules(s, named, True)})
+    return _dropped(out.withColumn(name, F.array_sort(F.array_distinct(F.concat("__e", "__f")))).drop("__e", "__f"), named)
+
+
+def _frame_rules(s: Column | dict[str, Column], named: dict[str, str], enveloped: bool) -> Column:
     v = s["v"]
     get = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
     rules: list[tuple[str, Column]] = []
@@ -78,30 +109,29 @@ def _frame_rules(s: Column, named: dict[str, str], enveloped: bool) -> Column:
 
 def envelope_errors(body: Column, coverages: list[float]) -> Column:
     """Sorted error paths of a request around a frame."""
-    parsed = F.struct(F.try_parse_json(body).alias("v"), _keys(body, "").alias("have"), _keys(body, "options").alias("options"))
+    return once(F.try_parse_json(body), lambda v: once(F.struct(v.alias("v"), _keys(v, "").alias("have"), _keys(v, "options").alias("options")), lambda s: _envelope_rules(s["v"], s["have"], s["options"], coverages)))
+
+
+def _envelope_rules(v: Column, have: Column, options: Column, coverages: list[float]) -> Column:
     known = F.array(*[F.lit(k) for k in ("contract_version", "frame", "metadata", "request_id", "options")])
     allowed = F.array(F.lit("coverage_target"), F.lit("return_patch_map"))
     fitted = [f"{c:.2f}" for c in coverages]
-
-    def rules(s: Column) -> Column:
-        target = F.try_variant_get(s["v"], "$.options.coverage_target", "double")
-        flag = F.schema_of_variant(F.try_variant_get(s["v"], "$.options.return_patch_map", "variant"))
-        request = F.try_variant_get(s["v"], "$.request_id", "string")
-        extra = F.array_except(s["options"], allowed)
-        found = F.concat(
-            F.array_except(s["have"], known),
-            F.when(F.size(extra) > 0, F.split(F.concat(F.lit("options."), F.array_join(extra, "\x00options.")), "\x00")).otherwise(F.array().cast("array<string>")),
-            F.array_compact(
-                F.array(
-                    F.when(~F.coalesce(request != "", F.lit(False)), F.lit("request_id")),
-                    F.when(target.isNotNull() & ~F.format_string("%.2f", target).isin(*fitted), F.lit("options.coverage_target")),
-                    F.when(F.array_contains(s["options"], "return_patch_map") & (flag != "BOOLEAN"), F.lit("options.return_patch_map")),
-                )
-            ),
-        )
-        return F.when(s["v"].isNull(), F.array(F.lit(""))).otherwise(F.array_sort(F.array_distinct(found)))
-
-    return once(parsed, rules)
+    target = F.try_variant_get(v, "$.options.coverage_target", "double")
+    flag = F.schema_of_variant(F.try_variant_get(v, "$.options.return_patch_map", "variant"))
+    request = F.try_variant_get(v, "$.request_id", "string")
+    extra = F.array_except(options, allowed)
+    found = F.concat(
+        F.array_except(have, known),
+        F.when(F.size(extra) > 0, F.split(F.concat(F.lit("options."), F.array_join(extra, "\x00options.")), "\x00")).otherwise(F.array().cast("array<string>")),
+        F.array_compact(
+            F.array(
+                F.when(~F.coalesce(request != "", F.lit(False)), F.lit("request_id")),
+                F.when(target.isNotNull() & ~F.format_string("%.2f", target).isin(*fitted), F.lit("options.coverage_target")),
+                F.when(F.array_contains(options, "return_patch_map") & (flag != "BOOLEAN"), F.lit("options.return_patch_map")),
+            )
+        ),
+    )
+    return F.when(v.isNull(), F.array(F.lit(""))).otherwise(F.array_sort(F.array_distinct(found)))
 
 
 def box_frame(box: Column, stored: tuple[Column, Column], upright: tuple[Column, Column], turned: Column) -> Column:

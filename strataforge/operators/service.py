@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataforge.functions.vectors import argmax, entropy
 from strataforge.operators.abstain import reason
 from strataforge.operators.dedupe import first_by
-from strataforge.operators.frames import envelope_errors, frame_errors
+from strataforge.operators.frames import envelope_errors, frame_errors, with_request_errors
 
 
 def one_feature(features: DataFrame, digest: str = "sha256", order: str = "cache") -> DataFrame:
@@ -35,7 +35,7 @@ def predict(requests: DataFrame, features: DataFrame, probabilities: Callable[[C
     """
     text = F.col(body)
     want = F.try_variant_get(F.try_parse_json(text), "$.options.coverage_target", "double")
-    rows = requests.withColumn("errors", request_errors(text, list(thresholds)))
+    rows = with_request_errors(requests, list(thresholds), body)
     rows = rows.withColumn("coverage", F.when(F.size("errors") == 0, F.round(F.coalesce(want, F.lit(default)), 2)))
     # requests without a digest get keys of their own: they would else meet in one task
     rows = rows.withColumn("__key", F.when(F.size("errors") == 0, F.get_json_object(text, "$.frame.sha256")).otherwise(F.concat(F.lit("-"), F.xxhash64(text).cast("string"))))

@@ -131,7 +131,7 @@ _PATHS = """select event_id, array_to_string(list_sort(list_filter([{cases}], la
     )
 )
 def frame_contract(spark: SparkSession, d: str) -> DataFrame:
-    return _bodies(spark, d, True).select("event_id", F.array_join(frames.frame_errors(F.col("body")), ",").alias("errors"))
+    return frames.with_frame_errors(_bodies(spark, d, True)).select("event_id", F.array_join("errors", ",").alias("errors"))
 
 
 @query(
