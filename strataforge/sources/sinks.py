@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.operators.dedupe import append_new
-from strataforge.operators.validate import violations
+from strataforge.operators.validate import in_order, violations
+from strataforge.schemas import LEDGER, REQUESTS, STAMP, STEPS
 
 
 def table_digest(rows: DataFrame) -> str:
@@ -73,3 +76,37 @@ def markdown(rows: DataFrame, columns: list[str], order: list[Column], limit: in
 def log_once(table: DataFrame, run: DataFrame, tag: str) -> DataFrame:
     """Rows of ``run`` whose tag is not in the tracking table yet."""
     return run.join(table.select(tag).distinct(), tag, "left_anti")
+
+
+def ledger_rules() -> list[tuple[str, str, Column]]:
+    """Rules of a ledger row: a stamp, a known step, and no negative or endless time or count."""
+    seconds = F.col("wallclock_s")
+    return [
+        ("bad_value", "ts", F.col("ts").rlike(STAMP)),
+        ("bad_value", "step", F.col("step").isin(*STEPS)),
+        ("bad_value", "wallclock_s", seconds.isNull() | ((seconds >= 0) & (seconds < float("inf")))),
+        ("bad_value", "n_items", F.col("n_items").isNull() | (F.col("n_items") >= 0)),
+    ]
+
+
+def append_ledger(rows: DataFrame, path: str) -> None:
+    """Appends rows to the ledger, its fields in order; one invalid row and nothing is written (S20). Equal rows are all kept."""
+    rows = in_order(rows, LEDGER)
+    broken = violations(rows.withColumn("__row", F.to_json(F.struct("*"))), ledger_rules(), "__row").first()
+    if broken is not None:
+        raise ValueError(f"{broken['reason']}: {broken['message']} in {broken['__row']}")
+    rows.write.mode("append").parquet(path)
+
+
+def append_requests(rows: DataFrame, path: str, batch: int) -> str | None:
+    """Logs the requests of a batch below ``path``; a failure is told as a warning, so that answers are given all the same.
+
+    A batch has a folder of its own, so one that runs again replaces what it wrote before.
+    """
+    try:
+        in_order(rows, REQUESTS).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    except PySparkException as e:
+        return f"request log not written: {str(e).splitlines()[0]}"
+    except Py4JJavaError as e:  # of the file system
+        return f"request log not written: {e.java_exception.getMessage()}"
+    return None

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataforge.operators import caches, configs, dedupe, knn, metrics, ml, neardup, ordering, ranks, splits, validate
-from strataforge.schemas import FROZEN
+from strataforge.schemas import FROZEN, LEDGER
+from strataforge.sources import sinks
 
 
 def test_running_sums_in_groups(spark):
@@ -117,3 +118,26 @@ def test_metric_without_rows_is_an_error_at_full_coverage(spark):
     rows = spark.createDataFrame([("a", None, 1.0)], "g string, v double, c double")
     with pytest.raises(ValueError, match="no row"):
         metrics.reported(rows, ["g"], "v", "c", "no row")
+
+
+def test_ledger_takes_all_rows_or_none(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    kind = "step string, ts string, wallclock_s double"
+    good = spark.createDataFrame([("env", "2024-01-01T00:00:00Z", None), ("eval", "2024-01-01T00:00:01Z", 2.0)], kind)
+    sinks.append_ledger(good, path)
+    for bad in (("other", "2024-01-01T00:00:00Z", 1.0), ("env", "today", 1.0), ("env", "2024-01-01T00:00:00Z", -1.0), ("env", "2024-01-01T00:00:00Z", float("nan")), (None, None, None)):
+        with pytest.raises(ValueError, match="bad_value"):
+            sinks.append_ledger(good.union(spark.createDataFrame([bad], kind)), path)
+    sinks.append_ledger(good, path)
+    held = spark.read.parquet(path)
+    assert held.columns == [f.name for f in LEDGER.fields] and held.count() == 4
+
+
+def test_request_log_of_a_batch_that_runs_again(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = lambda *ids: spark.createDataFrame([(i, 200) for i in ids], "request_id string, status bigint")
+    for batch, ids in ((0, "ab"), (1, "c"), (1, "cd")):
+        assert sinks.append_requests(rows(*ids), path, batch) is None
+    assert sorted(r.request_id for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "d"]
+    (tmp_path / "file").write_text("")
+    assert "request log not written" in sinks.append_requests(rows("a"), str(tmp_path / "file"), 0)
