@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, over their whole tables, and their SQL."""
+"""The registered queries of the thirteen operators, over their whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm import decontaminate, language, licences, maintext, mixing, quality, secrets, simhash, topk, warc
+from strataforge.llm import decontaminate, exact_dedup, hard_negatives, language, licences, maintext, merkle, mixing, quality, secrets, simhash, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,20 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_secret_scan, op2_licence_scan, op3_quality_scores, op4_simhash_components, op5_source_mix, op6_language_id, op7_benchmark_leaks, op8_exact_top_k, op9_main_text, op10_warc_archive]
+    found = [op1_secret_scan, op2_licence_scan, op3_quality_scores, op4_simhash_components, op5_source_mix, op6_language_id, op7_benchmark_leaks, op8_exact_top_k, op9_main_text, op10_warc_archive, op11_merkle_manifest, op12_hard_negatives, op13_exact_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -111,6 +123,74 @@ select query_id, cast(rank as integer) as rank, vec_id, score from (
   select *, row_number() over (partition by n order by score desc, vec_id) as rank from p) where rank <= 5"""
 
 
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """Trees of three children over ``leaves(tree, i, n, h)``: ``name_k`` has the nodes of level k with what stands left and right of them in their run.
+
+    ``n`` is the number of nodes of the tree on the level; a tree of one node stays as it is. ``levels`` are enough for 3^levels leaves.
+    """
+    out, below = [], leaves
+    for k in range(levels):
+        w = "window w as (partition by tree, i // 3 order by i)"
+        out.append(f"""{name}_{k} as (select tree, i, n, h,
+          coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') as a,
+          coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') as b from {below} {w})""")
+        below = f"{name}_up{k}"
+        out.append(f"{below} as (select tree, i // 3 as i, (n + 2) // 3 as n, case when n = 1 then min(h) else sha256(string_agg(h, '' order by i)) end as h from {name}_{k} group by tree, i // 3, n)")
+    return ",\n".join(out)
+
+
+def _walk_sql(name: str, start: str, levels: int) -> str:
+    """From ``start(tree, i, proof, f, ...)`` up: the siblings are added to ``proof`` and ``f`` is folded."""
+    out, below = [], start
+    for k in range(levels):
+        fold = "case when x.n = 1 then s.f else sha256(x.a || s.f || x.b) end"
+        proof = "case when x.n = 1 then s.proof else s.proof || x.a || x.b end"
+        out.append(f"{name}_{k} as (select s.* replace (s.i // 3 as i, {proof} as proof, {fold} as f) from {below} s join {start.split('_')[0]}_{k} x using (tree, i))")
+        below = f"{name}_{k}"
+    return ",\n".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    value = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+    return "sha256(" + " || ".join(map(value, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+#: Levels in a source and over the sources: the SQL is for up to 3^12 rows of a source and 3^5 sources.
+_IN, _OVER = 12, 5
+_CRC = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ord(x)::bigint)), lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+_OP11 = f"""
+with d as (select *, case when source is null then '-' else '=' || source end as tree, {_leaf_sql("text")} as leaf,
+    case when {_CRC} % 2 = 0 then {_leaf_sql("replace(text, chr(10), '')")} else {_leaf_sql("text")} end as other from documents),
+p as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by tree) as n from d),
+inner_leaves as (select tree, i, n, leaf as h from p),
+{_tree_sql("rows", "inner_leaves", _IN)},
+sub as (select tree as name, h as subroot, row_number() over (order by tree) - 1 as i, count(*) over () as n from rows_up{_IN - 1}),
+outer_leaves as (select '' as tree, i, n, subroot as h from sub),
+{_tree_sql("tops", "outer_leaves", _OVER)},
+rows_start as (select tree, i, '' as proof, other as f, doc_id, leaf from p),
+{_walk_sql("up", "rows_start", _IN)},
+tops_start as (select '' as tree, s.i, u.proof, u.f, doc_id, leaf, subroot from up_{_IN - 1} u join sub s on u.tree = s.name),
+{_walk_sql("over", "tops_start", _OVER)}
+select doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, f as folded_root, f = h as verified from over_{_OVER - 1}, tops_up{_OVER - 1}"""
+
+_OP12 = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select *, row_number() over () as n from (select distinct vec_id, label, e from v where vec_id % 50 = 0)),
+p as (select a.n, a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+  cast(list_sum(list_transform(range(1, least(len(a.e), len(c.e)) + 1), lambda i: a.e[i] * c.e[i])) as bigint) as score from a join v c on a.vec_id <> c.vec_id),
+near as (select *, row_number() over (partition by n order by score desc, vec_id) as place from p where same qualify place <= 5)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from (
+  select near.anchor_id, near.vec_id as positive_id, p.vec_id as negative_id, near.score as positive_score, p.score as negative_score,
+    row_number() over (partition by n, place order by p.score desc, p.vec_id) as rank
+  from near join p using (n) where not p.same and 50 * near.score <= 100 * p.score and 100 * p.score <= 95 * near.score) where rank <= 3"""
+
+_OP13 = """
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256 from d"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it expresses. It lacks XXH64 with a seed, base32 of SHA-1, trained models and seeded draws: those are tested against brute force."""
-    return {"op1_secret_scan": _OP1, "op7_benchmark_leaks": _OP7, "op8_exact_top_k": _OP8}
+    return {"op1_secret_scan": _OP1, "op7_benchmark_leaks": _OP7, "op8_exact_top_k": _OP8, "op11_merkle_manifest": _OP11, "op12_hard_negatives": _OP12, "op13_exact_dedup": _OP13}
