@@ -13,7 +13,7 @@ from xxhash import xxh64_intdigest
 
 from strataforge.llm.arrow_text import rows_per_batch
 from strataforge.llm.joins import sized, spread_join
-from strataforge.llm.shingles import set_column, shingle_classes
+from strataforge.llm.shingles import BROADCAST_IDS, set_column, shingle_classes
 from strataforge.operators.graph import connected_components
 from strataforge.session import staged
 
@@ -135,11 +135,14 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     gives an empty result; extra columns are kept.
     """
     marked, named = shingle_classes(docs)
-    classes = marked.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    classes = marked.groupBy("cls").agg(F.min("doc_id").alias("least"))
     classes = staged(classes.join(named, "cls"), "components")
-    repeats = classes.where("n > ids or nulls > 1").limit(1).count() > 0
     first = F.min(F.struct(F.col("least").isNull().alias("no"), F.col("least").alias("id"), F.col("cls").alias("set")))
     kept = classes.groupBy("component").agg(first.alias("k")).select(F.col("k.id").alias("__id"), F.col("k.set").alias("__kept"))
-    # the many kept ids are not broadcast; both sides move by id and set
+    ids = marked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids.n == ids.ids:  # each row has an id of its own: rows go by it, and texts do not move if few go
+        gone = marked.join(kept.select("__id"), F.col("doc_id") == F.col("__id"), "left_anti").select(F.col("doc_id").alias("__gone"))
+        return docs.join(sized(staged(gone, "copies"), BROADCAST_IDS), docs["doc_id"] == F.col("__gone"), "left_anti")
+    # both sides move by id and set
     out = docs.withColumn("__set", set_column(F.col("text"))).join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__set") == F.col("__kept")), "left_semi")
-    return (out.dropDuplicates(["doc_id", "__set"]) if repeats else out).drop("__set")
+    return out.dropDuplicates(["doc_id", "__set"]).drop("__set")
