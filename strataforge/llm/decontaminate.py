@@ -183,7 +183,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """``(doc_id, item_id, n_shingles, n_found, containment)`` for each row of ``docs`` and each item it holds.
 
     Words are runs of letters, digits, underscores and characters outside
-    ASCII, ASCII letters in lower case (as the query's SQL has it) or, with ``fold``, all
+    ASCII, ASCII letters in lower case or, with ``fold`` (as in the query), all
     letters in Unicode's folded case; an item is held if at least ``least`` of its
     distinct shingles occur in the text. Items of fewer than ``words`` words are one shingle;
     null and wordless items match nothing, null texts hold nothing; null ids are kept. Repeated

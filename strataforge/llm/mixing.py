@@ -61,15 +61,29 @@ def _draws(key: str, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).random(n)
 
 
-def pivot(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
+def pivot(size: np.ndarray, p: np.ndarray, draws: np.ndarray, lots: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """Pairs fractional probabilities until at most one is left; gives the values and its position, or -1.
 
     Of two fractional documents, words move from one to the other until one
     of the two is integral: size[i] * p[i] + size[j] * p[j] stays, and the
-    direction is drawn so that both expectations stay.
+    direction is drawn so that both expectations stay. Of a large and a small document it is the small one that
+    becomes integral, so a large one would wait to the end. With ``lots``, and documents from the largest, one that
+    waits is drawn alone as soon as the next is less than half its size, and the words that this
+    gives or takes are spread evenly over the probabilities of all that follow: the sum of words stays, and so do expectations. It waits on
+    where a probability would pass 0 or 1.
     """
-    x, left = p.copy(), -1
+    x, left, shift = p.copy(), -1, 0.0
+    if lots is not None and len(x):
+        rest = np.cumsum(size[::-1])[::-1]
+        least, most = np.minimum.accumulate(p[::-1])[::-1], np.maximum.accumulate(p[::-1])[::-1]
     for j in range(len(x)):
+        if left >= 0 and lots is not None and 2 * size[j] < size[left]:
+            give, take = (1 - x[left]) * size[left] / rest[j], x[left] * size[left] / rest[j]
+            if least[j] + shift - give > 0 and most[j] + shift + take < 1:
+                up = lots[left] < x[left]
+                shift += -give if up else take
+                x[left], left = float(up), -1
+        x[j] += shift
         if not 0 < x[j] < 1:
             continue
         if left < 0:
@@ -105,13 +119,13 @@ def _rounder(level: int, last: bool):
 
 
 def _round(pdf: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
-    # large documents first: what is left at the end is then seldom a large one
+    # large documents first: what one of them leaves goes on to smaller ones, so what is left at the end is small
     pdf = pdf.sort_values(["size", "draw", "doc", "tie"], ascending=[False, True, True, True], kind="mergesort", na_position="last")
     source, node = pdf["source"].iloc[0], int(pdf["node"].iloc[0])
-    draws = _draws(f"{source!r}/{level}/{node}", len(pdf) + 1)
-    x, left = pivot(pdf["size"].to_numpy(np.float64), pdf["p"].to_numpy(np.float64), draws)
+    draws = _draws(f"{source!r}/{level}/{node}", 2 * len(pdf))
+    x, left = pivot(pdf["size"].to_numpy(np.float64), pdf["p"].to_numpy(np.float64), draws[: len(pdf)], draws[len(pdf) :])
     if last and left >= 0:
-        x[left] = float(draws[-1] < x[left])
+        x[left] = float(x[left] >= 0.5)  # to the nearer, so that the source misses its target by least
         left = -1
     return pdf.assign(p=x, open=np.arange(len(pdf)) == left)
 
@@ -122,8 +136,9 @@ def round_copies(shares: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFra
     The whole part of ``ratio`` is taken as it is; the fractions are rounded in a
     tree. A leaf takes about ``leaf`` documents of one source, drawn by hash, and
     leaves one fraction at most; up to ``fan`` leaves meet in the next node,
-    until one node of the source is left, whose last fraction is drawn alone.
-    A source's words so differ from their target by less than one document.
+    until one node of the source is left, whose last fraction goes to the nearer whole number.
+    A source's words so differ from their target by half a document at most, and by half of a small one as long as
+    there are enough small ones to take what the large ones leave.
     Nodes are named by source, level and a hash of the document, so a rerun draws the same.
     """
     base = F.floor("ratio")

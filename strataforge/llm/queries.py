@@ -39,7 +39,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), fold=True)
     return found.select("doc_id", "item_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), F.col("n_found").cast("bigint").alias("n_found"))
 
 
@@ -103,11 +103,22 @@ select d.doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesc
   sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join listed using (row_no)"""
 
-_OP7 = r"""
-with words as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z_\x{80}-\x{10FFFF}]+') as w from benchmark where text is not null),
+
+def _fold_sql(text: str) -> str:
+    """Unicode's folded case by rule: characters that fold to several are replaced, all others translated."""
+    folds = {chr(c): chr(c).casefold() for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)}
+    for c, f in folds.items():
+        if len(f) > 1:
+            text = f"replace({text}, '{c}', '{f}')"
+    one = {c: f for c, f in folds.items() if len(f) == 1}
+    return f"translate({text}, '{''.join(one)}', '{''.join(one.values())}')"
+
+
+_OP7 = rf"""
+with words as (select item_id, regexp_extract_all({_fold_sql('text')}, '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+') as w from benchmark where text is not null),
 items as (select distinct item_id, len(w) as n, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from words where len(w) > 0),
 own as (select item_id, count(*) as n_shingles from items group by item_id),
-docs as (select doc_id, row_number() over () as row_no, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z_\x{80}-\x{10FFFF}]+') as w from documents where text is not null),
+docs as (select doc_id, row_number() over () as row_no, regexp_extract_all({_fold_sql('text')}, '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+') as w from documents where text is not null),
 runs as (select distinct doc_id, row_no, array_to_string(w[i:i + k - 1], ' ') as s
   from (select doc_id, row_no, w, k, unnest(range(1, len(w) - k + 2)) as i from docs, (select distinct least(n, 5) as k from items)))
 select doc_id, item_id, n_shingles, count(*) as n_found

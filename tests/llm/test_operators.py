@@ -290,6 +290,25 @@ def test_pivot_is_fair():
     assert np.allclose(total / 4000, p, atol=0.03)
 
 
+def test_pivot_hands_large_remainders_to_small_documents():
+    rng = np.random.default_rng(1)
+    size = np.sort(np.concatenate([rng.integers(1, 30, 300), [4000, 900, 700, 80]]).astype(float))[::-1]
+    p, total, words = np.full(len(size), 0.4), np.zeros(len(size)), 0.4 * size.sum()
+    for _ in range(3000):
+        x, left = mixing.pivot(size, p, rng.random(len(size)), rng.random(len(size)))
+        assert sum((x > 0) & (x < 1)) == (left >= 0) and np.isclose(x @ size, words)
+        assert left < 0 or size[left] <= 4000
+        total += x
+    assert np.allclose(total / 3000, 0.4, atol=0.05)
+
+
+def test_sources_come_near_their_targets(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.mix_sources(table).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.max("size").alias("largest")).collect()
+    assert all(abs(r.taken - r.target) <= max(0.02 * r.target, 0.5 * r.largest) for r in got)
+    assert sum(abs(r.taken - r.target) <= 0.01 * r.target for r in got) >= 0.8 * len(got)
+
+
 # --- operator 7
 
 
@@ -338,6 +357,23 @@ def test_decontamination_folds_the_case_of_all_letters(spark):
     assert {r.doc_id for r in decontaminate.contained_items(table, bench, fold=True).collect()} == {1, 2}
 
 
+def test_leak_sql_folds_case_as_the_query_does(spark, tmp_path):
+    import duckdb
+
+    from strataforge.llm import queries
+
+    letters = "".join(chr(c) for c in range(0x80, 0x2100) if chr(c).casefold() != chr(c) and chr(c).isalpha())
+    item = " ".join(letters[k : k + 7] for k in range(0, len(letters), 7)) + " Straße ΟΔΟΣ οδος"
+    spark.createDataFrame([(1, item), (2, "École où l'ÉTÉ déjà VU")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs(spark, [(1, f"x {item.casefold()} y"), (2, item), (3, "école OÙ l'été DÉJÀ vu"), (4, "ecole ou l'ete deja vu"), (5, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op7_benchmark_leaks"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"select doc_id, item_id, n_shingles, n_found from ({queries.oracle_sql()['op7_benchmark_leaks']})").fetchall()
+    assert Counter(tuple(r) for r in got) == Counter(want) and {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (3, 2)}
+
+
 # --- operator 8
 
 
