@@ -19,8 +19,6 @@ FILLERS = 16
 # Names of licences and words before a notice's verb that make it none.
 OTHER_NAMES = "EUPL Artistic Zlib OpenSSL CeCILL Ruby PHP Sleepycat Unilever Driving Fishing Broadcast Trade Hunting Premium Acme Standard Commercial Marriage Liquor".split()
 DENIALS = ("not", "never", "no longer", "not yet")
-#: Neighbouring lines that are read as one, for notices that are wrapped.
-LINES = 12
 #: A calibrated probability of any licence under this is unknown; families of at least ``LIKELY`` are compared with their templates.
 SURE, LIKELY = 0.5, 0.05
 
@@ -36,6 +34,8 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "SPDX-License-Identifier: Apache-2.0",
+        "You may obtain a copy of the License at www.apache.org/licenses/LICENSE-2.0.",
+        "Licensed under Apache-2.0.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
@@ -63,24 +63,33 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Licensed under GPL-2.0.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction.",
         "SPDX-License-Identifier: MIT",
+        "This project is MIT licensed.",
+        "Distributed under the MIT licence.",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org/MPL/2.0.",
     ],
     "proprietary": [
         "Copyright. All rights reserved. No part of this publication may be reproduced or distributed in any form without prior written permission.",
@@ -90,6 +99,11 @@ TEMPLATES = {
     ],
 }
 
+#: Lines between two parts of one notice.
+GAP = 6
+#: Neighbouring lines that are read as one, for notices that are wrapped: as many as the longest template has words, since each line of it has one.
+LINES = max(len(t.split()) for own in TEMPLATES.values() for t in own)
+
 _WORD = re.compile(r"[0-9a-z_\u0080-\U0010ffff]+")
 _BREAK = 0x0A
 
@@ -203,13 +217,19 @@ class Classifier:
         self.templates = [[frozenset(back[g] for g in grams(t)) for t in TEMPLATES[f]] for f in self.families]
         held = [frozenset().union(*own) for own in self.templates]
         self.telling = [own - frozenset().union(*(o for o in held if o is not own)) for own in held]
-        pairs = {f"{d.split()[-1]} {v}" for d in DENIALS for v in VERBS} - {g for f in self.families for t in TEMPLATES[f] for g in grams(t)}
-        self.denials = frozenset(back[g] for g in pairs)
+        #: by family and template: denials, of templates that have a verb, but for what the template itself says
+        pairs = {f"{d.split()[-1]} {v}" for d in DENIALS for v in VERBS}
+        spoken = lambda t: pairs - set(grams(t)) if denied(t, "not") else ()
+        self.denials = [[frozenset(back[g] for g in spoken(t)) for t in TEMPLATES[f]] for f in self.families]
         #: by gram: 1 / size of each template that has it
         flat = [t for own in self.templates for t in own]
         self.parts = np.zeros((len(self.hashes), len(flat)), np.float32)
         for i, t in enumerate(flat):
             self.parts[list(t), i] = 1.0 / len(t)
+        #: by gram: 1 for each template that has it if it tells of the template's family
+        self.tells = np.zeros_like(self.parts)
+        for i, (t, own) in enumerate((t, own) for own, ts in zip(self.telling, self.templates, strict=True) for t in ts):
+            self.tells[list(t & own), i] = 1.0
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -238,35 +258,46 @@ class Classifier:
         row = np.searchsorted(offsets, cuts[paragraph[heads]], "right") - 1
         first_of = np.searchsorted(cuts, offsets)
         lines = dict(zip(paragraph[heads].tolist(), np.split(feature, heads[1:]), strict=True))
-        single = set()
+        single, found = set(), []
         for k in np.flatnonzero(1.0 - p[:, 0] >= SURE):
             line = int(paragraph[heads[k]])
             if notice := self._confirm(set(lines[line].tolist()), p[k]):
                 single.add(line)
-                out[row[k]].append((line - int(first_of[row[k]]), *notice))
-        for line, notice in self._wrapped(lines, single, words, first, np.isin(cuts[:-1], offsets)):
+                found.append((line, 1, notice))
+        found += self._wrapped(lines, single, words, first, np.isin(cuts[:-1], offsets))
+        block = np.cumsum(np.isin(cuts[:-1], offsets) | (np.diff(first) == 0))
+        stop, family = -1, -1
+        for line, size, notice in sorted(found):
             at = int(np.searchsorted(offsets, cuts[line], "right")) - 1
-            out[at].append((line - int(first_of[at]), *notice))
-        return [sorted(x) for x in out]
+            number = line - int(first_of[at])
+            if stop > 0 and 0 <= line - stop <= GAP and block[line] == block[stop - 1] and notice[0] == family:  # goes on with the lines before
+                first_line, _, *best = out[at][-1]
+                out[at][-1] = (first_line, family, *max(tuple(best), notice[1:]))
+            else:
+                out[at].append((number, *notice))
+            stop, family = line + size, notice[0]
+        return out
 
     def _confirm(self, held: set[int], p: np.ndarray) -> tuple[int, float, float] | None:
         """(family, probability, share): templates decide between families that the classifier finds likely.
 
-        A denial of what a notice says confirms nothing. A template counts if what is held has one of its grams that tell of its family, or nine tenths of all its grams.
+        A template whose verb is denied confirms nothing. A template counts if what is held has one of its grams that tell of its family, or nine tenths of all its grams.
         """
-        share = lambda c: max((r for t in self.templates[c - 1] if (r := len(held & t) / len(t)) >= 0.9 or held & t & self.telling[c - 1]), default=0.0)
+        told = lambda c: ((len(held & t) / len(t), t) for t, no in zip(self.templates[c - 1], self.denials[c - 1], strict=True) if not held & no)
+        share = lambda c: max((r for r, t in told(c) if r >= 0.9 or held & t & self.telling[c - 1]), default=0.0)
         likely = [(share(c), float(p[c]), c) for c in range(1, len(p)) if p[c] >= LIKELY]
-        if held & self.denials or not likely or max(likely)[0] < CONFIRM:
+        if not likely or max(likely)[0] < CONFIRM:
             return None
         share, _, c = max(likely)
         return c - 1, float(1.0 - p[0]), share
 
-    def _wrapped(self, lines: dict[int, np.ndarray], single: set[int], words: np.ndarray, first: np.ndarray, heads: np.ndarray) -> list[tuple[int, tuple[int, float, float]]]:
-        """(first line, notice) of notices that run over 2 to ``LINES`` lines, none of which is one alone.
+    def _wrapped(self, lines: dict[int, np.ndarray], single: set[int], words: np.ndarray, first: np.ndarray, heads: np.ndarray) -> list[tuple[int, int, tuple[int, float, float]]]:
+        """(first line, lines, notice) of notices that run over 2 to ``LINES`` lines, none of which is one alone.
 
         Lines are joined up to a blank line or the end of a text. Pairs of
         words over a line's end count. The sum of the lines' shares is not less than the share
-        of their union, so only runs where it confirms a template are scored.
+        of their union, so only runs where it confirms a template, and that have one of its family's telling grams, or where it is
+        nine tenths, are scored; blocks of lines without any such run are left out first.
         """
         n = len(first) - 1
         empty = np.diff(first) == 0
@@ -280,21 +311,28 @@ class Classifier:
             pair = gram_hashes(np.stack([words[last], words[last + 1]], axis=1).ravel(), np.arange(0, 2 * len(ends) + 1, 2), 2)[0]
             at = np.minimum(np.searchsorted(self.hashes, pair), len(self.hashes) - 1)
             across = {int(e): int(a) for e, a, h in zip(ends, at, pair, strict=True) if self.hashes[a] == h}
-        total = np.zeros((n + 1, self.parts.shape[1]), np.float64)
-        for line, own in lines.items():
-            total[line + 1] = self.parts[own].sum(axis=0)
-        for line, own in across.items():
-            total[line + 1] += self.parts[own]
-        total = np.cumsum(total, axis=0)
-        found = []
-        for size in range(2, min(LINES, n) + 1):
-            bound = (total[size:] - total[:-size]).max(axis=1)
-            for i in np.flatnonzero((block[size - 1 :] == block[: n - size + 1]) & (bound >= CONFIRM - 1e-6)):
-                i = int(i)
+        share, tells = np.zeros((n, self.parts.shape[1]), np.float32), np.zeros((n, self.parts.shape[1]), np.float32)
+        for own in (lines, {line: [at] for line, at in across.items()}):
+            for line, at in own.items():
+                share[line] += self.parts[at].sum(axis=0)
+                tells[line] += self.tells[at].sum(axis=0)
+        fits = lambda share, tells: (share >= CONFIRM - 1e-4) & ((tells > 0) | (share >= 0.9 - 1e-4))
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if n else np.zeros(0, np.int64)
+        whole = fits(np.add.reduceat(share, starts, axis=0), np.add.reduceat(tells, starts, axis=0)).any(axis=1) if n else np.zeros(0, bool)
+        kept = np.flatnonzero(np.repeat(whole, np.diff(np.append(starts, n))) & ~alone)
+        share, tells = (np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x[kept], axis=0, dtype=np.float64)]) for x in (share, tells))
+        m, found = len(kept), []
+        for size in range(2, min(LINES, m) + 1):
+            good = block[kept[size - 1 :]] == block[kept[: m - size + 1]]
+            if not good.any():
+                break
+            at = np.flatnonzero(good)
+            at = at[fits(share[at + size] - share[at], tells[at + size] - tells[at]).any(axis=1)]
+            for i in kept[at].tolist():
                 if i not in lines or (i + size - 1 not in lines):
                     continue
                 held = set(np.concatenate([lines[k] for k in range(i, i + size) if k in lines]).tolist()) | {across[k] for k in range(i, i + size - 1) if k in across}
-                if self.parts[list(held)].sum(axis=0).max() < CONFIRM - 1e-6:
+                if self.parts[list(held)].sum(axis=0).max() < CONFIRM - 1e-4:
                     continue
                 z = self.weights[list(held)].sum(axis=0, keepdims=True) + self.bias
                 p = _softmax(z / self.temperature)[0]
@@ -304,7 +342,7 @@ class Classifier:
         for _, size, i, notice in sorted(found):  # the fullest first, of equal ones the shortest
             if taken.isdisjoint(range(i, i + size)):
                 taken.update(range(i, i + size))
-                out.append((i, notice))
+                out.append((i, size, notice))
         return out
 
 
@@ -334,16 +372,20 @@ FOUND = "array<struct<paragraph:int,family:string,probability:double,share:doubl
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = OTHER_ROWS) -> Classifier:
-    """Learns from the templates and from about ``rows`` paragraphs of other text, one from each of as many documents drawn by hash.
+    """Learns from the templates and from about ``rows`` paragraphs of other text, one from each of as many documents drawn by a hash of id and text, at most a tenth more.
 
     Of each paragraph, taken whole, the driver gets its grams that templates have, and ``FILLERS`` words.
     Paragraphs with half of a template's grams are not taken for other text.
     """
     n = docs.select(id_col).count()
     limit = int(min(1.0, rows / max(n, 1)) * (1 << 30))
-    drawn = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(1 << 30)) < limit))
+    own = F.xxhash64(F.col(id_col), F.col(text_col))
+    drawn = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col), F.lit(2), F.col(text_col)), F.lit(1 << 30)) < limit))
     lines = F.split(F.col(text_col), "\n")
-    one = F.element_at(lines, (F.pmod(F.xxhash64(F.col(id_col)), F.size(lines)) + 1).cast("int"))
+    # rows that repeat an id and a text are one
+    drawn = drawn.select(own.alias("own"), F.element_at(lines, (F.pmod(own, F.size(lines)) + 1).cast("int")).alias("one")).dropDuplicates(["own"])
+    # many fewer than a tenth more than wanted are drawn; the bound holds in any case
+    drawn = drawn.orderBy("own").limit(rows + rows // 10)
     vocabulary = _vocabulary()
     hashes = _hashes(vocabulary)
     order = np.argsort(hashes)
@@ -366,7 +408,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
                 out.append({"own": order[at[found[at] == h]].tolist(), "words": some})
         return pa.array(out, kind)
 
-    table = drawn.select(features(one).alias("f")).select("f.own", "f.words").collect()
+    table = drawn.select(features(F.col("one")).alias("f")).select("f.own", "f.words").collect()
     place = {g: i for i, g in enumerate(vocabulary)}
     known = [frozenset(place[g] for g in grams(t)) for f in TEMPLATES.values() for t in f]
     rows = sorted((sorted(r.own), r.words) for r in table if r.words)

@@ -363,10 +363,106 @@ def test_classifier_equals_dense_one(licence_model):
     rng = random.Random(8)
     every = [t for own in licences.TEMPLATES.values() for t in own]
     for _ in range(60):
-        text = " ".join(rng.sample((rng.choice(every) + " " + rng.choice(every)).split(), 8)) if rng.random() < 0.5 else rng.choice(every)
+        text = " ".join(rng.sample(own := (rng.choice(every) + " " + rng.choice(every)).split(), min(8, len(own)))) if rng.random() < 0.5 else rng.choice(every)
         held = {place[int(h)] for h in licences._hashes(licences.grams(text)) if int(h) in place}
         z = (m.weights[sorted(held)].sum(axis=0) + m.bias) / m.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         want = m._confirm(held, p) if 1 - p[0] >= licences.SURE else None
         assert scan_line(m, text) == ([m.families[want[0]]] if want else [])
+
+
+FULL_NOTICES = {
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "gpl": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+}
+
+
+@pytest.mark.parametrize("columns", [18, 30, 76, 10_000])
+def test_full_notices_are_one_at_any_width(licence_model, columns):
+    import textwrap
+
+    for family, text in FULL_NOTICES.items():
+        assert scan_line(licence_model, "a b c\n\n" + "\n".join(textwrap.wrap(text, columns)) + "\n\nd e f") == [family], (family, columns)
+
+
+def test_short_names_of_licences(licence_model):
+    for text, family in (("Licensed under GPL-2.0", "gpl"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl"), ("This project is MIT licensed", "mit"), ("Distributed under the MIT licence", "mit"), ("SPDX-License-Identifier: MPL-2.0", "mpl")):
+        assert scan_line(licence_model, text) == [family], text
+    for text in ("It was not licensed under the Mozilla Public License, version 2.0.", "This work is never licensed under the GNU General Public License, version 3.", "It is not distributed under the MIT License."):
+        assert scan_line(licence_model, text) == [], text
+
+
+def test_wrapped_runs_equal_all_runs(licence_model):
+    """Every run of lines without a blank one, scored by itself; the fullest first, of equal ones the shortest."""
+    from strataforge.llm import licences
+
+    m, rng = licence_model, random.Random(12)
+    place = {int(h): i for i, h in enumerate(m.hashes)}
+
+    def notice(text):
+        held = {place[int(h)] for h in licences._hashes(licences.grams(text)) if int(h) in place}
+        if not held:
+            return None
+        z = (m.weights[sorted(held)].sum(axis=0) + m.bias) / m.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        return m._confirm(held, p) if 1 - p[0] >= licences.SURE else None
+
+    every = [t for own in licences.TEMPLATES.values() for t in own]
+    for _ in range(25):
+        words = f"you may use {rng.choice(every)} of the {rng.choice(every)} by it".split()
+        lines, at = [], 0
+        while at < len(words):
+            n = rng.choice([0, 2, 3, 5, 9])
+            lines.append(" ".join(words[at : at + n]))
+            at += n
+        alone = {k for k, x in enumerate(lines) if not x or notice(x)}
+        found = [(k, 1, n) for k, x in enumerate(lines) if (n := notice(x))]
+        runs = []
+        for i in range(len(lines)):
+            for j in range(i + 2, len(lines) + 1):
+                if alone.isdisjoint(range(i, j)) and j - i <= licences.LINES and (n := notice(" ".join(lines[i:j]))):
+                    if notice_lines(m, lines[i], place) and notice_lines(m, lines[j - 1], place):
+                        runs.append((-n[2], j - i, i, n))
+        taken = set()
+        for _, size, i, n in sorted(runs):
+            if taken.isdisjoint(range(i, i + size)):
+                taken.update(range(i, i + size))
+                found.append((i, size, n))
+        want, stop, family = [], -1, -1
+        for i, size, n in sorted(found):
+            if not (0 <= i - stop <= licences.GAP and all(lines[stop - 1 : i]) and n[0] == family):
+                want.append(m.families[n[0]])
+            stop, family = i + size, n[0]
+        assert scan_line(m, "\n".join(lines)) == want
+
+
+def notice_lines(model, line, place):
+    from strataforge.llm import licences
+
+    return any(int(h) in place for h in licences._hashes(licences.grams(line)))
+
+
+def test_classifier_alone_on_held_out_templates(licence_model):
+    """Predictions for templates that were not learned from, before any comparison with templates."""
+    assert licence_model.accuracy >= 0.6
+
+
+def test_learning_licences_is_bounded_where_an_id_repeats(spark):
+    from strataforge.llm import licences
+
+    rows = [(7 if i % 3 else i, f"line {i} of other text\nand one more {i * 7}") for i in range(3000)] + [(7, "the same text")] * 2000
+    table = docs(spark, rows)
+    seen = []
+    kept = licences.Classifier
+    try:
+        licences.Classifier = lambda others, filler: seen.append(len(others))
+        licences.train(table, rows=300)
+    finally:
+        licences.Classifier = kept
+    assert 150 <= seen[0] <= 330
