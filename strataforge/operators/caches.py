@@ -9,9 +9,34 @@ from pyspark.sql.window import Window
 from strataforge.schemas import KEY_FIELDS, RUN_KEYS, STORAGE_TYPE, TOKEN_TYPES
 
 
+#: Descriptors that one join broadcasts; more are taken in slices.
+WANTED = 10_000
+
+
 def json_text(x: Column) -> Column:
-    """A string as JSON text, with characters outside ASCII left as they are."""
-    return F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'^\{"x":(.*)\}$', 1)
+    """A string as JSON text in ASCII: what lies outside the printable characters is escaped, above 0xFFFF as a surrogate pair."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c).cast("bigint")
+        above = code - 0x10000
+        pair = F.concat(unit(F.shiftright(above, 10) + 0xD800), unit(above.bitwiseAND(F.lit(0x3FF).cast("bigint")) + 0xDC00))
+        out = F.when(code.between(0x20, 0x7E), c).when(code > 0xFFFF, pair).otherwise(unit(code))
+        for plain, text in short.items():
+            out = F.when(c == plain, F.lit(text)).otherwise(out)
+        return out
+
+    return F.concat(F.lit('"'), F.when(x == "", "").otherwise(F.array_join(F.transform(F.split(x, ""), escaped), "")), F.lit('"'))
+
+
+def _each_wanted(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """Every row of ``wanted``, repeated ones too, with what was found for its values."""
+    own = found.select(*[F.col(c).alias(f"__w_{c}") for c in wanted.columns], *[c for c in found.columns if c not in wanted.columns])
+    same = F.lit(True)
+    for c in wanted.columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"__w_{c}"))
+    return wanted.join(own, same, "left").drop(*[f"__w_{c}" for c in wanted.columns])
 
 
 def cache_key(fields: dict[str, Column]) -> Column:
@@ -52,18 +77,17 @@ def find_caches(caches: DataFrame, wanted: DataFrame, on: list[str], key: str =
     """``wanted`` with ``state`` (found, not_found, ambiguous) and the ``path`` of the one cache that matches.
 
     A cache matches if it agrees in the columns ``on``, and in ``key`` where the wanted row names one.
-    Only the number of matches and one path are kept of each, however many there are.
+    Only the number of matches and one path are kept of each, however many there are. A wanted row that is repeated is answered each time.
     """
     held = caches.select(F.col("path").alias("__path"), *[F.col(k).alias(f"__{k}") for k in [*on, key]])
     same = F.coalesce(F.col(key) == F.col(f"__{key}"), F.col(key).isNull())
     for k in on:
         same = same & (F.col(k) == F.col(f"__{k}"))
-    numbered = wanted.withColumn("__row", F.xxhash64(*wanted.columns))
-    both = numbered.join(held, same, "left")
+    both = wanted.distinct().join(held, same, "left")
     n = F.count("__path")
-    out = both.groupBy("__row", *wanted.columns).agg(n.alias("matches"), F.min("__path").alias("path"))
+    out = both.groupBy(*wanted.columns).agg(n.alias("matches"), F.min("__path").alias("path"))
     state = F.when(F.col("matches") == 0, "not_found").when(F.col("matches") == 1, "found").otherwise("ambiguous")
-    return out.select(*wanted.columns, state.alias("state"), F.when(F.col("matches") == 1, F.col("path")).alias("path"))
+    return _each_wanted(wanted, out.select(*wanted.columns, state.alias("state"), F.when(F.col("matches") == 1, F.col("path")).alias("path")))
 
 
 def select_runs(runs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -79,11 +103,15 @@ def select_runs(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     same = F.coalesce(F.col("train_manifests") == F.col("__train"), F.col("train_manifests").isNull())
     for k in RUN_KEYS:
         same = same & F.coalesce(F.col(k) == F.col(f"__{k}"), F.col(k).isNull())
-    # descriptors are few: a row each, read from configurations
-    both = held.join(F.broadcast(wanted), same, "right")
+    asked = wanted.distinct()
+    parts = max(1, -(-asked.count() // WANTED))
+    both = None
+    for k in range(parts):  # a slice of descriptors is broadcast at a time
+        one = held.join(F.broadcast(asked.where(F.pmod(F.xxhash64(*wanted.columns), F.lit(parts)) == k)), same, "right")
+        both = one if both is None else both.unionByName(one)
     out = both.groupBy(*wanted.columns).agg(F.count("__id").alias("matches"), F.min("__id").alias("run_id"))
     state = F.when(F.col("matches") == 0, "missing_run").when(F.col("matches") == 1, "found").otherwise("ambiguous_run")
-    return out.select(*wanted.columns, state.alias("state"), F.when(F.col("matches") == 1, F.col("run_id")).alias("run_id"))
+    return _each_wanted(wanted, out.select(*wanted.columns, state.alias("state"), F.when(F.col("matches") == 1, F.col("run_id")).alias("run_id")))
 
 
 def inputs_digest(version: int | str) -> Column:

@@ -30,14 +30,14 @@ def by_code_point(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def shown(rows: DataFrame, by: list[str], item: str, most: int) -> DataFrame:
-    """By group the first ``most`` items in order, joined, and how many more there are.
+    """By group the number of rows, the first ``most`` distinct items in order, joined, and how many more distinct ones there are.
 
     Only ``most`` items of a group are ever gathered: each task sends its own first ones.
     """
     top = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     firsts = rows.select(*by, item).distinct()
-    w = _first(firsts, by, item, most)
-    return top.join(w, by).select(*by, "n", "shown", F.greatest(F.col("n") - most, F.lit(0)).alias("more"))
+    w = _first(firsts, by, item, most).join(firsts.groupBy(*by).agg(F.count(item).alias("items")), by)
+    return top.join(w, by).select(*by, "n", "shown", F.greatest(F.col("items") - most, F.lit(0)).alias("more"))
 
 
 def _first(rows: DataFrame, by: list[str], item: str, most: int) -> DataFrame:

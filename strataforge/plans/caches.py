@@ -141,7 +141,7 @@ def results_sorted(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {MANIFEST}, r as (select distinct class_raw, path from manifest), n as (select class_raw, count(*) as n from manifest group by 1)
-select class_raw, n, (select string_agg(path, ', ' order by path) from (select path from r where r.class_raw = n.class_raw order by path limit 5)) as shown, greatest(n - 5, 0) as more from n""")
+select class_raw, n, (select string_agg(path, ', ' order by path) from (select path from r where r.class_raw = n.class_raw order by path limit 5)) as shown, greatest((select count(path) from r where r.class_raw = n.class_raw) - 5, 0) as more from n""")
 def shown_items(spark: SparkSession, d: str) -> DataFrame:
     return ordering.shown(manifest(spark, d), ["class_raw"], "path", 5)
 

@@ -54,7 +54,7 @@ def stream_quarantine(spark: SparkSession, d: str) -> DataFrame:
     good, bad, marks = (fresh_path(spark, f"quarantine-{k}") for k in ("good", "bad", "marks"))
     errors = F.when(F.col("event_type") == "error", F.array(F.lit("status"))).otherwise(F.array().cast("array<string>"))
     rq.quarantine(_events(spark, d).select("event_id", "event_type"), errors, good, bad, marks)
-    read = lambda p, side: spark.read.schema("event_id bigint, event_type string").parquet(p).select(F.lit(side).alias("side"))
+    read = lambda p, side: rq.batches(spark, p, "event_id bigint, event_type string").select(F.lit(side).alias("side"))
     return read(good, "good").union(read(bad, "bad")).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -83,4 +83,4 @@ def late_events(spark: SparkSession, d: str) -> DataFrame:
         events.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(folder)
     rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     rq.late_rows(rows, "ts", 7200, late, marks)
-    return spark.read.parquet(late).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return rq.batches(spark, late, events.schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -17,17 +17,26 @@ def stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
+def batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All that the batches of a stream wrote below ``path``, a folder for each of them, so that one that runs again replaces its own."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _put(rows: DataFrame, path: str, n: int | str) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch-{n}")
+
+
 def drain(rows: DataFrame, mode: str, label: str) -> DataFrame:
     """Runs a stream over what is there now and gives its last result (complete) or all of them (append), staged as Parquet."""
     spark = rows.sparkSession
     out, marks = fresh_path(spark, label), fresh_path(spark, f"{label}-marks")
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        _put(batch, out, "last" if mode == "complete" else n)
 
-    spark.createDataFrame([], rows.schema).write.parquet(out)
+    _put(spark.createDataFrame([], rows.schema), out, "none")
     rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    return batches(spark, out, rows.schema)
 
 
 def windowed(rows: DataFrame, ts: str, late: str, size: str, slide: str | None, by: list[str], aggregates: list[Column]) -> DataFrame:
@@ -52,13 +61,13 @@ def once(rows: DataFrame, ts: str, late: str, keys: list[str]) -> DataFrame:
 
 
 def quarantine(rows: DataFrame, errors: Column, good: str, bad: str, marks: str) -> None:
-    """Writes rows without errors to one table and the others, with their errors, to another."""
+    """Writes rows without errors to one table and the others, with their errors, to another; ``batches`` reads them. A batch that runs again changes nothing."""
     marked = rows.withColumn("errors", errors)
 
     def write(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
-        batch.where(F.size("errors") == 0).drop("errors").write.mode("append").parquet(good)
-        batch.where(F.size("errors") > 0).write.mode("append").parquet(bad)
+        _put(batch.where(F.size("errors") == 0).drop("errors"), good, n)
+        _put(batch.where(F.size("errors") > 0), bad, n)
         batch.unpersist()
 
     marked.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
@@ -77,23 +86,23 @@ def with_close(rows: DataFrame, ts: str, at: str = "2999-01-01 00:00:00") -> Dat
 
 
 def late_rows(rows: DataFrame, ts: str, seconds: int, late: str, marks: str) -> None:
-    """Writes the rows that come more than ``seconds`` behind the latest time of earlier batches to ``late``.
+    """Writes the rows that come more than ``seconds`` behind the latest time of earlier batches to ``late``; ``batches`` reads them.
 
     The latest time by batch is kept in a small table, so a batch that runs again takes the same one.
     """
     spark = rows.sparkSession
     seen = f"{marks}-seen"
     kind = rows.schema[ts].dataType.simpleString()
-    spark.createDataFrame([], f"batch bigint, latest {kind}").write.parquet(seen)
+    _put(spark.createDataFrame([], f"batch bigint, latest {kind}"), seen, "none")
 
     def write(batch: DataFrame, n: int) -> None:
-        known = batch.sparkSession.read.schema(f"batch bigint, latest {kind}").parquet(seen).where(F.col("batch") < n).agg(F.max("latest").alias("l")).first()["l"]
+        known = batches(batch.sparkSession, seen, f"batch bigint, latest {kind}").where(F.col("batch") < n).agg(F.max("latest").alias("l")).first()["l"]
         if known is not None:
             behind = batch.where(F.col(ts) < F.lit(known) - F.expr(f"interval {seconds} seconds"))
-            behind.withColumn("batch", F.lit(n).cast("bigint")).write.mode("append").parquet(late)
-        batch.agg(F.max(ts).alias("latest")).select(F.lit(n).cast("bigint").alias("batch"), "latest").write.mode("append").parquet(seen)
+            _put(behind.withColumn("batch", F.lit(n).cast("bigint")), late, n)
+        _put(batch.agg(F.max(ts).alias("latest")).select(F.lit(n).cast("bigint").alias("batch"), "latest"), seen, n)
 
-    spark.createDataFrame([], T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).write.parquet(late)
+    _put(spark.createDataFrame([], T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])), late, "none")
     rows.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
 
 

@@ -47,10 +47,10 @@ def test_cache_key(spark):
     import hashlib
     import json
 
-    fields = ["dino é", 'we"ights', 224, "resize=1;x", "float32"]
+    fields = ["dino é ü\u2028 😀 \x7f \x1f\n\t", 'we"ig\\hts', 224, "", "float32"]
     row = spark.createDataFrame([tuple(fields)], "backbone_id string, weights_sha256 string, resolution int, preprocess_string string, compute_dtype string")
     got = row.select(caches.cache_key({c: F.col(c) for c in row.columns})).first()[0]
-    assert got == hashlib.sha256(json.dumps(fields, ensure_ascii=False).encode()).hexdigest()[:16]
+    assert got == hashlib.sha256(json.dumps(fields).encode()).hexdigest()[:16]
 
 
 def test_near_copies_by_class(spark):
@@ -141,3 +141,36 @@ def test_request_log_of_a_batch_that_runs_again(spark, tmp_path):
     assert sorted(r.request_id for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "d"]
     (tmp_path / "file").write_text("")
     assert "request log not written" in sinks.append_requests(rows("a"), str(tmp_path / "file"), 0)
+
+
+def test_repeated_wanted_rows_are_answered_each_time(spark):
+    held = spark.createDataFrame([("a", "b1", "k1"), ("b", "b2", "k2"), ("c", "b2", "k3")], "path string, backbone_id string, cache_key string")
+    wanted = spark.createDataFrame([("b1", None), ("b1", None), ("b2", None), ("b2", "k3"), ("b9", None), (None, None)], "backbone_id string, cache_key string")
+    got = sorted(tuple(r) for r in caches.find_caches(held, wanted, ["backbone_id"]).fillna("-").collect())
+    assert got == sorted([("b1", "-", "found", "a")] * 2 + [("b2", "-", "ambiguous", "-"), ("b2", "k3", "found", "c"), ("b9", "-", "not_found", "-"), ("-", "-", "not_found", "-")])
+
+
+def test_shown_items_count_distinct_ones(spark):
+    from strataforge.operators import ordering
+
+    rows = spark.createDataFrame([("g", x) for x in "ddabbcce"] + [("h", "z")] * 4, "g string, item string")
+    assert sorted(tuple(r) for r in ordering.shown(rows, ["g"], "item", 3).collect()) == [("g", 8, "a, b, c", 2), ("h", 4, "z", 0)]
+
+
+def test_batches_that_run_again_change_nothing(spark, tmp_path):
+    import shutil
+
+    from strataforge.streaming import requests as rq
+
+    source = str(tmp_path / "in")
+    spark.range(10).select(F.col("id"), F.timestamp_seconds(F.col("id") * 1000).alias("ts")).coalesce(1).write.parquet(source)
+    rows = lambda: spark.readStream.schema("id bigint, ts timestamp").parquet(source)
+    good, bad, late, marks = (str(tmp_path / k) for k in ("good", "bad", "late", "marks"))
+    errors = F.when(F.col("id") % 3 == 0, F.array(F.lit("id"))).otherwise(F.array().cast("array<string>"))
+    for _ in range(2):  # the second time the batch's commit is lost
+        rq.quarantine(rows(), errors, good, bad, marks)
+        shutil.rmtree(f"{marks}/commits")
+    assert rq.batches(spark, good, "id bigint").count() == 6 and rq.batches(spark, bad, "id bigint").count() == 4
+    spark.createDataFrame([(100, 1)], "id bigint, s bigint").select("id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+    rq.late_rows(rows(), "ts", 60, late, f"{marks}-late")
+    assert rq.batches(spark, late, "id bigint").count() <= 1
