@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from strataforge.operators import caches, dedupe, metrics, ordering, ranks, validate
 from strataforge.plans import query
 from strataforge.plans.tables import MANIFEST, manifest, table
+from strataforge.session import fresh_path, staged
+from strataforge.sources import archives
 
 def _caches(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -162,3 +164,40 @@ def first_cache(spark: SparkSession, d: str) -> DataFrame:
     """Of the features that several caches hold for a digest, those of the first cache by name."""
     held = table(spark, d, "events").groupBy(F.col("user_id").alias("k"), F.col("event_type").alias("name")).agg(F.min("event_id").alias("v"))
     return caches.first_cache(held, "k", "name")
+
+
+_META = {"backbone_id": "dé", "weights_sha256": "w", "resolution": 224, "preprocess_string": "p=1", "compute_dtype": "float32", "manifest_sha256": "m"}
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as rows of an archive, 256 to a shard."""
+    rows = table(spark, d, "embeddings").where("embedding is not null")
+    name = F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 12, "0"))
+    return rows.select(F.expr("vec_id div 256").alias("shard"), name.alias("image_id"), F.sha2(name, 256).alias("sha256"), F.col("embedding").alias("cls"), F.transform("embedding", lambda x: -x).alias("meanpatch"))
+
+
+@query("""select 'v' || lpad(cast(vec_id as varchar), 12, '0') as image_id, cast(len(embedding) as integer) as width, round(cast(embedding[1] as double), 6) as first, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 4) as total from embeddings where embedding is not null""")
+def archive_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Features written as archives and read back by the data source, two of their four arrays."""
+    folder = fresh_path(spark, "archives")
+    archives.write_archives(_features(spark, d), folder, "shard", _META, storage="float32").write.format("noop").mode("overwrite").save()
+    found = archives.read_archives(spark, folder, ["image_id", "cls"], "m")
+    total = F.aggregate("cls", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return found.select("image_id", F.size("cls").alias("width"), F.round(F.element_at("cls", 1).cast("double"), 6).alias("first"), F.round(total, 4).alias("total"))
+
+
+def _broken(shard: str, meta: dict) -> dict | None:
+    """Each shard but every eighth has one fault, by its number."""
+    k = int(shard) % 8
+    change = {1: {"weights_sha256": None}, 2: {"cache_key": "x"}, 3: {"manifest_sha256": "other"}, 4: {"shapes": {**meta["shapes"], "cls": [1, 1]}}, 5: {"storage_dtype": "float16"}, 6: {"n_images": meta["n_images"] + 1}}
+    return None if k == 7 else {**meta, **change.get(k, {})}
+
+
+@query("""select * from (select cast(vec_id // 16 as varchar) as shard, ['', 'lacks_key_field', 'wrong_key', 'other_manifest', 'shape', 'dtype', 'n_images', 'missing'][(vec_id // 16) % 8 + 1] as problem from embeddings where embedding is not null group by vec_id // 16) where problem <> ''""")
+def archive_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Archives with a fault each, found by their sidecars and headers."""
+    folder = fresh_path(spark, "archives")
+    rows = _features(spark, d).withColumn("shard", F.expr("cast(substring(image_id, 2) as bigint) div 16"))
+    written = staged(archives.write_archives(rows, folder, "shard", _META, storage="float32", change=_broken), "written")
+    name = F.regexp_extract("path", r"([0-9]+)\.npz$", 1)
+    return archives.archive_problems(written, "m").select(name.alias("shard"), "problem")
