@@ -97,13 +97,14 @@ class Archive:
                 raise ArchiveError(f"{name} is no array")
             wide = head[6] >= 2
             length = struct.unpack_from("<I" if wide else "<H", head, 8)[0]
-            if method == 0 and length + 12 > len(head):
-                head = self._read(self._start(name), length + 12)
-            fields = ast.literal_eval(head[12 if wide else 10 : (12 if wide else 10) + length].decode("latin-1"))
+            skip = 12 if wide else 10
+            if method == 0 and length + skip > len(head):
+                head = self._read(self._start(name), length + skip)
+            fields = ast.literal_eval(head[skip : skip + length].decode("latin-1"))
             kind = np.dtype(fields["descr"])
             if kind.hasobject or fields["fortran_order"] and len(fields["shape"]) > 1:
                 raise ArchiveError(f"{name}: objects and arrays by columns are not read")
-            self.headers[name] = kind, tuple(fields["shape"]), length + (12 if wide else 10)
+            self.headers[name] = kind, tuple(fields["shape"]), length + skip
         return self.headers[name]
 
     def rows(self, name: str, first: int, end: int) -> np.ndarray:
