@@ -196,7 +196,9 @@ class ArchiveReader(DataSourceReader):
         found = place.get_file_info(fs.FileSelector(root, recursive=True))
         return [Shard(p) for p in sorted(scheme + x.path for x in found if x.type == fs.FileType.File and x.path.endswith(SUFFIX))]
 
-    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Shard | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there was no archive
+            return
         place, path = _place(partition.path)
         meta = _meta(place, path)
         archive = Archive(place, path) if meta is not None else None
