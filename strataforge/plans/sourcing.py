@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from strataforge.functions import scalars
 from strataforge.plans import query
 from strataforge.plans.tables import table
-from strataforge.sources import images, readers
+from strataforge.session import fresh_path
+from strataforge.sources import images, readers, sinks
 from strataforge.sources.images import PNG
 
 
@@ -168,3 +169,14 @@ def image_inspect(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     files = docs.select(F.col("doc_id").alias("id"), draw("doc_id", "text").alias("content"))
     return images.inspect_images(files).select("id", "format", "width", "height", "orientation", "exif_day", F.col("phash").isNotNull().alias("hashed"), "reason")
+
+
+@query("""select 1 as version, c_nationkey as nation, count(*) as n from customer where c_custkey % 2 = 0 group by 2 union all select 2, c_nationkey, count(*) from customer group by 2""")
+def published_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A table that is published, found unchanged, and published again: both versions can be read."""
+    path = fresh_path(spark, "published")
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    for part in (rows.where("c_custkey % 2 = 0"), rows.where("c_custkey % 2 = 0").repartition(3, "nation"), rows):
+        sinks.write_if_changed(part, path)
+    read = lambda v: sinks.read_published(spark, path, v).groupBy("nation").agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("version"), "nation", "n")
+    return read(1).union(read(2))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.functions.scalars import licence
-from strataforge.operators import frames, ledger, validate
+from strataforge.operators import crops, frames, ledger, validate
 from strataforge.plans import query
 from strataforge.plans.tables import table
 
@@ -199,3 +199,28 @@ def plot_visit_rollup(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("user_id").alias("plot"), F.to_date("ts").alias("day"), _state().alias("state"))
     count = lambda s: F.sum((F.col("state") == s).cast("bigint"))
     return e.groupBy("plot", "day").agg(count("OK").alias("n_ok"), count("watch").alias("n_watch"), count("absent").alias("n_absent"))
+
+
+@query("""with b as (select o_orderkey as id, unnest(range(o_orderkey % 4)) as k, o_orderkey % 60 as x, o_custkey % 70 as y, o_orderkey % 20 + 1 as w, o_custkey % 17 + 1 as h, nullif(o_custkey % 9, 0) as t0,
+  ['leaf', 'spot', 'odd', 'no', 'new'][o_orderkey % 5 + 1] as raw, case o_orderkey % 2 when 0 then 'train' else 'test' end as own from orders),
+f as (select *, coalesce(t0, 1) as t, case when t >= 5 then 60 else 80 end as uw, case when t >= 5 then 80 else 60 end as uh, (x + k + w <= 80 and y + h <= 60) as s, (x + k + w <= uw and y + h <= uh) as u from b),
+g as (select *, case when t = 1 then 'stored' when s and not u then 'stored' when u and not s then 'upright' end as frame, case when frame = 'upright' then uw else 80 end as fw, case when frame = 'upright' then uh else 60 end as fh,
+  greatest((10 * (x + k) - w) // 10, 0) as gx0, greatest((10 * y - h) // 10, 0) as gy0, least((10 * (x + k + w) + w + 9) // 10, fw) as gx1, least((10 * (y + h) + h + 9) // 10, fh) as gy1 from f),
+m as (select *, case when t in (2, 3, 7, 8) then 80 - gx1 else gx0 end as a0, case when t in (2, 3, 7, 8) then 80 - gx0 else gx1 end as a1, case when t in (3, 4, 6, 7) then 60 - gy1 else gy0 end as b0, case when t in (3, 4, 6, 7) then 60 - gy0 else gy1 end as b1,
+  (frame is not null and gx1 > gx0 and gy1 > gy0) as good, case raw when 'leaf' then 'healthy' when 'spot' then 'rust' when 'odd' then 'unknown_als' when 'no' then 'excluded' end as km2 from g)
+select id, cast(k as integer) as box_index, frame, km2 as class_km2, case when km2 = 'unknown_als' then 'holdout_unknown' else own end as split,
+ case when good then case when frame = 'upright' then gx0 when t < 5 then a0 else b0 end end as x0, case when good then case when frame = 'upright' then gy0 when t < 5 then b0 else a0 end end as y0,
+ case when good then case when frame = 'upright' then gx1 when t < 5 then a1 else b1 end end as x1, case when good then case when frame = 'upright' then gy1 when t < 5 then b1 else a1 end end as y1,
+ case when frame is null then 'box_frame_unknown' when not good then 'box_outside_image' when km2 is null then 'unmapped_class' when km2 = 'excluded' then 'excluded_by_class_map' end as reason from m""")
+def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes with their frame, place in the upright image, class, split and reason, for all eight orientations."""
+    o = table(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    label = F.element_at(F.array(*[F.lit(x) for x in ("leaf", "spot", "odd", "no", "new")]), (k % 5 + 1).cast("int"))
+    box = lambda i: F.struct((k % 60 + i).alias("x"), (c % 70).alias("y"), (k % 20 + 1).alias("w"), (c % 17 + 1).alias("h"), label.alias("class_raw"))
+    boxes = F.when(k % 4 > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), k % 4 - 1), box))
+    split = F.when(k % 2 == 0, "train").otherwise("test")
+    parents = o.select(k.alias("id"), k.cast("string").alias("image_id"), F.lit("p").alias("path"), split.alias("split"), F.lit("own").alias("split_rule"), F.lit(80).cast("bigint").alias("width"), F.lit(60).cast("bigint").alias("height"), F.nullif(c % 9, F.lit(0)).alias("orientation"), boxes.alias("boxes"))
+    class_map = spark.createDataFrame([("leaf", "healthy"), ("spot", "rust"), ("odd", "unknown_als"), ("no", "excluded")], "class_raw string, class_km2 string")
+    found = crops.crop_boxes(parents, class_map, "0.1", ["unknown_als"])
+    return found.select("id", "box_index", "frame", "class_km2", "split", "seen.x0", "seen.y0", "seen.x1", "seen.y1", "reason")

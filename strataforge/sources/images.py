@@ -225,6 +225,31 @@ def upright(pixels: np.ndarray, turn: int) -> np.ndarray:
     return pixels[::-1] if turn in (3, 4, 7, 8) else pixels
 
 
+def png_header(chunks: list[tuple[bytes, bytes]]) -> tuple[int, int, int, int, bool]:
+    """(width, height, bits of a sample, colour type, interlaced) of a PNG that can be decoded."""
+    width, height, depth, colour, packed, filtered, interlaced = struct.unpack_from(">IIBBBBB", chunks[0][1])
+    if colour not in SAMPLES or depth not in (1, 2, 4, 8, 16) or packed or filtered or not width * height or width * height > PIXELS:
+        raise DecodeError("header")
+    return width, height, depth, colour, bool(interlaced)
+
+
+def grey_of(data: bytes) -> np.ndarray | None:
+    """Stored grey pixels of a PNG; None if the bytes cannot be decoded."""
+    try:
+        chunks = list(png_chunks(data)) if data.startswith(PNG) else []
+        return png_grey(chunks, *png_header(chunks)) if chunks else None
+    except (DecodeError, struct.error, IndexError):
+        return None
+
+
+def png_of(pixels: np.ndarray) -> bytes:
+    """Grey pixels as a PNG, the same bytes for the same pixels."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines = np.concatenate([np.zeros((len(pixels), 1), np.uint8), pixels], axis=1).tobytes()
+    head = struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 0, 0, 0, 0)
+    return PNG + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+
+
 def inspect(data: bytes | None) -> dict:
     """Format, size as it is seen, orientation, day, hash and reason of an image's bytes."""
     out = {"sha256": None if data is None else hashlib.sha256(data).hexdigest(), "format": None, "width": None, "height": None, "orientation": None, "exif_day": None, "phash": None, "reason": None}
@@ -234,11 +259,9 @@ def inspect(data: bytes | None) -> dict:
             code, kind, why = None, "jpeg", None if width and height else "decode_error"
         elif data is not None and data.startswith(PNG) and data[12:16] == b"IHDR":
             chunks = list(png_chunks(data))
-            width, height, depth, colour, packed, filtered, interlaced = struct.unpack_from(">IIBBBBB", chunks[0][1])
-            if colour not in SAMPLES or depth not in (1, 2, 4, 8, 16) or packed or filtered or not width * height or width * height > PIXELS:
-                raise DecodeError("header")
+            width, height, depth, colour, interlaced = png_header(chunks)
             turn, day = exif(next((body for kind, body in chunks if kind == b"eXIf"), b""))
-            code, kind, why = grey_phash(resized(upright(png_grey(chunks, width, height, depth, colour, bool(interlaced)), turn))), "png", None
+            code, kind, why = grey_phash(resized(upright(png_grey(chunks, width, height, depth, colour, interlaced), turn))), "png", None
         else:
             raise NotAnImage
     except NotAnImage:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,13 +41,63 @@ def append_results(rows: DataFrame, path: str, identity: list[str], rules: list,
     return n
 
 
+class ConcurrentWrite(Exception):
+    """Another writer has published the next version meanwhile."""
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Log entries of a published table by version; an entry without content is not published."""
+    log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
+    files = log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.listStatus(log) if files.exists(log) else []
+    return {int(f.getPath().getName()): f.getPath().toString() if f.getLen() else "" for f in found}
+
+
+def publish(rows: DataFrame, path: str, expected: int | None = None) -> int:
+    """Publishes ``rows`` as the next version of the table at ``path`` and gives its number.
+
+    The rows are written to a folder of their own; then a small file, named by the version's number, is created in the table's log and says which folder it is. A
+    reader takes the highest number that says so: it sees the old rows or the new ones, whatever fails between, and never a gap. A file is created only
+    if it is not there, so of two writers one gets the number; the other, or one that finds another last version than
+    ``expected``, publishes nothing and raises ``ConcurrentWrite``. A folder that was written but not published is seen by no one.
+    """
+    spark = rows.sparkSession
+    last = max(_versions(spark, path), default=0)
+    if expected is not None and expected != last:
+        raise ConcurrentWrite(f"{path}: version {last} is there, not {expected}")
+    folder = f"data-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{folder}")
+    entry = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions/{last + 1:012d}")
+    files = entry.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = files.create(entry, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        raise ConcurrentWrite(f"{path}: version {last + 1} was taken by another writer") from None
+    out.write(bytearray(folder.encode()))
+    out.close()
+    return last + 1
+
+
+def read_published(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows of the last version, or of the one that is named."""
+    found = {k: entry for k, entry in _versions(spark, path).items() if entry}
+    if not found or version is not None and version not in found:
+        raise FileNotFoundError(f"{path}: no version {'' if version is None else version}".rstrip())
+    entry = spark.read.text(found[max(found) if version is None else version]).first()[0]
+    return spark.read.parquet(f"{path}/{entry}")
+
+
 def write_if_changed(rows: DataFrame, path: str, volatile: tuple[str, ...] = ()) -> bool:
-    """Overwrites a table only if its rows, without volatile columns, differ from what is there."""
+    """Publishes a table's next version only if its rows, without volatile columns, differ from the last one's."""
     spark = rows.sparkSession
     kept = [c for c in rows.columns if c not in volatile]
-    if exists(spark, path) and table_digest(spark.read.parquet(path).select(*kept)) == table_digest(rows.select(*kept)):
+    found = _versions(spark, path)
+    last = max(found, default=0)
+    if any(found.values()) and table_digest(read_published(spark, path).select(*kept)) == table_digest(rows.select(*kept)):
         return False
-    rows.write.mode("overwrite").parquet(path)
+    publish(rows, path, last)
     return True
 
 

@@ -25,7 +25,7 @@ def filtered(lines, step, kinds):
             c = int(lines[y - 1][x - step]) if y and x >= step else 0
             p = a + b - c
             nearest = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-            coded.append((int(value) - (0, a, b, (a + b) // 2, nearest)[kind]) & 255)
+            coded.append((int(value) - (0, a, b, (a + b) // 2, nearest)[kind % 5]) & 255)
         out += bytes([kind, *coded])
     return out
 
@@ -146,7 +146,7 @@ def test_jpeg_headers():
         assert (seen["width"], seen["orientation"], seen["exif_day"], seen["reason"]) == (300, 1, None, None)
     big = b"MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x03\0\0"
     assert images.exif(big) == (3, None)
-    for cut in (4, 9, 30):
+    for cut in (4, 9, 24):
         assert inspect(jpeg(b"other")[:cut])["reason"] == "decode_error"
 
 
