@@ -23,7 +23,7 @@ def request_errors(body: Column, coverages: list[float]) -> Column:
     return F.array_sort(F.array_distinct(F.concat(envelope_errors(body, coverages), frame_errors(body, enveloped=True))))
 
 
-def predict(requests: DataFrame, features: DataFrame, probabilities: Callable[[Column], Column], thresholds: dict[float, tuple[float, float]], default: float, classes: list[str], body: str = "body") -> DataFrame:
+def predict(requests: DataFrame, features: DataFrame, probabilities: Callable[[Column], Column], thresholds: dict[float, tuple[float, float]], default: float, classes: list[str], body: str = "body", full: bool = False) -> DataFrame:
     """``requests`` with ``status, errors, coverage, top1, decision, abstain_reason, max_prob, entropy``.
 
     422: the request or its frame breaks the contract, with sorted error
@@ -31,7 +31,7 @@ def predict(requests: DataFrame, features: DataFrame, probabilities: Callable[[C
     abstention with its reason. ``features`` has ``sha256``, a vector ``v`` and
     a neighbour distance ``knn``, one row a digest; ``thresholds`` gives the
     two cut-offs of each coverage. Rows that break the contract are not looked up. Columns of ``requests``,
-    its order column among them, are kept; repeated requests are each answered.
+    its order column among them, are kept; repeated requests are each answered. ``full`` adds the ``scores`` by class, ``ood_knn`` and ``ood_knn_threshold``.
     """
     text = F.col(body)
     want = F.try_variant_get(F.try_parse_json(text), "$.options.coverage_target", "double")
@@ -54,6 +54,9 @@ def predict(requests: DataFrame, features: DataFrame, probabilities: Callable[[C
             "entropy": F.round(entropy(F.col("__p")), 6),
         }
     )
+    if full:
+        seen = F.col("status") == 200
+        out = out.withColumns({"scores": F.when(seen, F.map_from_arrays(names, "__p")), "ood_knn": F.when(seen, F.col("__knn")), "ood_knn_threshold": F.when(seen, tau["knn"])})
     return out.drop("__key", "__sha", "__v", "__knn", "__p")
 
 

@@ -10,7 +10,11 @@ from strataforge.functions.vectors import as_double, softmax
 from strataforge.operators import gates, service
 from strataforge.plans import query
 from strataforge.plans.tables import table
+from strataforge.schemas import REQUESTS
+from strataforge.session import fresh_path
 from strataforge.sources.records import read_records, record_files
+from strataforge.streaming import decisions
+from strataforge.streaming import requests as rq
 
 
 @query("""with t as (select o_custkey, o_orderkey, case o_orderpriority when '1-URGENT' then 'holdout_unknown' when '2-HIGH' then 'test_only' when '5-LOW' then null else 'train_eval' end as role,
@@ -105,23 +109,53 @@ TAU = {0.8: (0.5, 0.3), 0.9: (0.4, 0.6)}
 _REQUEST = """'{"contract_version": "v0", "frame": {"frame_uid": "f' || cast(event_id as string) || '", "uri": "a/b.jpg", "sha256": "' || case when event_type = 'error' then 'zz' else sha256(cast(user_id as string)) end || '", "width": 4, "height": 3}, "metadata": {"site_id": "s", "plot_id": "p", "zone_id": "open", "timestamp_utc": "2024-01-01T00:00:00Z", "pose": {"x": 0, "y": 0, "z": 1.5, "yaw": 0.5, "frame_id": "plot", "source": "rtk"}, "platform": "cart", "camera": {"model": "m", "exposure_us": null, "gain": null, "flash": true, "white_balance": "auto"}, "illumination_mode": "flash", "sowing_batch": "b", "bbch": 12}, "request_id": "q", "options": {"coverage_target": ' || case when event_type = 'click' then '0.8' when event_type = 'signup' then '0.77' else '0.9' end || '}}'"""
 
 
-@query("""with f as (select c_custkey as user_id, c_nationkey as nation, abs(c_acctbal) / 10000 as knn, c_mktsegment as seg from customer where c_mktsegment <> 'BUILDING'),
+def _served(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("c_nationkey")
+    logits = F.array((1 + n % 3).cast("double"), (1 + n % 2).cast("double"), F.lit(1.0))
+    return table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"), logits.alias("v"), (F.abs("c_acctbal") / 10000).alias("knn"))
+
+
+_ANSWERS = """with f as (select c_custkey as user_id, c_nationkey as nation, abs(c_acctbal) / 10000 as knn, c_mktsegment as seg from customer where c_mktsegment <> 'BUILDING'),
 a as (select event_id, event_type, nation, knn, cast(case when event_type = 'click' then 0.8 else 0.9 end as double) as coverage, [1 + nation % 3, 1 + nation % 2, 1.0] as z, f.user_id as held from events left join f using (user_id)),
 b as (select *, case when event_type in ('error', 'signup') then 422 when held is null then 501 else 200 end as status, list_max(z) as top, list_sum(list_transform(z, lambda v: exp(v))) as whole from a),
 c as (select *, exp(top) / whole as conf, case when coverage = 0.8 then 0.5 else 0.4 end as t1, case when coverage = 0.8 then 0.3 else 0.6 end as t2 from b),
 e as (select *, case when status = 200 then case when conf < t1 then 'low_confidence' when knn > t2 then 'far_from_training' end end as why from c)
 select event_id, status, case when status = 200 then ['a', 'b', 'c'][list_position(z, top)] end as top1, case when status = 200 then case when why is null then 'predict' else 'abstain' end end as decision, why as abstain_reason,
- case event_type when 'error' then 'frame.sha256' when 'signup' then 'options.coverage_target' else '' end as errors, case when status <> 422 then coverage end as coverage, case when status = 200 then round(conf, 6) end as max_prob from e""")
+ case event_type when 'error' then 'frame.sha256' when 'signup' then 'options.coverage_target' else '' end as errors, case when status <> 422 then coverage end as coverage, case when status = 200 then round(conf, 6) end as max_prob from e"""
+
+
+@query(_ANSWERS)
 def predict_batch(spark: SparkSession, d: str) -> DataFrame:
     """Requests answered in one plan: contract, features by digest, scores, decisions."""
     requests = table(spark, d, "events").select("event_id", F.expr(_REQUEST.replace("sha256(cast(user_id as string))", "sha2(cast(user_id as string), 256)")).alias("body"))
-    n = F.col("c_nationkey")
-    logits = F.array((1 + n % 3).cast("double"), (1 + n % 2).cast("double"), F.lit(1.0))
-    features = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"), logits.alias("v"), (F.abs("c_acctbal") / 10000).alias("knn"))
+    features = _served(spark, d)
     answers = service.predict(requests, features, softmax, TAU, 0.9, ["a", "b", "c"])
     return answers.select("event_id", "status", "top1", "decision", "abstain_reason", F.array_join("errors", ",").alias("errors"), "coverage", "max_prob")
 
 
+@query(_ANSWERS)
+def stream_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests as a stream: answers, quarantine and log of each batch; of two caches the first by name answers."""
+    out, marks = fresh_path(spark, "decisions"), fresh_path(spark, "decisions-marks")
+    body = F.expr(_REQUEST.replace("sha256(cast(user_id as string))", "sha2(cast(user_id as string), 256)"))
+    requests = rq.stream(spark, d, "events").select("event_id", body.alias("body"))
+    held = _served(spark, d)
+    both = held.withColumn("cache", F.lit("a")).union(held.withColumn("v", F.transform("v", lambda x: -x)).withColumn("cache", F.lit("b")))
+    decisions.serve(requests, both, softmax, TAU, 0.9, ["a", "b", "c"], "event_id", out, marks)
+    answers = rq.batches(spark, f"{out}/answers", "event_id bigint, status int, coverage double, top1 string, decision string, abstain_reason string, max_prob double")
+    bad = rq.batches(spark, f"{out}/quarantine", "event_id bigint, status int, errors array<string>").select("event_id", "status", F.array_join("errors", ",").alias("errors"))
+    return answers.withColumn("errors", F.lit("")).unionByName(bad, allowMissingColumns=True).select("event_id", "status", "top1", "decision", "abstain_reason", "errors", "coverage", "max_prob")
+
+
+@query("""with a as (select case when event_type in ('error', 'signup') then 422 when c_custkey is null or c_mktsegment = 'BUILDING' then 501 else 200 end as status from events left join customer on user_id = c_custkey) select cast(status as bigint) as status, count(*) as n from a group by 1""")
+def request_log(spark: SparkSession, d: str) -> DataFrame:
+    """Requests by status, from the log that the service writes."""
+    out, marks = fresh_path(spark, "logged"), fresh_path(spark, "logged-marks")
+    body = F.expr(_REQUEST.replace("sha256(cast(user_id as string))", "sha2(cast(user_id as string), 256)"))
+    decisions.serve(rq.stream(spark, d, "events").select("event_id", body.alias("body")), _served(spark, d), softmax, TAU, 0.9, ["a", "b", "c"], "event_id", out, marks)
+    return rq.batches(spark, f"{out}/log", REQUESTS).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""with s as (select s_suppkey, s_nationkey % 5 as k, cast(s_suppkey as varchar) as t from supplier)
 select s_suppkey, case k when 0 then 'https://zenodo.org/records/' || t when 1 then 'https://huggingface.co/datasets/o/' || t || '/tree/main' when 2 then 'https://data.mendeley.com/datasets/' || t || '/2' when 3 then 'https://dataverse.harvard.edu/dataset.xhtml?persistentId=doi:10.1/' || t end as record_url,
  case k when 0 then '1.' || t when 1 then 'main' when 2 then '2' when 3 then '4.0' end as version, case k when 0 then 'CC-BY-4.0' when 1 then 'MIT' when 2 then 'CC0-1.0' when 3 then 'unknown' end as licence,

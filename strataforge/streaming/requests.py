@@ -22,7 +22,8 @@ def batches(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
-def _put(rows: DataFrame, path: str, n: int | str) -> None:
+def put_batch(rows: DataFrame, path: str, n: int | str) -> None:
+    """Writes a batch's folder below ``path``, whatever an earlier run of the batch has left there."""
     rows.write.mode("overwrite").parquet(f"{path}/batch-{n}")
 
 
@@ -32,9 +33,9 @@ def drain(rows: DataFrame, mode: str, label: str) -> DataFrame:
     out, marks = fresh_path(spark, label), fresh_path(spark, f"{label}-marks")
 
     def write(batch: DataFrame, n: int) -> None:
-        _put(batch, out, "last" if mode == "complete" else n)
+        put_batch(batch, out, "last" if mode == "complete" else n)
 
-    _put(spark.createDataFrame([], rows.schema), out, "none")
+    put_batch(spark.createDataFrame([], rows.schema), out, "none")
     rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return batches(spark, out, rows.schema)
 
@@ -66,8 +67,8 @@ def quarantine(rows: DataFrame, errors: Column, good: str, bad: str, marks: str)
 
     def write(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
-        _put(batch.where(F.size("errors") == 0).drop("errors"), good, n)
-        _put(batch.where(F.size("errors") > 0), bad, n)
+        put_batch(batch.where(F.size("errors") == 0).drop("errors"), good, n)
+        put_batch(batch.where(F.size("errors") > 0), bad, n)
         batch.unpersist()
 
     marked.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
@@ -93,16 +94,16 @@ def late_rows(rows: DataFrame, ts: str, seconds: int, late: str, marks: str) ->
     spark = rows.sparkSession
     seen = f"{marks}-seen"
     kind = rows.schema[ts].dataType.simpleString()
-    _put(spark.createDataFrame([], f"batch bigint, latest {kind}"), seen, "none")
+    put_batch(spark.createDataFrame([], f"batch bigint, latest {kind}"), seen, "none")
 
     def write(batch: DataFrame, n: int) -> None:
         known = batches(batch.sparkSession, seen, f"batch bigint, latest {kind}").where(F.col("batch") < n).agg(F.max("latest").alias("l")).first()["l"]
         if known is not None:
             behind = batch.where(F.col(ts) < F.lit(known) - F.expr(f"interval {seconds} seconds"))
-            _put(behind.withColumn("batch", F.lit(n).cast("bigint")), late, n)
-        _put(batch.agg(F.max(ts).alias("latest")).select(F.lit(n).cast("bigint").alias("batch"), "latest"), seen, n)
+            put_batch(behind.withColumn("batch", F.lit(n).cast("bigint")), late, n)
+        put_batch(batch.agg(F.max(ts).alias("latest")).select(F.lit(n).cast("bigint").alias("batch"), "latest"), seen, n)
 
-    _put(spark.createDataFrame([], T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])), late, "none")
+    put_batch(spark.createDataFrame([], T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])), late, "none")
     rows.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
 
 
