@@ -40,8 +40,10 @@ class _Runs:
 
     def take(self, ids: pa.Array, sha: pa.Array, text: pa.Array) -> Iterator[pa.RecordBatch]:
         n = len(ids)
+        if self.last is None:  # the partition's first run may go on from the range before: it is open too
+            self.last, self.sha = text[0].as_py(), sha[0].as_py()
         same = np.zeros(n, bool)
-        same[0] = self.last is not None and text[0].as_py() == self.last
+        same[0] = text[0].as_py() == self.last
         if n > 1:
             same[1:] = pc.equal(text.slice(1), text.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(~same)

@@ -265,3 +265,12 @@ def test_edges_of_the_same_text_in_neighbouring_ranges():
     assert [(r["doc_id"], r["keep_id"], r["group_size"], r["first"], r["edge"], r["edge_text"]) for r in rows] == [
         (9, 9, 3, True, 6, "a"), (8, 9, 3, False, 6, None), (7, 9, 3, False, 6, None), (3, 3, 2, True, 7, "b"), (2, 3, 2, False, 7, None),
     ]
+
+
+def test_the_first_run_of_a_range_is_an_edge_in_its_first_batch():
+    import pyarrow as pa
+
+    runs = exact_dedup._Runs(0, pa.int64())
+    out = list(runs.take(pa.array([5, 4, 9, 3]), pa.array(list("aabc")), pa.array(list("aabc")))) + list(runs.close(edge=1))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc_id"], r["keep_id"], r["group_size"], r["first"], r["edge"], r["edge_text"]) for r in rows] == [(5, 5, 2, True, 0, "a"), (4, 5, 2, False, 0, None), (9, 9, 1, True, None, None), (3, 3, 1, True, 1, "c")]
