@@ -161,10 +161,19 @@ def cell_weights(spark: SparkSession, d: str) -> DataFrame:
     return metrics.cell_weights(table(spark, d, "documents").select("source", "lang"), "source", "lang").withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(f"""with {SCORED}, cell as (select part, y, count(*) as n, count(*) filter (where pred = y) as ok from scored where y < {KNOWN} group by 1, 2),
+ends as (select *, case when ok = 0 or ok = n then ok else greatest(0, floor(ok - 12.0 * sqrt(ok * (1 - ok / n)) - 12)) end as lo, case when ok = 0 or ok = n then ok else least(n, ceil(ok + 12.0 * sqrt(ok * (1 - ok / n)) + 12)) end as hi from cell),
+ks as (select *, unnest(range(cast(lo as bigint), cast(hi as bigint) + 1)) as k from ends),
+logs as (select *, sum(case when k > lo then ln((n - k + 1) * ok / (k * (n - ok))) else 0.0 end) over (partition by part, y order by k rows unbounded preceding) as l from ks),
+mass as (select *, exp(l - max(l) over (partition by part, y)) as m from logs),
+cdf as (select part, y, k, case when k = hi then 1.0 else sum(m) over (partition by part, y order by k rows unbounded preceding) / sum(m) over (partition by part, y) end as below from mass),
+u as (select part, y, n, draw, cast('0x' || substr(md5('0:' || draw || ':' || part || ':' || y), 1, 13) as bigint) / 4503599627370496.0 as at from cell, range(1, 1001) as t(draw)),
+drawn as (select u.part, u.y, u.draw, min(cdf.k) / any_value(u.n) as r from u join cdf on u.part = cdf.part and u.y = cdf.y and cdf.below >= u.at group by 1, 2, 3),
+by_draw as (select draw, avg(r) as r from (select draw, part, avg(r) as r from drawn group by 1, 2) group by 1)
+select round((select avg(r) from (select avg(ok / n) as r from cell group by part)), 6) as value, round(quantile_cont(r, 0.025), 6) as ci_low, round(quantile_cont(r, 0.975), 6) as ci_high from by_draw""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    cells = scored(spark, d, knn=False).where(_known()).groupBy("part", "y").agg(F.count(F.lit(1)).alias("n"), F.sum(_right().cast("bigint")).alias("ok")).orderBy("part", "y").collect()
-    return spark.createDataFrame([metrics.bootstrap([(r["part"], r["n"], r["ok"]) for r in cells], 0)], "value double, ci_low double, ci_high double")
+    rows = scored(spark, d, knn=False).where(_known())
+    return metrics.bootstrap(rows, "part", "y", _right(), 0).select(*[F.round(c, 6).alias(c) for c in ("value", "ci_low", "ci_high")])
 
 
 @query("""select event_type, count(*) as n, round(quantile_cont(value, 0.05), 6) as p05, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1""")
