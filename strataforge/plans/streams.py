@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataforge.plans import query
 from strataforge.plans.tables import table
 from strataforge.session import fresh_path
+from strataforge.streaming import plots
 from strataforge.streaming import requests as rq
 
 
@@ -74,6 +75,25 @@ def plot_states(spark: SparkSession, d: str) -> DataFrame:
     return rq.drain(rq.plot_states(rows, "user_id", "state", "ts", "event_id"), "append", "states")
 
 
+@query("""with e as (select cast(user_id as varchar) as plot, epoch_us(ts) as us, event_id, case event_type when 'error' then 'absent' when 'view' then 'watch' else 'OK' end as state from events where user_id is not null and ts is not null),
+v as (select *, sum(fresh) over (partition by plot order by us, event_id rows unbounded preceding) as visit from (select *, case when us - lag(us) over (partition by plot order by us, event_id) < 86400000000 then 0 else 1 end as fresh from e)),
+c as (select *, row_number() over w as n, count(*) over (partition by plot, visit) as n_visit, max(us) over (partition by plot, visit) as ends from v window w as (partition by plot, visit order by us, event_id)),
+s as (select *, lag(state) over w as before, lag(us) over w as before_us, lead(state) over w as after, lead(us) over w as after_us from c where state <> 'absent' window w as (partition by plot, visit order by us, event_id)),
+k as (select *, sum(case when state = 'watch' and before = 'watch' and us - before_us < 43200000000 then 0 else 1 end) over (partition by plot, visit order by us, event_id rows unbounded preceding) as chain from s),
+r as (select *, row_number() over (partition by plot, visit, chain order by us, event_id) as run from k),
+gone as (select r.plot, r.us + 43200000000 as at_us, 'expired' as change, (select count(*) from c where c.plot = r.plot and c.visit = r.visit and c.us < r.us + 43200000000) as n, r.run from r where state = 'watch' and (after is null or after_us - us >= 43200000000))
+select plot, us as at_us, case when run = 3 then 'verify' else 'watch' end as change, n, run from r where state = 'watch' and run in (1, 3)
+union all select plot, us, 'OK', n, 0 from r where state = 'OK' and before = 'watch' and us - before_us < 43200000000
+union all select * from gone
+union all select distinct plot, ends + 86400000000, 'evicted', n_visit, 0 from c""")
+def plot_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of plots by event time: a watch expires after half a day, a plot that is silent for a day is let go."""
+    state = F.when(F.col("event_type") == "error", "absent").when(F.col("event_type") == "view", "watch").otherwise("OK")
+    rows = rq.with_close(_events(spark, d), "ts", "2200-01-01 00:00:00").select("user_id", "ts", "event_id", state.alias("state"))
+    with plots.timer_store(spark):
+        return rq.drain(plots.plot_changes(rows, "user_id", "state", "ts", "event_id", "2 hours", 43_200, 86_400), "append", "changes")
+
+
 @query("""with cut as (select max(ts) filter (event_id % 2 = 0) - interval 2 hour as w from events) select event_type, count(*) as n from events, cut where event_id % 2 = 1 and ts < w group by 1""")
 def late_events(spark: SparkSession, d: str) -> DataFrame:
     """Events in two batches: those of the second that come more than two hours late are set aside."""
