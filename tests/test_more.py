@@ -174,3 +174,23 @@ def test_batches_that_run_again_change_nothing(spark, tmp_path):
     spark.createDataFrame([(100, 1)], "id bigint, s bigint").select("id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(source)
     rq.late_rows(rows(), "ts", 60, late, f"{marks}-late")
     assert rq.batches(spark, late, "id bigint").count() <= 1
+
+
+def test_names_of_blocks_do_not_move_with_groups(spark, monkeypatch):
+    """1,500 districts that one day links: a name of 97 KB, which each of 1,501 groups would else take through a shuffle."""
+    whole = spark.range(1501).select("id", F.when(F.col("id") < 1500, F.sha2(F.col("id").cast("string"), 256)).alias("district"), F.lit("2024-01-01").alias("day"), F.col("id").alias("grp"))
+    moved = lambda: sum(e.totalShuffleWrite() for e in _listed(spark._jsc.sc().statusStore().executorList(False)))
+    names = []
+    for limit in (splits.NAME_BYTES, 0):
+        monkeypatch.setattr(splits, "NAME_BYTES", limit)
+        before = moved()
+        names.append({(r.split_group, r.split_rule) for r in splits.blocks(whole, "district").select("split_group", "split_rule").distinct().collect()})
+        assert limit == 0 or moved() - before < 20 << 20
+        assert splits.blocks(whole.where("id < 0"), "district").collect() == []
+    assert len(names[0]) == 1 and names[0] == names[1]
+    name, rule = names[0].pop()
+    assert rule == "blocked:district" and name == "district:" + "+".join(sorted(r.district for r in whole.where("id < 1500").collect()))
+
+
+def _listed(found):
+    return [found.apply(k) for k in range(found.size())]
