@@ -192,5 +192,21 @@ def test_names_of_blocks_do_not_move_with_groups(spark, monkeypatch):
     assert rule == "blocked:district" and name == "district:" + "+".join(sorted(r.district for r in whole.where("id < 1500").collect()))
 
 
+def test_cells_of_a_grid_are_dealt(spark, monkeypatch):
+    rng = random.Random(9)
+    codes = list({rng.getrandbits(62) for _ in range(80)})
+    far = lambda x, y: (x ^ y).bit_count()
+    monkeypatch.setattr(neardup, "CELL", 16)
+    monkeypatch.setattr(neardup, "SLICE", 3)
+    rows = spark.createDataFrame(list(enumerate(codes)), "id bigint, code bigint")
+    found = neardup.near_class_pairs(rows, 25)
+    assert found.rdd.getNumPartitions() == 15  # one for each cell of half a grid, however few its bytes are
+    want = sorted((a, b, far(x, codes[b])) for a, x in enumerate(codes) for b in range(a + 1, 80) if far(x, codes[b]) <= 25)
+    assert sorted(map(tuple, found.collect())) == want
+    between = neardup.near_between(rows.where("id % 2 = 0"), rows.where("id % 2 = 1 or id = 4"), 25)
+    assert sorted(map(tuple, between.collect())) == sorted((a, b, far(codes[a], codes[b])) for a in range(0, 80, 2) for b in (4, *range(1, 80, 2)) if far(codes[a], codes[b]) <= 25)
+    assert neardup.near_class_pairs(rows.where("id < 0"), 25).collect() == []
+
+
 def _listed(found):
     return [found.apply(k) for k in range(found.size())]
