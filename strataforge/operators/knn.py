@@ -16,9 +16,17 @@ from strataforge.session import fresh_path
 
 #: Bank rows that a worker compares with at once (at 1,024 components about 80 MB).
 BANK_ROWS = 10_000
+#: Distances that a worker holds at once (8 MB; it needs about four times that).
+DISTANCES = 1 << 20
+#: Distances that a task should make, and parts that rows are dealt to at most: their work is far more than their bytes.
+WORK, PARTS = 20_000_000, 192
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    if not column.null_count and isinstance(column, pa.ListArray) and len(column):
+        flat = column.flatten()  # without a Python object for each number
+        if not flat.null_count and len(set(np.diff(column.offsets.to_numpy()).tolist())) == 1:
+            return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
     return np.array(column.to_pylist(), np.float64)
 
 
@@ -37,11 +45,27 @@ def _bank_blocks(folder: str, rows: int) -> Iterator[np.ndarray]:
                         yield unit_rows(_matrix(batch.column(0)))
 
 
+def _least(x: np.ndarray, bank: np.ndarray, k: int, near: np.ndarray | None) -> np.ndarray:
+    """The k least squared distances of each row so far (all, while they are fewer)."""
+    d = x @ bank.T
+    d *= -2.0
+    d += 2.0
+    np.maximum(d, 0.0, out=d)
+    if d.shape[1] > k:
+        d.partition(k - 1, axis=1)
+        d = d[:, :k]
+    if near is None:
+        return d.copy()
+    d = np.concatenate([near, d], axis=1)
+    return np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
+
+
 def kth_distance(rows: DataFrame, bank: DataFrame, k: int, id_col: str, vector: str, bank_rows: int = BANK_ROWS) -> DataFrame:
     """``(id, knn)``: the Euclidean distance of each row to its k-th nearest bank row, both at unit length.
 
     The bank is written to the shared folder and never passes the driver: each task reads it in blocks, and of a row
-    keeps k distances. One answer for each row, repeated ids included. A bank of under k rows is refused.
+    keeps k distances. Distances are made for slices of rows, so that a worker's memory does not grow with either
+    table. One answer for each row, repeated ids included. A bank of under k rows is refused.
     """
     spark = rows.sparkSession
     folder = fresh_path(spark, "bank")
@@ -56,13 +80,14 @@ def kth_distance(rows: DataFrame, bank: DataFrame, k: int, id_col: str, vector:
                 continue
             x, near = unit_rows(_matrix(batch.column(1))), None
             for b in _bank_blocks(folder, bank_rows):
-                d = np.maximum(2.0 - 2.0 * (x @ b.T), 0.0)
-                d = d if near is None else np.concatenate([near, d], axis=1)
-                near = np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
+                found = [_least(x[at : at + step], b, k, None if near is None else near[at : at + step]) for step in [max(1, DISTANCES // len(b))] for at in range(0, len(x), step)]
+                near = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.sqrt(near.max(axis=1)))], names=["id", "knn"])
 
     kind = dict(rows.dtypes)[id_col]
-    return rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(nearest, f"id {kind}, knn double")
+    each = rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    parts = min(PARTS, -(-rows.count() * n // WORK))
+    return (each.repartition(parts) if parts > 1 else each).mapInArrow(nearest, f"id {kind}, knn double")
 
 
 @dataclass

@@ -208,5 +208,22 @@ def test_cells_of_a_grid_are_dealt(spark, monkeypatch):
     assert neardup.near_class_pairs(rows.where("id < 0"), 25).collect() == []
 
 
+def test_distances_are_made_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    bank, x = rng.normal(size=(900, 8)), rng.normal(size=(700, 8))
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = None
+    for at in range(0, 900, 400):
+        near = np.concatenate([knn._least(unit(x)[i : i + 50], unit(bank)[at : at + 400], 20, None if near is None else near[i : i + 50]) for i in range(0, 700, 50)])
+    want = np.sort(np.linalg.norm(unit(x)[:, None] - unit(bank)[None], axis=2), axis=1)[:, 19]
+    assert near.shape == (700, 20) and np.allclose(np.sqrt(near.max(axis=1)), want)
+    monkeypatch.setattr(knn, "DISTANCES", 5000)
+    monkeypatch.setattr(knn, "WORK", 100_000)
+    frame = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id bigint, v array<double>").coalesce(1)
+    found = knn.kth_distance(frame(x), frame(bank), 20, "id", "v", 400)
+    assert found.rdd.getNumPartitions() == 7
+    assert np.allclose([d for _, d in sorted(map(tuple, found.collect()))], want)
+
+
 def _listed(found):
     return [found.apply(k) for k in range(found.size())]
