@@ -109,6 +109,12 @@ TAU = {0.8: (0.5, 0.3), 0.9: (0.4, 0.6)}
 _REQUEST = """'{"contract_version": "v0", "frame": {"frame_uid": "f' || cast(event_id as string) || '", "uri": "a/b.jpg", "sha256": "' || case when event_type = 'error' then 'zz' else sha256(cast(user_id as string)) end || '", "width": 4, "height": 3}, "metadata": {"site_id": "s", "plot_id": "p", "zone_id": "open", "timestamp_utc": "2024-01-01T00:00:00Z", "pose": {"x": 0, "y": 0, "z": 1.5, "yaw": 0.5, "frame_id": "plot", "source": "rtk"}, "platform": "cart", "camera": {"model": "m", "exposure_us": null, "gain": null, "flash": true, "white_balance": "auto"}, "illumination_mode": "flash", "sowing_batch": "b", "bbch": 12}, "request_id": "q", "options": {"coverage_target": ' || case when event_type = 'click' then '0.8' when event_type = 'signup' then '0.77' else '0.9' end || '}}'"""
 
 
+def _requests(events: DataFrame) -> DataFrame:
+    """Events as requests. Checking a request takes far longer than reading its event, so events are dealt to all cores first."""
+    dealt = events.select("event_id", "user_id", "event_type").repartition(4 * events.sparkSession.sparkContext.defaultParallelism)
+    return dealt.select("event_id", F.expr(_REQUEST.replace("sha256(cast(user_id as string))", "sha2(cast(user_id as string), 256)")).alias("body"))
+
+
 def _served(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("c_nationkey")
     logits = F.array((1 + n % 3).cast("double"), (1 + n % 2).cast("double"), F.lit(1.0))
@@ -127,7 +133,7 @@ select event_id, status, case when status = 200 then ['a', 'b', 'c'][list_positi
 @query(_ANSWERS)
 def predict_batch(spark: SparkSession, d: str) -> DataFrame:
     """Requests answered in one plan: contract, features by digest, scores, decisions."""
-    requests = table(spark, d, "events").select("event_id", F.expr(_REQUEST.replace("sha256(cast(user_id as string))", "sha2(cast(user_id as string), 256)")).alias("body"))
+    requests = _requests(table(spark, d, "events"))
     features = _served(spark, d)
     answers = service.predict(requests, features, softmax, TAU, 0.9, ["a", "b", "c"])
     return answers.select("event_id", "status", "top1", "decision", "abstain_reason", F.array_join("errors", ",").alias("errors"), "coverage", "max_prob")
@@ -137,8 +143,7 @@ def predict_batch(spark: SparkSession, d: str) -> DataFrame:
 def stream_decisions(spark: SparkSession, d: str) -> DataFrame:
     """The same requests as a stream: answers, quarantine and log of each batch; of two caches the first by name answers."""
     out, marks = fresh_path(spark, "decisions"), fresh_path(spark, "decisions-marks")
-    body = F.expr(_REQUEST.replace("sha256(cast(user_id as string))", "sha2(cast(user_id as string), 256)"))
-    requests = rq.stream(spark, d, "events").select("event_id", body.alias("body"))
+    requests = _requests(rq.stream(spark, d, "events"))
     held = _served(spark, d)
     both = held.withColumn("cache", F.lit("a")).union(held.withColumn("v", F.transform("v", lambda x: -x)).withColumn("cache", F.lit("b")))
     decisions.serve(requests, both, softmax, TAU, 0.9, ["a", "b", "c"], "event_id", out, marks)
@@ -151,8 +156,7 @@ def stream_decisions(spark: SparkSession, d: str) -> DataFrame:
 def request_log(spark: SparkSession, d: str) -> DataFrame:
     """Requests by status, from the log that the service writes."""
     out, marks = fresh_path(spark, "logged"), fresh_path(spark, "logged-marks")
-    body = F.expr(_REQUEST.replace("sha256(cast(user_id as string))", "sha2(cast(user_id as string), 256)"))
-    decisions.serve(rq.stream(spark, d, "events").select("event_id", body.alias("body")), _served(spark, d), softmax, TAU, 0.9, ["a", "b", "c"], "event_id", out, marks)
+    decisions.serve(_requests(rq.stream(spark, d, "events")), _served(spark, d), softmax, TAU, 0.9, ["a", "b", "c"], "event_id", out, marks)
     return rq.batches(spark, f"{out}/log", REQUESTS).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 

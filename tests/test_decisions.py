@@ -56,3 +56,14 @@ def test_answers_are_given_though_the_log_cannot_be_written(spark, tmp_path):
     told = decisions.serve(spark.readStream.schema("id bigint, body string").parquet(source), features.where(F.col("cache") == "x").drop("cache"), softmax, TAU, 0.9, ["u", "v", "w"], "id", str(out), str(tmp_path / "marks"))
     assert len(told) == 1 and "request log not written" in told[0]
     assert rq.batches(spark, f"{out}/answers", "id bigint").count() == 4
+
+
+def test_requests_are_dealt_to_all_cores(spark, small):
+    """One file of events is one task, and checking its requests takes far longer than reading it."""
+    from strataforge.plans import gates
+    from strataforge.plans.tables import table
+
+    events = table(spark, small, "events").coalesce(1)
+    requests = gates._requests(events)
+    assert requests.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert requests.count() == events.count() and requests.columns == ["event_id", "body"]
