@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -161,6 +163,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return staged(both.where(same >= F.lit(least) * (F.size("su") + F.size("sv") - same)).select("u", "v"), "links")
 
 
+def _coded(classes: DataFrame, code_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs ``(u, v)`` of classes by their fingerprints: each with the least class of its own, and the least classes of linked ones."""
+    tops = staged(classes.groupBy("fp").agg(F.min("cls").alias("top"), F.count(F.lit(1)).alias("n")), "codes")
+    own = spread_join(classes, tops.select("fp", "top"), "fp", tops, ["cls"]).where("cls <> top").select(F.col("cls").alias("u"), F.col("top").alias("v"))
+    named = lambda c, name: tops.select(F.col("fp").alias(c), F.col("top").alias(name))
+    across = staged(code_links(tops.select("fp")), "code-links").join(named("u", "a"), "u").join(named("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return own.union(across)
+
+
 class _Links:
     """Links so far, and the components they make."""
 
@@ -186,7 +197,7 @@ class _Links:
             self._add(_linked(rest, self.sets, self.least))
 
 
-def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, code: Callable[[Column], Column] | None = None, code_links: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, cls)`` for each row, and ``(cls, component)`` for each class of equal sets.
 
     Two classes are linked if the Jaccard similarity of their distinct
@@ -197,12 +208,16 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     still outside the bucket's largest component are compared with all of other components, so no pair of a bucket is left out
     unless it is already connected. To compare is to count the minima in which finer sketches differ; sets are
     read only for pairs that these leave open and that nothing has connected yet.
+
+    With ``code``, a fingerprint of a text, and ``code_links``, the links ``(u, v)`` between fingerprints ``fp``, these give the first
+    candidates, which are compared like the others; bands add the pairs that are too far apart for fingerprints.
     """
     rows_per_batch(docs.sparkSession, BATCH_ROWS, BATCH_BYTES)
-    marked = docs.select(F.col(id_col).alias("doc_id"), set_column(F.col(text_col), words, "bands").alias("s")).select("doc_id", "s.*")
+    fp = F.lit(0).cast("bigint") if code is None else code(F.col(text_col))
+    marked = docs.select(F.col(id_col).alias("doc_id"), set_column(F.col(text_col), words, "bands").alias("s"), fp.alias("fp")).select("doc_id", "s.*", "fp")
     marked = staged(marked, "marked")
     own = F.struct("n", "bands", "sketch")
-    classes = marked.groupBy("cls").agg(F.min("doc_id").alias("least"), F.any_value(own).alias("own")).select("cls", "least", "own.*")
+    classes = marked.groupBy("cls").agg(F.min("doc_id").alias("least"), F.any_value(own).alias("own"), F.min("fp").alias("fp")).select("cls", "least", "own.*", "fp")
     classes = staged(classes, "classes")
     keyed = classes.where("n > 0").select("cls", "n", "sketch", F.posexplode("bands").alias("band", "key"))
     tally = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cls").alias("u"), F.max("cls").alias("v")).where("members > 1")
@@ -226,7 +241,10 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     hubs = crowd.groupBy("key").agg(F.array_distinct(F.array(*[hub(-k) for k in range(HUBS)])).alias("h")).select("key", F.explode("h").alias("h")).select("key", "h.*")
     large = ordered(side(crowd, "v").join(hubs, "key").where((F.col("u") != F.col("v")) & alike))
-    pairs = staged(two.union(small).union(large).distinct(), "pairs")
+    pairs = two.union(small).union(large)
+    if code_links is not None:
+        pairs = pairs.union(ordered(_coded(classes.where("n > 0").select("cls", "fp"), code_links)))
+    pairs = staged(pairs.distinct(), "pairs")
     ends = [pairs.select(F.col(c).alias("cls")).distinct() for c in ("u", "v")]
     wanted = ends[0].union(ends[1]).union(crowd.select("cls").distinct()).distinct().join(classes.select("cls", "least"), "cls")
     sets = _sets_of(staged(wanted, "compared"), docs, id_col, text_col, words)

@@ -7,7 +7,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -44,15 +44,18 @@ def simhash(texts: pa.Array, words: int = 3) -> pa.Array:
     return pa.array((_majority(x.as_py(), words) for x in texts), pa.int64())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for every row of ``docs``, one pass without a shuffle."""
-    rows_per_batch(docs.sparkSession)
-
+def fingerprint(text: Column, words: int = 3) -> Column:
     @F.arrow_udf("bigint")
     def fp(x: pa.Array) -> pa.Array:
         return simhash(x, words)
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return fp(text)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """``(doc_id, fp)`` for every row of ``docs``, one pass without a shuffle."""
+    rows_per_batch(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp"))
 
 
 def hamming_links(codes: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -127,14 +130,14 @@ def fingerprint_text(fp):
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id.
 
-    Groups are those of ``shingles.shingle_classes`` (five words, similarity
-    0.8), not of operator 4's fingerprints. Survivors are chosen by id and
+    Operator 4's fingerprints and its multi-index hashing find the nearest pairs; an exact check follows, as groups are those of five-word
+    similarity 0.8 (``shingles.shingle_classes``), which also finds the pairs that are more than 2 bits apart. Survivors are chosen by id and
     shingle set, so rows that share an id but not a text are kept apart.
     Repeated rows with the kept id and set are reduced to one; a group whose
     ids are all null keeps one of its rows. Null, empty and wordless texts are one group. An empty table
     gives an empty result; extra columns are kept.
     """
-    marked, named = shingle_classes(docs)
+    marked, named = shingle_classes(docs, code=fingerprint, code_links=hamming_links)
     classes = marked.groupBy("cls").agg(F.min("doc_id").alias("least"))
     classes = staged(classes.join(named, "cls"), "components")
     first = F.min(F.struct(F.col("least").isNull().alias("no"), F.col("least").alias("id"), F.col("cls").alias("set")))
