@@ -64,12 +64,12 @@ def kth_distance(rows: DataFrame, bank: DataFrame, k: int, id_col: str, vector:
     """``(id, knn)``: the Euclidean distance of each row to its k-th nearest bank row, both at unit length.
 
     The bank is written to the shared folder and never passes the driver: each task reads it in blocks, and of a row
-    keeps k distances. Distances are made for slices of rows, so that a worker's memory does not grow with either
-    table. One answer for each row, repeated ids included. A bank of under k rows is refused.
+    keeps k distances. Distances are made for slices of rows, and a file of the bank has a block at most (a reader
+    holds a file's column as it is stored), so that a worker's memory does not grow with either table. One answer for each row, repeated ids included. A bank of under k rows is refused.
     """
     spark = rows.sparkSession
     folder = fresh_path(spark, "bank")
-    bank.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).write.parquet(folder)
+    bank.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).write.option("maxRecordsPerFile", bank_rows).parquet(folder)
     n = spark.read.parquet(folder).count()
     if n < k:
         raise ValueError(f"k = {k} needs a bank of at least k rows ({n})")

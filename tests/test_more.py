@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,5 +226,17 @@ def test_distances_are_made_in_slices(spark, monkeypatch):
     assert np.allclose([d for _, d in sorted(map(tuple, found.collect()))], want)
 
 
+def test_a_file_of_the_bank_is_no_larger_than_a_block(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(knn, "fresh_path", lambda spark, label: (tmp_path / label).as_uri())
+    rng = np.random.default_rng(5)
+    frame = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id bigint, v array<double>").coalesce(1)
+    bank, x = rng.normal(size=(900, 8)), rng.normal(size=(30, 8))
+    found = dict(map(tuple, knn.kth_distance(frame(x), frame(bank), 20, "id", "v", 400).collect()))
+    assert sorted(pq.read_metadata(f).num_rows for f in (tmp_path / "bank").glob("*.parquet")) == [100, 400, 400]
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.sort(np.linalg.norm(unit(x)[:, None] - unit(bank)[None], axis=2), axis=1)[:, 19]
+    assert np.allclose([found[i] for i in range(30)], want)
+
+
 def _listed(found):
     return [found.apply(k) for k in range(found.size())]
