@@ -114,7 +114,10 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def _apart(a: str, b: str, size: int = SKETCH):
     """In how many of the minima two sketches differ."""
     odd = F.lit(0x5555555555555555).cast("bigint")
-    return sum((F.bit_count((F.shiftrightunsigned(x, 1).bitwiseOR(x)).bitwiseAND(odd)) for x in (F.col(a)[k].bitwiseXOR(F.col(b)[k]) for k in range(size))), F.lit(0))
+    differ = lambda x: F.bit_count((F.shiftrightunsigned(x, 1).bitwiseOR(x)).bitwiseAND(odd))
+    if size > SKETCH:  # a term for each number would make plans, and code, of hundreds of kilobytes
+        return F.aggregate(F.zip_with(a, b, lambda x, y: differ(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return sum((differ(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(size)), F.lit(0))
 
 
 def _fine(sets: list[np.ndarray]) -> np.ndarray:
@@ -173,15 +176,19 @@ def _coded(classes: DataFrame, code_links: Callable[[DataFrame], DataFrame]) ->
 
 
 class _Links:
-    """Links so far, and the components they make."""
+    """The components that the links so far make."""
 
     def __init__(self, sets: DataFrame, least: float) -> None:
-        self.sets, self.least, self.links, self.labels = sets, least, None, None
+        self.sets, self.least, self.labels = sets, least, None
 
     def _add(self, new: DataFrame) -> None:
-        if self.links is None or new.limit(1).count():
-            self.links = new if self.links is None else self.links.union(new)
-            self.labels = staged(connected_components(self.links), "labels")
+        if self.labels is None:
+            self.labels = staged(connected_components(new), "labels")
+        elif new.limit(1).count():  # only links between components are followed, as links of their least members
+            new = self.named(self.named(new, "u", "cu"), "v", "cv").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+            joined = staged(connected_components(new), "joined")
+            wider = self.labels.join(sized(joined.select(F.col("node").alias("component"), F.col("component").alias("wider"))), "component", "left")
+            self.labels = staged(wider.select("node", F.coalesce("wider", "component").alias("component")).union(joined).distinct(), "labels")
 
     def named(self, rows: DataFrame, cls: str, name: str) -> DataFrame:
         """``rows`` with the component of the class in column ``cls``."""

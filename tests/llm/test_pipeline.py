@@ -99,3 +99,33 @@ def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
     kept = simhash.keep_one_of_each(docs(spark, list(enumerate(texts))))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
     assert len(seen) == 1 and len({c for r in seen[0].collect() for c in r}) == 3
+
+
+def test_finer_sketches_are_compared_by_a_short_plan(spark):
+    rng = random.Random(3)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(shingles.FINE)], [rng.getrandbits(64) - (1 << 63) for _ in range(shingles.FINE)]) for _ in range(20)]
+    rows += [(rows[0][0], rows[0][0]), (rows[1][0], [rows[1][0][0] ^ 3, *rows[1][0][1:-1], rows[1][0][-1] ^ -(1 << 63)])]
+    table = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    found = table.select(shingles._apart("a", "b", shingles.FINE).alias("n"))
+    pairs = lambda x, y: sum((x ^ y) >> 2 * k & 3 != 0 for k in range(32))
+    assert [r.n for r in found.collect()] == [sum(map(pairs, a, b)) for a, b in rows]
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 1000
+
+
+def test_later_links_are_followed_between_components_only(spark, monkeypatch):
+    seen, real = [], shingles.connected_components
+    monkeypatch.setattr(shingles, "connected_components", lambda edges: seen.append(edges.count()) or real(edges))
+    rng = random.Random(5)
+    links = shingles._Links(None, 0.8)
+    turns = [[(rng.randrange(60), rng.randrange(60)) for _ in range(25)], [(rng.randrange(90), rng.randrange(90)) for _ in range(20)], [(1, 2)], []]
+    every = []
+    for turn in turns:
+        every += turn
+        links._add(spark.createDataFrame(turn, "u bigint, v bigint"))
+        ends = sorted({x for e in every for x in e})
+        want = components(ends, lambda a, b: (a, b) in every or (b, a) in every)
+        got = links.labels.collect()
+        assert len(got) == len({r.node for r in got})
+        named = {r.node: r.component for r in got}
+        assert {x: named.get(x, x) for x in ends} == want
+    assert len(seen) == 3 and seen[0] == 25 and seen[1] <= 20 and seen[2] <= 1
