@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strataforge.session import staged
@@ -15,7 +15,12 @@ HOT, SALTS = 500, 64
 
 def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``side`` (staged, so that counting it is a read of footers) with a broadcast hint if it has few rows."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+    return hinted(side, side.limit(rows + 1).count(), rows)
+
+
+def hinted(side: DataFrame, n: int, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``side``, of which ``n`` rows were counted as it was staged, with a broadcast hint if they are few."""
+    return F.broadcast(side) if n <= rows else side
 
 
 def without(docs: DataFrame, bad: DataFrame, on: Column) -> DataFrame:
@@ -29,11 +34,12 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame,
     ``counts`` has ``(key, n)``, the number of rows by key. The hot keys are fewer than ``HOT`` whatever
     the size of the table, so they are broadcast; only their rows of ``table`` are repeated. Rows are dealt by ``deal``.
     """
-    counts = staged(counts.select(key, "n"), "key-counts")
-    whole = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") * HOT > F.lit(whole)).select(F.col(key).alias("__hot"))
-    if not hot.limit(1).count():
+    seen = Observation()
+    counts = staged(counts.select(key, "n").observe(seen, F.sum("n").alias("whole"), F.max("n").alias("most")), "key-counts")
+    whole, most = (seen.get[k] or 0 for k in ("whole", "most"))
+    if most * HOT <= whole:
         return rows.join(table, key, how)
+    hot = counts.where(F.col("n") * HOT > F.lit(whole)).select(F.col(key).alias("__hot"))
     salted = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
     salted = salted.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*deal), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("__hot")
     each = table.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from strataforge.llm.arrow_text import rows_per_batch
-from strataforge.llm.joins import sized, spread_join
+from strataforge.llm.joins import hinted, spread_join
 from strataforge.llm.shingles import BROADCAST_IDS, set_column, shingle_classes
 from strataforge.operators.graph import connected_components
-from strataforge.session import staged
+from strataforge.session import counted, staged
 
 SEED = 42
 #: Fingerprints that one bucket of the index table may hold; fuller ones are linked by midpoints instead.
@@ -79,16 +79,16 @@ def hamming_links(codes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     own = F.array(struct(1, F.col("s1")), struct(2, F.col("s2")))
     ball = F.concat(own, *[F.array(struct(1, F.col("s1").bitwiseXOR(F.lit(1 << i)))) for i in range(32)])
     occupied = parts.select(F.explode(own).alias("b")).select("b.*")
-    full = staged(occupied.groupBy("seg", "key").count().where(F.col("count") > bucket).select("seg", "key"), "full-buckets")
+    full, n_full = counted(occupied.groupBy("seg", "key").count().where(F.col("count") > bucket).select("seg", "key"), "full-buckets")
     probes = parts.select(F.col("fp").alias("u"), F.explode(ball).alias("b")).select("u", "b.seg", "b.key")
     table = parts.select("fp", F.explode(own).alias("b")).select(F.col("fp").alias("v"), F.col("b.seg").alias("seg"), F.col("b.key").alias("key"))
     by_middle = None
-    if full.limit(1).count():
+    if n_full:
         # codes that look at a full bucket go by midpoints; those that lie in one do not look up the others' buckets
-        small = sized(full)
+        small = hinted(full, n_full)
         by_middle = staged(probes.join(small, ["seg", "key"], "left_semi").select(F.col("u").alias("fp")).distinct(), "middle")
         inside = table.join(small, ["seg", "key"], "left_semi").select(F.col("v").alias("u")).distinct()
-        probes = probes.join(sized(staged(inside, "inside")), "u", "left_anti")
+        probes = probes.join(hinted(*counted(inside, "inside")), "u", "left_anti")
         table = table.join(small, ["seg", "key"], "left_anti")
     near = probes.join(table, ["seg", "key"]).where("u <> v and bit_count(u ^ v) <= 2").select("u", "v")
     ordered = lambda links: links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -145,7 +145,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     ids = marked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     if ids.n == ids.ids:  # each row has an id of its own: rows go by it, and texts do not move if few go
         gone = marked.join(kept.select("__id"), F.col("doc_id") == F.col("__id"), "left_anti").select(F.col("doc_id").alias("__gone"))
-        return docs.join(sized(staged(gone, "copies"), BROADCAST_IDS), docs["doc_id"] == F.col("__gone"), "left_anti")
+        return docs.join(hinted(*counted(gone, "copies"), BROADCAST_IDS), docs["doc_id"] == F.col("__gone"), "left_anti")
     # both sides move by id and set
     out = docs.withColumn("__set", set_column(F.col("text"))).join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__set") == F.col("__kept")), "left_semi")
     return out.dropDuplicates(["doc_id", "__set"]).drop("__set")

@@ -5,8 +5,12 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from strataforge.llm import shingles, simhash
+from strataforge.llm.joins import spread_join
+from strataforge.operators import graph
+from strataforge.session import counted
 from tests.llm.test_operators import base_spans, brute_fingerprint, brute_leaks, brute_targets, components, docs
 
 
@@ -129,3 +133,40 @@ def test_later_links_are_followed_between_components_only(spark, monkeypatch):
         named = {r.node: r.component for r in got}
         assert {x: named.get(x, x) for x in ends} == want
     assert len(seen) == 3 and seen[0] == 25 and seen[1] <= 20 and seen[2] <= 1
+
+
+def test_near_duplicates_count_no_rows_in_jobs_of_their_own(spark, monkeypatch):
+    def refused(self):
+        raise AssertionError("rows are counted as they are written")
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:59]), " ".join(words[:58] + ["x"]), "another text " * 9, "", None]
+    monkeypatch.setattr(type(spark.range(0)), "count", refused)
+    kept = simhash.keep_one_of_each(docs(spark, list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4]
+
+
+def test_rows_are_counted_as_they_are_written(spark):
+    for n in (0, 1, 1000):
+        rows, seen = counted(spark.range(n).withColumn("x", F.col("id") * 2), "counted")
+        assert (rows.count(), seen) == (n, n)
+    rows, seen = counted(spark.range(10).where("id > 3").join(spark.range(0), "id"), "counted")
+    assert (rows.count(), seen) == (0, 0)
+
+
+def test_hot_keys_are_found_as_their_counts_are_written(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    for these, salted in ((rows, True), (spark.range(3000).select("id", F.col("id").alias("k")), False), (rows.limit(0), False)):
+        table, counts = these.select("k").distinct().withColumn("w", F.col("k") + 1), these.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        out = spread_join(these, table, "k", counts, ["id"])
+        assert sorted(map(tuple, out.select("id", "k", "w").collect())) == sorted((r.id, r.k, r.k + 1) for r in these.collect())
+        assert ("__salt" in out._jdf.queryExecution().analyzed().toString()) == salted
+
+
+def test_a_round_of_components_has_its_edges_once_in_the_plan(spark, monkeypatch):
+    plans, real = [], graph._round
+    monkeypatch.setattr(graph, "_round", lambda edges: plans.append(edges._jdf.queryExecution().optimizedPlan().toString()) or real(edges))
+    edges = [(3, 1), (5, 3), (8, 5), (9, 8), (20, 21), (21, 22), (7, 7)]
+    found = graph.connected_components(spark.createDataFrame(edges, "u bigint, v bigint"))
+    assert {r.node: r.component for r in found.collect()} == {1: 1, 3: 1, 5: 1, 8: 1, 9: 1, 20: 20, 21: 20, 22: 20, 7: 7}
+    assert len(plans) > 2 and all(p.count("Join ") <= 3 for p in plans)
