@@ -1,9 +1,11 @@
 """Ranges, configurations, caches, near copies and draws by hand-made cases."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -238,5 +240,25 @@ def test_a_file_of_the_bank_is_no_larger_than_a_block(spark, monkeypatch, tmp_pa
     assert np.allclose([found[i] for i in range(30)], want)
 
 
+def test_memory_of_distances_does_not_grow(spark, monkeypatch):
+    made = []
+    kind, real = type(spark.range(0)), type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: made.append(f) or real(self, f, *a, **b))
+    rng = np.random.default_rng(6)
+    frame = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id bigint, v array<double>").coalesce(1)
+
+    def peak(n):
+        x = rng.normal(size=(n, 4))
+        knn.kth_distance(frame(x), frame(rng.normal(size=(2 * n, 4))), 20, "id", "v")
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(x.tolist())], names=["id", "v"])
+        tracemalloc.start()
+        assert sum(b.num_rows for b in made[-1](iter([batch]))) == n
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(3000) < 1.5 * peak(1500)  # four times the distances
+
+
 def _listed(found):
     return [found.apply(k) for k in range(found.size())]
