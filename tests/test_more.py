@@ -4,13 +4,16 @@ import random
 import tracemalloc
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from strataforge import plans
 from strataforge.operators import caches, configs, dedupe, knn, metrics, ml, neardup, ordering, ranks, splits, validate
+from strataforge.operators.graph import connected_components
 from strataforge.schemas import FROZEN, LEDGER
 from strataforge.sources import sinks
 
@@ -260,5 +263,34 @@ def test_memory_of_distances_does_not_grow(spark, monkeypatch):
     assert peak(3000) < 1.5 * peak(1500)  # four times the distances
 
 
+def test_links_of_blocks_go_with_values_and_days(spark, monkeypatch):
+    """60,000 rows in 20,000 groups and 100 districts, of which 15 share a day with a row without a district: one group alone is a node."""
+    k = F.col("id")
+    whole = spark.range(60_000).select("id", F.when(k % 600 != 0, F.expr("id div 600")).alias("district"), F.when(k % 600 == 1, F.expr("id div 600 % 7")).when(k == 600, F.lit(1)).alias("day"), F.expr("id div 3").alias("grp"))
+    links = []
+    monkeypatch.setattr(splits, "connected_components", lambda edges: links.append(edges.count()) or connected_components(edges))
+    got = {r.id: r.split_group for r in splits.blocks(whole, "district").collect()}
+    assert len(got) == 60_000 and links[0] < 200
+    joined = sorted(str(x) for x in range(1, 100, 7))
+    assert got[600] == "district:" + "+".join(joined)
+    assert all(v == (got[600] if str(x // 600) in joined else f"district:{x // 600}") for x, v in got.items())
+
+
+def test_blocks_of_odd_rows_are_those_of_the_sql(spark):
+    """Groups of several districts, of none, of null; days without a row of either kind, or whose only row without a district has no group."""
+    rng = random.Random(4)
+    some = lambda share, x: x if rng.random() < share else None
+    given = [(k, some(0.6, f"d{rng.randrange(250)}"), some(0.25, f"t{rng.randrange(150)}"), some(0.9, f"g{rng.randrange(300)}")) for k in range(400)]
+    given += [(400, "x1", "t99", "gx1"), (401, "x2", "t99", "gx2"), (402, None, "t99", None), (403, "x1", None, "gx1"), (404, "x2", None, "gx2")]
+    plans.load()
+    sql = plans.SQL["blocks"]
+    rows_ = pa.table(dict(zip(("id", "district", "day", "grp"), map(list, zip(*given, strict=True)), strict=True)))
+    want = duckdb.sql("with recursive " + sql[sql.index("edges as") :]).fetchall()
+    got = [tuple(r) for r in splits.blocks(spark.createDataFrame(given, "id bigint, district string, day string, grp string"), "district").collect()]
+    null_last = lambda r: (r[0], r[1] is None, r[1], r[2])
+    assert sorted(got, key=null_last) == sorted(want, key=null_last)
+    assert len({r[1] for r in want if r[2] == "blocked:district" and "+" in r[1]}) > 5
+
+
 def _listed(found):
     return [found.apply(k) for k in range(found.size())]
